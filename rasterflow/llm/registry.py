@@ -1,9 +1,16 @@
 """The queries of the training-data operators and their DuckDB forms."""
 
-from . import op1_ngram_jaccard
+from . import op1_ngram_jaccard, op2_packing, op3_exact_dedup, op4_warc, op5_html_text, op7_mixing, op8_quality_rules, op10_secret_scan
 
 _MODULES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard,
+    "op2_packing": op2_packing,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_warc": op4_warc,
+    "op5_html_text": op5_html_text,
+    "op7_mixing": op7_mixing,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 
