@@ -210,8 +210,15 @@ def pack(rows: DataFrame, most: int = 4096, group: int = GROUP) -> DataFrame:
     return full.unionByName(packed.select(full.columns)).drop("_row")
 
 
-def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 4096 ids, without a stored tokenizer of its own."""
-    import public_tokenizers
+def pack_documents(docs: DataFrame, path: str | None = None, most: int = 4096) -> DataFrame:
+    """Pieces of all rows of ``docs`` (doc_id, text) in as few sequences as can be; path is the tokenizer's file."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return pack(pieces(docs, path, most=most), most)
 
-    return pack(pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 ids."""
+    return pack_documents(documents(spark, sf_dir))

@@ -1,6 +1,6 @@
 """The queries of the training-data operators and their DuckDB forms."""
 
-from . import op1_ngram_jaccard, op2_packing, op3_exact_dedup, op4_warc, op5_html_text, op7_mixing, op8_quality_rules, op10_secret_scan
+from . import op1_ngram_jaccard, op2_packing, op3_exact_dedup, op4_warc, op5_html_text, op6_license_scan, op7_mixing, op8_quality_rules, op9_preference_format, op10_secret_scan
 
 _MODULES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard,
@@ -8,8 +8,10 @@ _MODULES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
     "op5_html_text": op5_html_text,
+    "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_preference_format": op9_preference_format,
     "op10_secret_scan": op10_secret_scan,
 }
 
