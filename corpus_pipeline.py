@@ -1,11 +1,66 @@
-"""The corpus pipeline; stages follow as their operators are added."""
+"""The corpus pipeline: five stages over documents, each a training-data operator.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept and
+returns the columns of documents; the last returns packed pieces. Rows keep their
+columns, whatever further ones there are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterflow.llm import op1_ngram_jaccard, op2_packing, op3_exact_dedup, op7_mixing, op8_quality_rules
+from rasterflow.llm._shared import Scratch, documents
+
+#: Packing and sampling have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the decision list learned from the labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rules = op8_quality_rules.learn(op8_quality_rules.labelled(docs, labels))
+    judged = op8_quality_rules.statistics(docs)
+    return judged.where(~op8_quality_rules.base_failed() & op8_quality_rules.verdict(rules)).select(docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id; few rows go, so these are what is joined."""
+    gone = op3_exact_dedup.exact_groups(docs).where("not kept").select("doc_id")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least doc_id, of each group of near copies (five words, 0.8)."""
+    found = op1_ngram_jaccard.jaccard_components(docs, n=5, num=80, den=100)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: 0, 1 or 2 rows each."""
+    taken = op7_mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_of"), F.expr("cast(taken div size as int)").alias("_copies")).distinct()
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_of"]))
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows as pieces of sequences of at most 4096 ids."""
+    return op2_packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; what a stage keeps is written to the shared folder and read again."""
+    docs, scratch = documents(spark, sf_dir), Scratch(spark)
+    for name, stage in STAGES[:-1]:
+        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
