@@ -25,13 +25,14 @@ from ._shared import Scratch, documents
 from .shingles import word_hashes, words
 
 #: Documents in a group that one task packs, words remembered by a tokenising worker, and rounds.
-GROUP, WORDS, ROUNDS = 8192, 1 << 20, 6
+GROUP, WORDS, ROUNDS = 8192, 1 << 21, 6
 
 
 class _Tokens:
-    """Ids of white-space separated words; pre-tokens never cross white space in this vocabulary.
+    """Ids of words; this vocabulary's pre-tokens never cross white space, nor a stop behind a letter.
 
-    A word is encoded when first seen and looked up by its 64-bit hash from then on.
+    Case does not matter to it, but in its special tokens. A word is encoded when first seen
+    and looked up by its 64-bit hash from then on.
     """
 
     def __init__(self, path: str):
@@ -39,7 +40,6 @@ class _Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.clear()
 
     def clear(self) -> None:
@@ -59,10 +59,14 @@ class _Tokens:
                 self.clear()
                 known[:] = False
             new = np.flatnonzero(~known)
-            ids = [x.ids for x in self.encode([b[starts[i] : ends[i]].tobytes().decode() for i in first[new]], add_special_tokens=False)]
-            size = np.array([len(x) for x in ids], np.int64)
+            raw, parts, size = b.tobytes(), [self.flat], np.zeros(len(new), np.int64)
+            for k in range(0, len(new), 4096):
+                some = [raw[s:e].decode() for s, e in zip(starts[first[new[k : k + 4096]]].tolist(), ends[first[new[k : k + 4096]]].tolist(), strict=True)]
+                done = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+                parts.append(np.array(done.ids, np.uint32))
+                size[k : k + 4096] = np.bincount(np.array(done.word_ids, np.int64), minlength=len(some))
             at = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
+            self.flat = np.concatenate(parts)
             keys_, at_, size_ = np.concatenate([self.keys, keys[new]]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
             order = np.argsort(keys_, kind="stable")
             self.keys, self.at, self.size = keys_[order], at_[order], size_[order]
@@ -88,7 +92,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, most: int = 4096, with_i
         tokens = _LOADED.get(path) or _LOADED.setdefault(path, _Tokens(path))
         for batch in batches:
             doc_ids = batch.column(0)
-            for first, b, starts, ends, at in words(batch.column(1), lower=False):
+            for first, b, starts, ends, at in words(batch.column(1), lower=b"<|", marks=True):
                 flat, n = tokens(b, starts, ends)
                 upto = np.concatenate([[0], np.cumsum(n)])
                 out: list[tuple] = []

@@ -16,6 +16,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_STOP = np.zeros(256, bool)
+_STOP[[44, 46]] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 #: Bytes hashed at a time, and bytes of text handled at a time.
 _SEGMENT = 1 << 18
 _PIECE = 1 << 21
@@ -90,10 +94,14 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         i = j
 
 
-def words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, bytes, word starts, word ends, first word of each row and the count of words)."""
+def words(column: pa.Array, lower: bool | bytes = True, marks: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, bytes, word starts, word ends, first word of each row and the count of words).
+
+    Bytes are lower-cased in A-Z, or where ``lower`` is a string, in runs of rows without it.
+    With ``marks``, a full stop or comma behind an ASCII letter or digit begins a word too.
+    """
     for first, raw, offsets in _pieces(column):
-        b = _LOWER[raw] if lower else raw
+        b = _LOWER[raw] if (lower if isinstance(lower, bool) else lower not in raw.tobytes()) else raw
         ink = ~_SPACE[raw]
         before = np.empty(len(ink), bool)
         after = np.empty(len(ink), bool)
@@ -102,6 +110,8 @@ def words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarra
             before[1:] = ink[:-1]
             after[:-1] = ink[1:]
             inner = offsets[(offsets > 0) & (offsets < len(ink))]
+            if marks:
+                inner = np.concatenate([inner, np.flatnonzero(_STOP[raw[1:]] & _PLAIN[raw[:-1]]) + 1])
             before[inner] = False
             after[inner - 1] = False
         starts = np.flatnonzero(ink & ~before)
