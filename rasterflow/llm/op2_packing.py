@@ -170,7 +170,7 @@ def pack(rows: DataFrame, most: int = 4096, group: int = GROUP) -> DataFrame:
         n = open_.count() if turn else rows.where(F.col("length") < most).count()
         if not n:
             break
-        groups = max(1, -(-n // group))
+        groups = max(1, -(-n // (group << turn)))  # fewer documents are left, so more of them can meet
         # sequences that came together stay together, so that an old one can stand
         key = F.coalesce(F.col("old"), F.col("_row"))
         dealt = open_.withColumn("g", F.pmod(F.xxhash64(key, F.lit(turn)), F.lit(groups)))
@@ -185,7 +185,7 @@ def pack(rows: DataFrame, most: int = 4096, group: int = GROUP) -> DataFrame:
                 count = int(bins.max()) + 1
             fill = np.bincount(bins, weights=size, minlength=count).astype(np.int64)
             # what a gap is closed with: the sparsest sequences, and all that are sparse anyway
-            loose = fill < most * 9 // 10
+            loose = fill < most * 49 // 50
             if count > bound:
                 loose[np.argsort(fill, kind="stable")[: 64 * (count - bound)]] = True
             order = np.argsort(bins, kind="stable")
@@ -199,8 +199,8 @@ def pack(rows: DataFrame, most: int = 4096, group: int = GROUP) -> DataFrame:
         done = scratch.cut(done, f"round-{turn}")
         loose = done.where("loose")
         spare, bins = loose.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
-        # done when the released documents can't need fewer, or nothing was saved
-        if not bins or -(-spare // most) >= bins or bins == last or turn == ROUNDS - 1:
+        # done when the released documents can't need fewer, or all of them met and nothing was saved
+        if not bins or -(-spare // most) >= bins or bins == last and groups == 1 or turn == ROUNDS - 1:
             settled.append(done)
             break
         settled.append(done.where("not loose"))
