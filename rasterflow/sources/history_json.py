@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def read(spark: SparkSession, path: str, count: int = history.KEPT) -> DataFrame
         raw = spark.read.schema(f"entries array<struct<{_ENTRY.replace(' string', ':string').replace(' long', ':long').replace(' boolean', ':boolean')}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
         rows = raw.select(F.posexplode("entries").alias("pos", "e")).select(F.col("pos").cast("long").alias("seq"), "e.*")
         rows.limit(1).count()
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return history.empty(spark)
     variant = lambda c: lookup(F.col(c), _IDS)
     out = rows.select(

@@ -32,7 +32,7 @@ def test_convert_job_with_errors_as_rows(spark, folder, tmp_path):
     options = ConvertOptions("qoi", str(tmp_path / "out" / "deep"), transform=TransformOptions(rotate="Deg90"))
     rows = convert.run_job(spark, paths, options).cache()
     by = {r["input"].rsplit("/", 1)[1]: r for r in rows.collect()}
-    assert by["in3.bmp"]["width"] == 15 and by["in3.bmp"]["height"] == 23 and by["in3.bmp"]["notes"] == []
+    assert by["in3.bmp"]["width"] == 15 and by["in3.bmp"]["height"] == 23 and by["in3.bmp"]["notes"] == ["输出体积比原文件大约 24%"]
     assert by["lying.png"]["source_format"] == "qoi" and by["lying.png"]["notes"][0] == "源格式与目标格式相同,文件已被重新编码"
     assert by["broken.bmp"]["error_kind"] == "Corrupt" and by["broken.bmp"]["output"] == ""
     assert by["missing.bmp"]["error_kind"] == "InvalidPath" and by["missing.bmp"]["error_message"].startswith("文件不存在:")
