@@ -24,7 +24,13 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video textarea select datalist button map".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
+#: Of these some are left open by mistake or hold a whole page; an article inside begins anew.
+WRAPPERS = frozenset("nav header form menu".split())
 REGIONS = frozenset("article main".split())
+#: Elements nested deeper than this count as the one around them, as in browsers.
+DEPTH = 512
+#: Words that mark even an article as something else than the page's own.
+FOREIGN = frozenset("ad ads advert advertisement sponsored promo related recommended comment comments reply replies respond disqus teaser".split())
 #: Words in class, id or role that mark boilerplate.
 MARKS = frozenset(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
@@ -49,6 +55,7 @@ class _Open:
     tag: str
     number: int
     boilerplate: bool
+    lasting: bool
     silent: bool
     region: bool
 
@@ -63,6 +70,7 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.links = self.linked = self.count = 0
         self.kinds: dict[int, str] = {}
+        self.deeper: dict[str, int] = {}
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -73,12 +81,14 @@ class _Lines(HTMLParser):
             self.tags = self.linked = 0
 
     def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in BOILERPLATE or tag == "header" and not any(x.region for x in self.stack):
+        """Whether an element's name or attributes make all in it boilerplate, articles too."""
+        if tag in BOILERPLATE - WRAPPERS:
             return True
-        if tag in REGIONS or tag in ("html", "body"):
+        if tag in ("html", "body"):
             return False
+        marks = FOREIGN if tag in REGIONS else MARKS - {"header"} if tag == "header" else MARKS
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and MARKS & set(re.split(r"[^a-z]+", value.lower())):
+            if name in ("class", "id", "role") and value and marks & set(re.split(r"[^a-z]+", value.lower())):
                 return True
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
@@ -96,11 +106,15 @@ class _Lines(HTMLParser):
             self.close_implied({"p"}, {"article", "section", "div", "td", "th", "li", "table", "blockquote", "body", "aside", "nav", "footer", "form", "main"})
         if tag in _IMPLIED:
             self.close_implied(_IMPLIED[tag], {"ul", "ol", "dl", "table", "select", "menu"})
+        if len(self.stack) >= DEPTH:
+            self.deeper[tag] = self.deeper.get(tag, 0) + 1
+            return
         top = self.stack[-1] if self.stack else None
         region = tag in REGIONS
         self.count += 1
-        boilerplate = self.marked(tag, attrs) or bool(top and top.boilerplate and not (region and not top.region))
-        self.stack.append(_Open(tag, self.count, boilerplate, tag in SILENT or bool(top and top.silent and not (region or tag == "body")), region or bool(top and top.region)))
+        lasting = self.marked(tag, attrs) or bool(top and top.lasting)
+        wrapped = tag in WRAPPERS and not (tag == "header" and top and top.region) or bool(top and top.boilerplate and not (region and not top.region))
+        self.stack.append(_Open(tag, self.count, lasting or wrapped, lasting, tag in SILENT or bool(top and top.silent and not (region or tag == "body")), region or bool(top and top.region)))
         self.kinds[self.count] = tag
         if tag == "a":
             self.links += 1
@@ -126,6 +140,9 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
+        if self.deeper.get(tag):
+            self.deeper[tag] -= 1
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].tag == tag:
                 self.pop_to(i)

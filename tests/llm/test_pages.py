@@ -95,6 +95,12 @@ def test_article_without_its_surroundings():
     assert main_text(PAGE).split("\n") == ["Head & tail", "First line goes on here", "Short.", "A third paragraph, with a link and more text in it than the rest of the page has.", "one", "two", "x < y"]
 
 
+def test_articles_inside_other_things():
+    text = "<p>A paragraph of the page itself, with enough words to stand out.</p>" * 3
+    page = f"<body><form><div><nav><a href=1>x</a><article><header><h1>Title</h1></header>{text}</article></div></form><section class=comments><article class=comment><p>{'A long remark by a reader. ' * 20}</p></article></section></body>"
+    assert main_text(page).split("\n") == ["Title"] + ["A paragraph of the page itself, with enough words to stand out."] * 3
+
+
 def test_page_without_article_element():
     body = "".join(f"<p>Paragraph {i} has a good deal of text in it, enough to stand out.</p>" for i in range(6))
     html = f"<html><body><div class=nav><a href=1>a</a> <a href=2>b</a></div><div class=content>{body}<p>End.</p></div><div class=footer>foot</div></body></html>"
@@ -104,6 +110,7 @@ def test_page_without_article_element():
 def test_odd_pages(spark):
     for html in ("", "<", "<p", "<!--", "<nav>a", "<script>x", "&#xD800;", "</p></p>", "<article>" * 300 + "x"):
         assert isinstance(main_text(html), str)
+    assert main_text("<div>text " * 20_000 + "</div>" * 20_000).count("text") >= 18_000
     assert main_text("plain words only") == "plain words only"
     rows = [(1, None, None, ""), (None, "u", "<p>a</p>", ""), (1, None, None, ""), (2, "u", "<article>" + "<p>long text</p>" * 20_000 + "</article>", "")]
     got = sorted(((r["page_id"], r["n_chars"]) for r in extract(spark.createDataFrame(rows, PAGES)).collect()), key=str)
