@@ -25,7 +25,7 @@ from ._shared import Scratch, documents
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-  coalesce(doc_id = max(doc_id) OVER (PARTITION BY t), true) AS kept, sha256(t) AS text_sha256
+  coalesce(doc_id = max(doc_id) OVER (PARTITION BY t), max(doc_id) OVER (PARTITION BY t) IS NULL) AS kept, sha256(t) AS text_sha256
 FROM d
 """
 
@@ -46,7 +46,7 @@ def chunks(text: Column, least: int, most: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most - 1}}}?(?:\n|[.!?] )|.{{1,{most}}}"), F.lit(0))
 
 
-def exact_groups(docs: DataFrame, least: int = 1024, most: int = 8192) -> DataFrame:
+def exact_groups(docs: DataFrame, least: int = 1024, most: int = 8192, key_bits: int = 64) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of ``docs``.
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names. Texts
@@ -58,10 +58,12 @@ def exact_groups(docs: DataFrame, least: int = 1024, most: int = 8192) -> DataFr
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    # fewer bits than all make keys collide, for tests of what follows then
+    key = (lambda c: F.xxhash64(c)) if key_bits == 64 else lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - key_bits)
     # the normalised text is bound once: chunks and digest would each compute it again
     parts = F.transform(
         F.array(normalised(F.col("text"))),
-        lambda t: F.struct(F.sha2(t, 256).alias("sha"), F.transform(chunks(t, least, most), lambda c: F.struct(F.xxhash64(c).alias("key"), F.unhex(F.sha2(c, 256)).alias("digest"))).alias("parts")),
+        lambda t: F.struct(F.sha2(t, 256).alias("sha"), F.transform(chunks(t, least, most), lambda c: F.struct(key(c).alias("key"), F.unhex(F.sha2(c, 256)).alias("digest"))).alias("parts")),
     )[0]
     recipes = docs.select(F.col("doc_id"), parts.alias("r")).select("doc_id", F.unhex("r.sha").alias("sha"), F.col("r.parts.key").alias("keys"), F.col("r.parts.digest").alias("digests"))
     recipes = scratch.cut(recipes, "recipes")

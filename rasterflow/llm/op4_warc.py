@@ -31,6 +31,15 @@ from ._shared import Scratch, new_path
 #: Archives are rolled at so many bytes, read in blocks of so many, and version lines that start a record.
 ROLL, BLOCK, VERSIONS = 32 << 20, 1 << 18, (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 _GZIP = b"\x1f\x8b\x08"
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS x, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(x, 1 + (i // 4) * 5, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space of URLs
 
 

@@ -115,10 +115,11 @@ class Scanner:
                 if len(got) >= self.coverage * m:
                     hits.append((len(got), m, name, start + got[0][0], start + got[-1][0] + 1))
         hits.sort(key=lambda h: (-h[0], h[1], h[2], h[3], h[4]))
-        out: list[tuple[str, int, int, int, int]] = []
+        out, used = [], bytearray(len(t))
         for n, m, name, s, e in hits:
-            if all(e <= x[1] or s >= x[2] for x in out):
+            if 1 not in used[s:e]:
                 out.append((name, s, e, n, m))
+                used[s:e] = b"\1" * (e - s)
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 

@@ -82,10 +82,11 @@ def test_jaccard_empty_table_and_clashing_columns(spark):
     assert [tuple(r) for r in jaccard_components(more).collect()] == [(1, 2, 1, 1)]
 
 
-def test_exact_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("key_bits", [64, 2])
+def test_exact_groups_equal_brute_force(spark, key_bits):
     long = "Sentence one. " * 4000
     rows = [(1, "Abc"), (2, "aBC"), (3, "ÀBC"), (4, "àBC"), (5, None), (6, ""), (7, long), (8, long.upper()), (9, long + "x"), (9, long + "x"), (10, "İI"), (11, "İi"), (None, "only"), (None, "abc")]
-    got = sorted(map(tuple, exact_groups(spark.createDataFrame(rows, DOCS)).collect()), key=repr)
+    got = sorted(map(tuple, exact_groups(spark.createDataFrame(rows, DOCS), key_bits=key_bits).collect()), key=repr)
     norm = [(d, (t or "").translate(LOWER)) for d, t in rows]
     want = []
     for d, t in norm:
