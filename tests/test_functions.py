@@ -81,3 +81,16 @@ def test_options_and_arguments():
     assert parse_arguments(["--view=历史"], there).view == "history" and parse_arguments(["--view=?"], there).view is None
     assert Startup(("a",), None, True).route == ("single", 1) and Startup(("a", "b"), None, True).route[0] == "batch" and Startup(("a",)).route is None
     assert ConvertOptions("png").naming == "KeepOriginal" and TransformOptions(resize_mode="Nearest").is_identity
+
+
+def test_log_file_begins_anew(tmp_path):
+    from rasterflow.functions import logs
+
+    at = tmp_path / "logs" / "app.log"
+    logs.open_log(str(tmp_path), "INFO", "t1").info("one")
+    assert "one" in at.read_text()
+    at.write_text("x" * (logs.LIMIT + 1))
+    log = logs.open_log(str(tmp_path), "loud", "t1")
+    log.info("two")
+    log.warning("three")
+    assert "two" not in at.read_text() and "three" in at.read_text() and at.with_suffix(".log.old").exists()
