@@ -37,7 +37,8 @@ KINDS = ["assign", "access", "hex", "jwt", "der", "pem", "ssh"]
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 _HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+#: A block's body is at most 64 KB, so that marks without an end cost no more than that each.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s:,.-]{0,65536}?)-----END \1-----")
 _OPENSSH = b"openssh-key-v1\x00"
 
 
