@@ -11,8 +11,11 @@ documents, the count of n-grams they share. It is never formed whole:
   ceil(t (x + y) / (1 + t)) n-grams, so they meet in one of the first
   x - bound + 1 columns of either; only that block of columns is multiplied, and
   frequent n-grams (shared passages) lie behind it.
-* Overlap counts are accumulated for a pair over those columns and a pair is
-  dropped where sizes and positions leave less than the bound.
+* Documents of a column are multiplied in blocks of bounded size, inside a task. A pair
+  is dropped there where sizes and positions leave less than the bound, or where the
+  counts of both sets in fixed blocks of columns do: their overlap is at most the
+  sum of the lesser counts. Overlap counts of a pair are accumulated over its columns,
+  and what they leave open behind the last of them is held against the bound again.
 * What is left is verified exactly on the whole texts.
 
 Components need no link inside what is connected already. So a first product
@@ -38,6 +41,8 @@ from .shingles import mix, shingles
 
 #: Counters of the frequency sketch; fixed, so what is broadcast does not grow.
 SKETCH_BITS = 21
+#: Blocks of columns that a set's n-grams are counted in, and documents of a column in one block of the product.
+COLUMN_BLOCKS, BLOCK_ROWS = 1024, 2048
 #: Bits of the filter of candidate ids; fixed as well.
 BLOOM_BITS = 23
 
@@ -58,14 +63,14 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
         if wait:
             total += np.bincount(np.concatenate(wait).astype(np.int64), minlength=size)
         if total.any():
-            part = np.minimum(total, 65535).astype(np.uint16).reshape(rows, -1)
+            part = np.minimum(total, 255).astype(np.uint8).reshape(rows, -1)  # frequent in one part is frequent
             yield pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int32()), pa.array([x.tobytes() for x in part], pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(counts.as_buffer(), np.uint16).astype(np.int64)
+                x = np.frombuffer(counts.as_buffer(), np.uint8).astype(np.int64)
                 total[block] = total[block] + x if block in total else x
         for block, x in total.items():
             level = np.minimum(255, np.floor(8 * np.log2(1 + x))).astype(np.uint8)
@@ -79,20 +84,22 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
-    """(doc_id, n, sig_a, sig_b, prefix): size, 128-bit content hash and first columns of each set."""
+    """(doc_id, n, sig_a, sig_b, prefix, counts): size, 128-bit content hash, first columns and counts by column block."""
     shared, shift = docs.sparkSession.sparkContext.broadcast(levels), np.uint64(64 - SKETCH_BITS)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("prefix", pa.list_(pa.int64())), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for batch in batches:
-            size, a, b, prefix = [], [], [], []
+            size, a, b, prefix, counts = [], [], [], [], []
             for _, g in shingles(batch.column(1), n):
                 s = np.unique(g)
                 m = len(s)
                 size.append(m)
                 a.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                 b.append(int(mix(s ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).view(np.int64)))
+                c = np.minimum(15, np.bincount((s & np.uint64(COLUMN_BLOCKS - 1)).astype(np.int64), minlength=COLUMN_BLOCKS)).astype(np.uint8)
+                counts.append((c[0::2] | c[1::2] << 4).tobytes())
                 # the least overlap of any partner is that of an equal or smaller one: ceil(t m)
                 take = m - -(-num * m // den) + 1 if m else 0
                 key = (rank[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(55)) | (s >> np.uint64(9))
@@ -102,9 +109,80 @@ def _profile(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) ->
             if size:
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if ends[-1] else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists, pa.array(counts, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, counts binary")
+
+
+def _bounded(x: np.ndarray, y: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether counts by column block, two in a byte, allow an overlap of ``least``; a full count allows any."""
+    total, full = np.zeros(len(least), np.int64), np.zeros(len(least), bool)
+    for part in (lambda v: v & 15, lambda v: v >> 4):
+        both = np.minimum(part(x), part(y))
+        total += both.sum(axis=1, dtype=np.int64)
+        full |= (both == 15).any(axis=1)
+    return (total >= least) | full
+
+
+def _product(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, after, bound, ra, rb) of pairs in different components that a column leaves possible.
+
+    ``rows`` has token, block (of the column's product), side (bits: in its left, its right half), doc_id,
+    n, pos, root and counts. The rows of one block of one column are in one task and next to each other.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("after", pa.int64()), ("bound", pa.int64()), ("ra", pa.int64()), ("rb", pa.int64())])
+
+    def pairs(t: dict[str, np.ndarray], counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
+        least = -(-num * (t["n"][i] + t["n"][j]) // (num + den))
+        after = np.minimum(t["n"][i] - t["pos"][i], t["n"][j] - t["pos"][j])
+        ok = (t["root"][i] != t["root"][j]) & (t["doc_id"][i] != t["doc_id"][j]) & (np.minimum(t["n"][i], t["n"][j]) >= least) & (after >= least) & (t["side"][i] | t["side"][j] == 3)
+        i, j, least, after = i[ok], j[ok], least[ok], after[ok]
+        keep = [k + np.flatnonzero(_bounded(counts[i[k : k + 4096]], counts[j[k : k + 4096]], least[k : k + 4096])) for k in range(0, len(i), 4096)]
+        if not keep or not len(keep := np.concatenate(keep)):
+            return None
+        x, y, rx, ry = t["doc_id"][i[keep]], t["doc_id"][j[keep]], t["root"][i[keep]], t["root"][j[keep]]
+        less = x < y
+        columns = (np.minimum(x, y), np.maximum(x, y), after[keep], least[keep], np.where(less, rx, ry), np.where(less, ry, rx))
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in columns], schema=schema)
+
+    def multiply(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = {c: table[c].to_numpy() for c in ("token", "block", "side", "doc_id", "n", "pos", "root")}
+        column = table["counts"].combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        width = COLUMN_BLOCKS // 2
+        counts = np.frombuffer(column.buffers()[2], np.uint8)[column.offset * width :][: len(column) * width].reshape(-1, width)
+        new = np.flatnonzero(np.r_[True, (t["token"][1:] != t["token"][:-1]) | (t["block"][1:] != t["block"][:-1])])
+        size = np.diff(np.r_[new, len(column)])
+        start = np.repeat(new, size)
+        place, small = np.arange(len(column)) - start, np.repeat(size <= 32, size)
+        # small blocks all at once, by distance; large ones row by row
+        for d in range(1, int(size[size <= 32].max(initial=1))):
+            j = np.flatnonzero(small & (place >= d))
+            if (out := pairs(t, counts, j - d, j)) is not None:
+                yield out
+        for s, k in zip(new[size > 32].tolist(), size[size > 32].tolist(), strict=True):
+            for r in range(s, s + k - 1):
+                j = np.arange(r + 1, s + k)
+                if (out := pairs(t, counts, np.full(len(j), r), j)) is not None:
+                    yield out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            token, block = (held[c].to_numpy() for c in ("token", "block"))
+            # the last block may go on in the next batch
+            other = np.flatnonzero((token != token[-1]) | (block != block[-1]))
+            if len(other):
+                yield from multiply(held.slice(0, int(other[-1]) + 1))
+                held = held.slice(int(other[-1]) + 1)
+        if held is not None:
+            yield from multiply(held)
+
+    return rows.mapInArrow(run, "a long, b long, after long, bound long, ra long, rb long")
 
 
 def _only(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
@@ -120,11 +198,20 @@ def _only(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
         return [((h >> np.uint64(20 * k)) & np.uint64(size - 1)).astype(np.int64) for k in range(3)]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
+        bits, any_ = np.zeros(size, bool), False
         for batch in batches:
+            any_ |= batch.num_rows > 0
             for p in places(batch.column(0).to_numpy(zero_copy_only=False)):
                 bits[p] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            for x in batch.column(0):
+                bits |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).view(bool)
@@ -135,7 +222,7 @@ def _only(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
             if ok.any():
                 yield batch.filter(pa.array(ok))
 
-    rows = ids.repartition(4, "id").mapInArrow(build, "bits binary").collect()  # four rows of 1 MB
+    rows = ids.mapInArrow(build, "bits binary").repartition(4).mapInArrow(either, "bits binary").collect()  # four rows of 1 MB
     merged = np.zeros(size // 8, np.uint8)
     for (x,) in rows:
         merged |= np.frombuffer(x, np.uint8)
@@ -144,13 +231,14 @@ def _only(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those pairs (a, b) whose n-gram sets have a Jaccard of at least num / den, from the whole texts."""
+    """(a, b) of the components ra and rb of pairs (a, b, ra, rb) whose n-gram sets have a Jaccard of at least
+    num / den, from the whole texts; one row for two components, however many links there are between them."""
     pairs = scratch.cut(pairs, f"{name}-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     ids = scratch.cut(ids, f"{name}-ids")
     if ids.isEmpty():
-        return pairs
-    texts = scratch.cut(_only(docs, ids).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), f"{name}-texts")
+        return pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    texts = scratch.cut(_only(docs, ids), f"{name}-texts")  # the joins drop what else came through
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by a, so its set is made once for all its partners in a batch
@@ -158,18 +246,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, scr
             a = batch.column(0).to_numpy()
             one = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
             which = np.cumsum(np.r_[0, (a[1:] != a[:-1]).astype(np.int64)]) if len(a) else one
-            left = [np.unique(g) for _, g in shingles(batch.column(2).take(pa.array(one)), n)]
+            left = [np.unique(g) for _, g in shingles(batch.column(3).take(pa.array(one)), n)]
             ok = []
-            for row, g in shingles(batch.column(3), n):
+            for row, g in shingles(batch.column(4), n):
                 x, y = left[which[row]], np.unique(g)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select([1, 2]).filter(pa.array(ok, pa.bool_()))
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    out = scratch.cut(both.sortWithinPartitions("a").mapInArrow(run, "a long, b long"), f"{name}-links")
+    both = pairs.join(right, "b").join(left, "a").select("a", "ra", "rb", "text_a", "text_b")
+    found = both.sortWithinPartitions("a").mapInArrow(run, "ra long, rb long")
+    out = scratch.cut(found.distinct().select(F.col("ra").alias("a"), F.col("rb").alias("b")), f"{name}-links")
     scratch.drop(f"{name}-texts", f"{name}-ids", f"{name}-pairs")
     return out
 
@@ -182,7 +271,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     shorter text is one shingle; a null, empty or blank text has none and stays
     alone. Documents link when den * intersection >= num * union. component_id is the
     least doc_id reachable by links, class_id that of the documents with the same set.
-    A row repeated under one doc_id counts once. Rows with a null doc_id have no
+    A row repeated under one doc_id counts once; different texts under one doc_id are one
+    document whose links are those of either, with the larger size. Rows with a null doc_id have no
     identity and are left out. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -192,13 +282,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     profile = scratch.cut(_profile(docs, n, num, den, levels), "profile")
     sizes = profile.select("doc_id", "n", "sig_a", "sig_b")
     classes = scratch.cut(sizes.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep")), "classes")
-    rows = (
-        profile.where("n > 0")
-        .select("doc_id", "n", "prefix")
-        .join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"])
-        .select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    )
+    # what is not its class's smallest stays out; few are, so these are what is joined
+    copies = scratch.cut(sizes.join(classes, ["n", "sig_a", "sig_b"]).where("doc_id <> rep").select("doc_id"), "copies")
+    rows = profile.where("n > 0").join(copies, "doc_id", "left_anti").select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
     token = W.partitionBy("token")
     # incidence columns with one document multiply to nothing
     block = scratch.cut(rows.withColumn("k", F.count("*").over(token)).where("k > 1").drop("k"), "block")
@@ -207,31 +293,36 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     fits = lambda x, y, px, py: (F.least(x, y) >= (b := least(x, y))) & (F.col(px) <= F.col(x) - b) & (F.col(py) <= F.col(y) - b)
     links, comps = None, None
     for step in range(3):
-        here = block if comps is None else block.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        here = here if comps is not None else here.withColumn("root", F.col("doc_id"))
+        here = block.withColumn("root", F.col("doc_id")) if comps is None else block.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         if step < 2:
             # each document with the leader of each of its columns; its best leader counts
-            order = F.struct("n", "doc_id") if step == 0 else F.struct(F.xxhash64("root", F.lit(step)).alias("n"), F.col("doc_id"))
+            order = F.struct("n", "doc_id") if step == 0 else F.struct(F.xxhash64("root").alias("n"), F.col("doc_id"))
             lead = here.withColumn("lead", F.min(F.struct(order.alias("o"), "doc_id", "n", "pos", "root")).over(token))
             pairs = lead.where((F.col("lead.root") != F.col("root")) & fits("n", "lead.n", "pos", "lead.pos"))
-            pairs = pairs.groupBy(F.col("doc_id").alias("a"), F.col("lead.doc_id").alias("b")).agg(F.count("*").alias("overlap"))
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("overlap", -F.col("b"))).alias("b"))
+            pairs = pairs.groupBy(F.col("doc_id").alias("a"), F.col("lead.doc_id").alias("b")).agg(F.count("*").alias("overlap"), F.first("root").alias("ra"), F.first("lead.root").alias("rb"))
+            pairs = pairs.groupBy("a").agg(F.max_by(F.struct("b", "ra", "rb"), F.struct("overlap", -F.col("b"))).alias("best")).select("a", "best.*")
         else:
             # columns whose documents lie in different components, multiplied in full
-            here = scratch.cut(here.withColumn("lo", F.min("root").over(token)).withColumn("hi", F.max("root").over(token)).where("lo < hi").select("token", "doc_id", "n", "pos", "root"), "open")
-            x, y = (here.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "pos", "root"))) for s in "xy")
-            pairs = x.join(y, "token").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("root_x") != F.col("root_y")) & fits("n_x", "n_y", "pos_x", "pos_y"))
-            pairs = pairs.groupBy(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).agg(F.count("*").alias("overlap"), F.min(F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))).alias("after"), F.first(least("n_x", "n_y")).alias("bound"))
+            here = here.withColumns({"lo": F.min("root").over(token), "hi": F.max("root").over(token), "k": F.count("*").over(token)}).where("lo < hi").drop("lo", "hi")
+            here = here.join(profile.select("doc_id", "counts").dropDuplicates(["doc_id"]), "doc_id")
+            # a column of k documents is cut in parts; every two of them, and each alone, are a block
+            parts = F.ceil(F.col("k") / BLOCK_ROWS).cast("int")
+            mine = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
+            each = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct((F.least(p, mine) * parts + F.greatest(p, mine)).alias("block"), F.when(p == mine, 3).when(mine < p, 1).otherwise(2).alias("side")))
+            here = here.select("token", "doc_id", "n", "pos", "root", "counts", F.explode(each).alias("e")).select("token", "e.block", "e.side", "doc_id", "n", "pos", "root", "counts")
+            pairs = _product(here.repartition("token", "block").sortWithinPartitions("token", "block"), num, den)
+            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.min("after").alias("after"), F.first("bound").alias("bound"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
             # what the multiplied columns hold in common and what can still come behind the last of them
             pairs = pairs.where("overlap + after - 1 >= bound")
-        found = _verified(pairs.select("a", "b"), docs, n, num, den, scratch, f"step{step}")
+        found = _verified(pairs.select("a", "b", "ra", "rb"), docs, n, num, den, scratch, f"step{step}")
         links = found if links is None else links.unionByName(found)
         comps = scratch.cut(components(links, scratch, f"star{step}"), f"cc{step}")
-        scratch.drop(f"cc{step - 1}", f"step{step}-links", "open")
+        scratch.drop(f"cc{step - 1}", f"step{step}-links")
         links = comps.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
     roots = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "sig_a", "sig_b", "rep", F.coalesce("root", "rep").alias("root"))
     roots = scratch.cut(roots, "roots")
-    out = sizes.join(roots, ["n", "sig_a", "sig_b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id")).dropDuplicates(["doc_id"])
+    out = sizes.join(roots, ["n", "sig_a", "sig_b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
+    out = out.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.min("class_id").alias("class_id"))
     out = scratch.cut(out, "result")
     scratch.paths.pop("result")
     scratch.drop_all()
