@@ -26,15 +26,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id; few rows go, so these are what is joined."""
-    gone = op3_exact_dedup.exact_groups(docs).where("not kept").select("doc_id")
+    """Of equal texts the row with the largest doc_id.
+
+    Few rows go, so these are what is joined; written first, their size is known to the planner,
+    which broadcasts them or not before any text is moved.
+    """
+    gone = Scratch(spark).cut(op3_exact_dedup.exact_groups(docs).where("not kept").select("doc_id"), "gone")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least doc_id, of each group of near copies (five words, 0.8)."""
     found = op1_ngram_jaccard.jaccard_components(docs, n=5, num=80, den=100)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    gone = Scratch(spark).cut(found.where("doc_id <> component_id").select("doc_id"), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
