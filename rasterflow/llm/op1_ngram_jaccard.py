@@ -27,7 +27,8 @@ candidates is capped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ from .shingles import mix, shingles
 SKETCH_BITS = 21
 #: Blocks of columns that a set's n-grams are counted in, and documents of a column in one block of the product.
 COLUMN_BLOCKS, BLOCK_ROWS = 1024, 2048
+#: Open columns of a document that travel with its rows; with more, its pairs may come from several columns.
+LISTED = 256
 #: Bits of the filter of candidate ids; fixed as well.
 BLOOM_BITS = 23
 
@@ -128,11 +131,12 @@ def _product(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, after, bound, ra, rb) of pairs in different components that a column leaves possible.
 
     ``rows`` has token, block (of the column's product), side (bits: in its left, its right half), doc_id,
-    n, pos, root and counts. The rows of one block of one column are in one task and next to each other.
+    n, pos, root, counts and tokens (the document's open columns; empty where these are many). A pair comes
+    from the first column that both have, from each where tokens are missing. The rows of one block of one column are in one task and next to each other.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("after", pa.int64()), ("bound", pa.int64()), ("ra", pa.int64()), ("rb", pa.int64())])
 
-    def pairs(t: dict[str, np.ndarray], counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
+    def pairs(t: dict[str, np.ndarray], counts: np.ndarray, tokens: Callable[[int], frozenset], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
         least = -(-num * (t["n"][i] + t["n"][j]) // (num + den))
         after = np.minimum(t["n"][i] - t["pos"][i], t["n"][j] - t["pos"][j])
         ok = (t["root"][i] != t["root"][j]) & (t["doc_id"][i] != t["doc_id"][j]) & (np.minimum(t["n"][i], t["n"][j]) >= least) & (after >= least) & (t["side"][i] | t["side"][j] == 3)
@@ -140,6 +144,9 @@ def _product(rows: DataFrame, num: int, den: int) -> DataFrame:
         keep = [k + np.flatnonzero(_bounded(counts[i[k : k + 4096]], counts[j[k : k + 4096]], least[k : k + 4096])) for k in range(0, len(i), 4096)]
         if not keep or not len(keep := np.concatenate(keep)):
             return None
+        first = [not (both := tokens(p) & tokens(q)) or min(both) == c for p, q, c in zip(i[keep].tolist(), j[keep].tolist(), t["token"][i[keep]].tolist(), strict=True)]
+        if not len(keep := keep[np.array(first)]):
+            return None
         x, y, rx, ry = t["doc_id"][i[keep]], t["doc_id"][j[keep]], t["root"][i[keep]], t["root"][j[keep]]
         less = x < y
         columns = (np.minimum(x, y), np.maximum(x, y), after[keep], least[keep], np.where(less, rx, ry), np.where(less, ry, rx))
@@ -151,6 +158,9 @@ def _product(rows: DataFrame, num: int, den: int) -> DataFrame:
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         width = COLUMN_BLOCKS // 2
         counts = np.frombuffer(column.buffers()[2], np.uint8)[column.offset * width :][: len(column) * width].reshape(-1, width)
+        lists = table["tokens"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        tokens = lru_cache(1 << 16)(lambda row: frozenset(lists[row].as_py() or ()))
         new = np.flatnonzero(np.r_[True, (t["token"][1:] != t["token"][:-1]) | (t["block"][1:] != t["block"][:-1])])
         size = np.diff(np.r_[new, len(column)])
         start = np.repeat(new, size)
@@ -158,12 +168,12 @@ def _product(rows: DataFrame, num: int, den: int) -> DataFrame:
         # small blocks all at once, by distance; large ones row by row
         for d in range(1, int(size[size <= 32].max(initial=1))):
             j = np.flatnonzero(small & (place >= d))
-            if (out := pairs(t, counts, j - d, j)) is not None:
+            if (out := pairs(t, counts, tokens, j - d, j)) is not None:
                 yield out
         for s, k in zip(new[size > 32].tolist(), size[size > 32].tolist(), strict=True):
             for r in range(s, s + k - 1):
                 j = np.arange(r + 1, s + k)
-                if (out := pairs(t, counts, np.full(len(j), r), j)) is not None:
+                if (out := pairs(t, counts, tokens, np.full(len(j), r), j)) is not None:
                     yield out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,12 +314,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         else:
             # columns whose documents lie in different components, multiplied in full
             here = here.withColumns({"lo": F.min("root").over(token), "hi": F.max("root").over(token), "k": F.count("*").over(token)}).where("lo < hi").drop("lo", "hi")
-            here = here.join(profile.select("doc_id", "counts").dropDuplicates(["doc_id"]), "doc_id")
+            lists = here.groupBy("doc_id").agg(F.collect_list("token").alias("tokens")).withColumn("tokens", F.when(F.size("tokens") <= LISTED, F.col("tokens")).otherwise(F.array().cast("array<long>")))
+            here = here.join(profile.select("doc_id", "counts").dropDuplicates(["doc_id"]), "doc_id").join(lists, "doc_id")
             # a column of k documents is cut in parts; every two of them, and each alone, are a block
             parts = F.ceil(F.col("k") / BLOCK_ROWS).cast("int")
             mine = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
             each = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct((F.least(p, mine) * parts + F.greatest(p, mine)).alias("block"), F.when(p == mine, 3).when(mine < p, 1).otherwise(2).alias("side")))
-            here = here.select("token", "doc_id", "n", "pos", "root", "counts", F.explode(each).alias("e")).select("token", "e.block", "e.side", "doc_id", "n", "pos", "root", "counts")
+            here = here.select("token", "doc_id", "n", "pos", "root", "counts", "tokens", F.explode(each).alias("e")).select("token", "e.block", "e.side", "doc_id", "n", "pos", "root", "counts", "tokens")
             pairs = _product(here.repartition("token", "block").sortWithinPartitions("token", "block"), num, den)
             pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.min("after").alias("after"), F.first("bound").alias("bound"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
             # what the multiplied columns hold in common and what can still come behind the last of them
