@@ -45,7 +45,7 @@ SKETCH_BITS = 21
 #: Blocks of columns that a set's n-grams are counted in, and documents of a column in one block of the product.
 COLUMN_BLOCKS, BLOCK_ROWS = 1024, 2048
 #: Open columns of a document that travel with its rows; with more, its pairs may come from several columns.
-LISTED = 256
+LISTED = 32
 #: Bits of the filter of candidate ids; fixed as well.
 BLOOM_BITS = 23
 
@@ -314,6 +314,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         else:
             # columns whose documents lie in different components, multiplied in full
             here = here.withColumns({"lo": F.min("root").over(token), "hi": F.max("root").over(token), "k": F.count("*").over(token)}).where("lo < hi").drop("lo", "hi")
+            here = scratch.cut(here, "open")  # read twice
             lists = here.groupBy("doc_id").agg(F.collect_list("token").alias("tokens")).withColumn("tokens", F.when(F.size("tokens") <= LISTED, F.col("tokens")).otherwise(F.array().cast("array<long>")))
             here = here.join(profile.select("doc_id", "counts").dropDuplicates(["doc_id"]), "doc_id").join(lists, "doc_id")
             # a column of k documents is cut in parts; every two of them, and each alone, are a block
