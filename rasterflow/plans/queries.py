@@ -494,6 +494,25 @@ def color_layouts(spark, sf_dir):
     return P.to_color(px, "Rgba8", "GrayAlpha8")
 
 
+# the three above over every part
+
+
+@query(SQL["gradient_pixels"].replace(T.GRADIENT, T.ALL_GRADIENT))
+def gradient_pixels_all(spark, sf_dir):
+    return P.gradient(T.all_sizes(spark, sf_dir))
+
+
+@query(SQL["grayscale_pixels"].replace(T.GRADIENT, T.ALL_GRADIENT))
+def grayscale_pixels_all(spark, sf_dir):
+    return P.grayscale(P.gradient(T.all_sizes(spark, sf_dir)))
+
+
+@query(SQL["color_layouts"].replace(T.GRADIENT, T.ALL_GRADIENT))
+def color_layouts_all(spark, sf_dir):
+    px = P.to_color(P.gradient(T.all_sizes(spark, sf_dir)), "Rgb8", "Rgba8")
+    return P.to_color(px, "Rgba8", "GrayAlpha8")
+
+
 @query(f"WITH {T.RASTER} SELECT asset_id, bool_or(c0 <> 0 AND c0 <> 255) AS semi_transparent FROM (SELECT asset_id, CASE WHEN asset_id % 3 = 0 THEN CASE WHEN c0 > 127 THEN 255 ELSE 0 END ELSE c0 END AS c0 FROM px) GROUP BY asset_id")
 def semi_transparent(spark, sf_dir):
     px = T.raster(spark, sf_dir).withColumn("c0", F.when(c("asset_id") % 3 == 0, F.when(c("c0") > 127, 255).otherwise(0)).otherwise(c("c0")))
@@ -537,8 +556,9 @@ _HEADS = ("", "  <svg x>", "<?xml?><svg>", "<?xml?>", "BM", "GIF89a", "qoif", "f
 
 @query(f"WITH p AS (SELECT page_id, {list(_HEADS)}[1 + (page_id % {len(_HEADS)})::INT] || left(url, 40) AS html FROM pages) SELECT page_id, {_MARKS} AS format, CASE WHEN {_MARKS} IN ('svg', 'bmp') THEN {_MARKS} END AS enabled FROM p")
 def sniffed_formats(spark, sf_dir):
+    """Whole pages behind the heads. The SQL puts the url's start there, which no mark depends on unless a page holds an svg."""
     head = F.element_at(F.array(*[F.lit(x) for x in _HEADS]), (c("page_id") % len(_HEADS) + 1).cast("int"))
-    p = T.table(spark, sf_dir, "pages").select("page_id", F.concat(head, F.substring("url", 1, 40)).cast("binary").alias("content"))
+    p = T.table(spark, sf_dir, "pages").select("page_id", F.concat(head, F.col("html")).cast("binary").alias("content"))
     return p.select("page_id", sniff.detect(c("content"), packed=False).alias("format"), sniff.detect(c("content"), ("svg", "bmp"), packed=False).alias("enabled"))
 
 

@@ -86,3 +86,13 @@ GRADIENT = f"""{SIZES}, g AS (
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").where("p_size <= 10").select(k.alias("asset_id"), (20 + k % 11).cast("int").alias("w"), (12 + k % 7).cast("int").alias("h"))
+
+
+#: The same sizes over the whole of part; SIZES reads a part of it.
+ALL_SIZES = "s AS (SELECT p_partkey AS asset_id, (20 + p_partkey % 11)::INT AS w, (12 + p_partkey % 7)::INT AS h FROM part)"
+ALL_GRADIENT = GRADIENT.replace(SIZES, ALL_SIZES)
+
+
+def all_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("asset_id"), (20 + k % 11).cast("int").alias("w"), (12 + k % 7).cast("int").alias("h"))
