@@ -83,7 +83,8 @@ class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.coverage = coverage
         self.templates = {name: tokens(text) for name, text in templates.items()}
-        count = Counter(w for t in self.templates.values() for w in set(t))
+        self.words = {name: frozenset(t) for name, t in self.templates.items()}
+        count = Counter(w for words in self.words.values() for w in words)
         # in any stretch that is covered enough, one of a template's rarest words stands: more of them than may miss
         self.keys: dict[str, list[tuple[str, int]]] = {}
         for name, t in self.templates.items():
@@ -102,15 +103,18 @@ class Scanner:
         tried, hits = set(), []
         for i, w in enumerate(t):
             for name, j in self.keys.get(w, ()):
-                template = self.templates[name]
+                # one stretch for all key words that place the notice alike, also where it would begin before the text
+                if (name, i - j) in tried:
+                    continue
+                tried.add((name, i - j))
+                template, words = self.templates[name], self.words[name]
                 m = len(template)
                 slack = max(2, m // 4)
-                # one stretch for all key words of the same notice
                 start = max(0, i - j - slack)
-                if (name, start // slack) in tried:
-                    continue
-                tried.add((name, start // slack))
                 stretch = t[start : i - j + m + 2 * slack]
+                # no more words can match than stand in the template
+                if len([x for x in stretch if x in words]) < self.coverage * m:
+                    continue
                 got = align(stretch, template)
                 if len(got) >= self.coverage * m:
                     hits.append((len(got), m, name, start + got[0][0], start + got[-1][0] + 1))

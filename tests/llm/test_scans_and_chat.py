@@ -92,6 +92,17 @@ def test_notices_in_long_and_edited_texts(spark):
     assert [(h[0], h[3]) for h in Scanner(TEMPLATES, 0.8).find(" ".join(words))] == [("MIT-text", len(words) - 1)]
 
 
+def test_notices_near_the_head_behind_stray_words():
+    scanner = Scanner(TEMPLATES, 0.8)
+    assert [h[0] for h in scanner.find("General terms of use. " + TEMPLATES["GPL-3.0"])] == ["GPL-3.0"]
+    for name, text in TEMPLATES.items():
+        words = tokens(text)
+        for stray in sorted(w for w, of in scanner.keys.items() if name in dict(of)):
+            for gap in range(1, 2 * max(2, len(words) // 4), 3):
+                found = scanner.find(f"{stray} {'other ' * gap}{text}")
+                assert [(h[0], h[3]) for h in found] == [(name, len(words))], (name, stray, gap)
+
+
 TURNS = "pair_id long, side int, turn long, role string, text string, line string"
 
 
