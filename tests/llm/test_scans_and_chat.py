@@ -103,6 +103,24 @@ def test_notices_near_the_head_behind_stray_words():
                 assert [(h[0], h[3]) for h in found] == [(name, len(words))], (name, stray, gap)
 
 
+def test_versions_and_variants_are_told_apart():
+    found = lambda text: [h[0] for h in Scanner(TEMPLATES, 0.8).find(text)]
+    for name, text in TEMPLATES.items():
+        assert found(f"before it {text} and after") == [name]
+    assert found("Licensed under CC BY-SA 4.0.") == ["CC-BY-SA-4.0"]
+    assert found("Licensed under CC BY-NC 1.0.") == []
+    assert found("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0"]
+    assert found("This work is licensed under the GNU General Public License, version 1.") == []
+    assert found("Released under the BSD License.") == []
+    gpl = TEMPLATES["GPL-3.0-notice"]
+    assert found(gpl.replace("GNU General", "GNU Lesser General")) == ["LGPL-3.0-notice"]
+    assert found(gpl.replace("GNU General", "GNU Affero General")) == ["AGPL-3.0-notice"]
+    assert found(gpl.replace("version 3", "version 1")) == []
+    assert found(gpl.replace("program", "library")) == ["GPL-3.0-notice"]
+    assert found(TEMPLATES["GPL-2.0-notice"].replace("program", "library")) == ["GPL-2.0-notice"]
+    assert found(TEMPLATES["LGPL-2.0-notice"].replace("program", "library")) == ["LGPL-2.0-notice"]
+
+
 TURNS = "pair_id long, side int, turn long, role string, text string, line string"
 
 
