@@ -25,27 +25,71 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where(~op8_quality_rules.base_failed() & op8_quality_rules.verdict(rules)).select(docs.columns)
 
 
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with _key: the doc_id where one row alone has it, else (null or repeated) a 64-bit hash of doc_id and text.
+
+    So different texts under one doc_id, or under none, are documents of their own; rows equal in both are one.
+    """
+    docs = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    own = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    again = scratch.cut(docs.where("_key is not null").groupBy(F.col("_key").alias("_again")).count().where("count > 1").select("_again"), "again")
+    if again.isEmpty():
+        return docs.withColumn("_key", F.coalesce("_key", own))
+    marked = docs.join(again, F.col("_key") == F.col("_again"), "left")
+    return marked.withColumn("_key", F.when(F.col("_again").isNull(), F.coalesce("_key", own)).otherwise(own)).drop("_again")
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id.
+    """Of equal texts (A-Z in lower case) one row, that with the largest doc_id; null counts as the least.
 
-    Few rows go, so these are what is joined; written first, their size is known to the planner,
-    which broadcasts them or not before any text is moved.
+    Where several rows have both, the first of them in the order of their columns' JSON stays.
+    Few rows go, so these are what is joined: by doc_id where one row alone has it, else by doc_id and the
+    text's digest. Written first, their size is known to the planner, which broadcasts them or not
+    before any text is moved.
     """
-    gone = Scratch(spark).cut(op3_exact_dedup.exact_groups(docs).where("not kept").select("doc_id"), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    scratch, columns = Scratch(spark), docs.columns
+    judged = op3_exact_dedup.exact_groups(docs).select(F.col("doc_id").alias("_of"), "kept", F.unhex("text_sha256").alias("_sha"))
+    judged = scratch.cut(judged, "judged")
+    ids = judged.groupBy("_of").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"))
+    gone = scratch.cut(ids.where("_of is not null and n = 1 and not kept").select("_of"), "gone")
+    odd = scratch.cut(ids.where("_of is null or n > 1").select(F.col("_of").alias("_odd")), "odd")
+    rows = docs.join(gone, F.col("doc_id") == F.col("_of"), "left_anti")
+    if odd.isEmpty():
+        return rows
+    judged = judged.join(odd, F.col("_of").eqNullSafe(F.col("_odd")), "left_semi").groupBy("_of", "_sha").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"))
+    gone = scratch.cut(judged.where("not kept").select("_of", "_sha"), "gone-texts")
+    more = scratch.cut(judged.where("kept and n > 1").select("_of", "_sha"), "more")
+    rows = rows.withColumn("_digest", F.unhex(F.sha2(op3_exact_dedup.normalised(F.col("text")), 256)))
+    same = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_digest") == F.col("_sha"))
+    rows = rows.join(gone, same, "left_anti")
+    whole = F.struct(*columns)
+    one = rows.join(more, same, "left_semi").groupBy("doc_id", "_digest").agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+    return rows.join(more, same, "left_anti").select(columns).unionByName(one.select("_row.*"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least doc_id, of each group of near copies (five words, 0.8)."""
-    found = op1_ngram_jaccard.jaccard_components(docs, n=5, num=80, den=100)
-    gone = Scratch(spark).cut(found.where("doc_id <> component_id").select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document, the one with the least key, of each group of near copies (five words, 0.8).
+
+    The key is the doc_id, but of rows whose doc_id is null or repeated a hash (see _keyed), so that each text
+    is judged by itself; rows equal in doc_id and text stay or go together.
+    """
+    scratch = Scratch(spark)
+    keyed = _keyed(docs, scratch)
+    found = op1_ngram_jaccard.jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), n=5, num=80, den=100)
+    gone = scratch.cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_key")), "gone")
+    return keyed.join(gone, "_key", "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: 0, 1 or 2 rows each."""
-    taken = op7_mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_of"), F.expr("cast(taken div size as int)").alias("_copies")).distinct()
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_of"]))
+    """Documents as often as the mix takes them: 0, 1 or 2 rows each.
+
+    Rows are drawn by key (see _keyed) and joined by key and source, so a null or repeated doc_id with
+    other texts is drawn for each text; rows equal in doc_id, text and source are taken alike.
+    """
+    keyed = _keyed(docs, Scratch(spark)).withColumn("_source", F.col("source").cast("string"))
+    drawn = op7_mixing.mix(keyed.select(F.col("_key").alias("doc_id"), "text", "source"))
+    taken = drawn.where("taken > 0").select(F.col("doc_id").alias("_of"), F.col("source").alias("_from"), F.expr("cast(taken div size as int)").alias("_copies")).distinct()
+    rows = keyed.join(taken, (F.col("_key") == F.col("_of")) & F.col("_source").eqNullSafe(F.col("_from")))
     return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(docs.columns)
 
 

@@ -44,6 +44,64 @@ def test_stages_hold_against_brute_force(spark, tmp_path):
     assert max(fill.values()) <= 4096 and len(fill) <= -(-sum(fill.values()) // 4096) + 1
 
 
+def odd_ids(spark):
+    """Unique texts, copies, and doc_ids that are null or repeated with other texts."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = lambda k: text(k) + " tail"
+    rows = [(1, text(1)), (2, text(2)), (3, text(3)), (None, text(2)), (None, text(4)), (None, text(5)), (3, text(1)), (3, text(6)), (7, text(7)), (7, text(7)), (None, text(8)), (None, text(8)), (9, near(4)), (9, near(9)), (10, text(10))]
+    rows += [(11, text(11).upper()), (11, text(11))]
+    return spark.createDataFrame([(d, t, "en", ("a", "b", None)[k % 3], len(t)) for k, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long"), text, near
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def some(rows):
+    return sorted(((r["doc_id"], r["text"]) for r in rows), key=repr)
+
+
+def test_quality_rules_judge_rows_with_odd_ids_by_themselves(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept = {r["doc_id"]: r["text"] for r in stage("quality_rules")(spark, docs, SMALL).collect()}
+    odd = docs.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars").unionByName(docs)
+    got = some(stage("quality_rules")(spark, odd, SMALL).collect())
+    assert got == sorted([*kept.items(), *((None, t) for t in kept.values())], key=repr)
+
+
+def test_exact_dedup_keeps_texts_with_odd_ids(spark):
+    docs, text, near = odd_ids(spark)
+    got = some(stage("exact_dedup")(spark, docs, SMALL).collect())
+    want = [(2, text(2)), (3, text(3)), (None, text(4)), (None, text(5)), (3, text(1)), (3, text(6)), (7, text(7)), (None, text(8)), (9, near(4)), (9, near(9)), (10, text(10)), (11, text(11).upper())]
+    assert got == sorted(want, key=repr)
+
+
+def test_near_dedup_judges_texts_with_odd_ids_by_themselves(spark):
+    docs, text, near = odd_ids(spark)
+    got = some(stage("near_dedup")(spark, docs, SMALL).collect())
+    texts = [t.lower() for _, t in got]
+    assert {t for t in texts if t not in (text(4), near(4))} == {*map(text, (1, 2, 3, 5, 6, 7, 8, 10, 11)), near(9)}
+    assert (text(4) in texts) != (near(4) in texts)
+    assert set(got) <= set(some(docs.collect()))
+
+
+def test_mixing_takes_texts_with_odd_ids_at_most_twice(spark):
+    docs, text, near = odd_ids(spark)
+    more = docs.unionByName(docs.selectExpr("cast(null as long) as doc_id", "concat(text, ' ', doc_id) as text", "lang", "source", "n_chars").where("text is not null"))
+    many = lambda rows: {k: sum(1 for r in rows if (r["doc_id"], r["text"], r["source"]) == k) for k in {(r["doc_id"], r["text"], r["source"]) for r in rows}}
+    before, rows = many(more.collect()), stage("mixing")(spark, more, SMALL).collect()
+    after = many(rows)
+    assert set(after) <= set(before) and all(n <= 2 * before[k] for k, n in after.items())
+    words = sum(len(r["text"].split()) for r in more.collect())
+    assert 1.2 * words < sum(len(r["text"].split()) for r in rows) < 1.7 * words
+
+
+def test_packing_packs_rows_with_odd_ids_each(spark):
+    docs, _, _ = odd_ids(spark)
+    ids = lambda rows: sorted((r["doc_id"] for r in rows), key=repr)
+    assert ids(stage("packing")(spark, docs, SMALL).collect()) == ids(docs.collect())
+
+
 def test_clean_labelled_documents_stay(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     assert len(labelled(docs, labels)) > 100 and learn(labelled(docs, labels))
