@@ -19,6 +19,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,8 +38,9 @@ KINDS = ["assign", "access", "hex", "jwt", "der", "pem", "ssh"]
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 _HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-#: A block's body is at most 64 KB, so that marks without an end cost no more than that each.
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s:,.-]{0,65536}?)-----END \1-----")
+#: The closing dashes may open the next mark.
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})(?=-----)")
+_NOT_BODY = re.compile(r"[^A-Za-z0-9+/=\s:,.-]")
 _OPENSSH = b"openssh-key-v1\x00"
 
 
@@ -121,6 +123,33 @@ def _fields(b: bytes, at: int, least: int, whole: bool) -> bool:
     return n >= least
 
 
+def _armoured(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, label, body) of blocks from a BEGIN mark to the next END mark of its label, one after the other.
+
+    Bodies hold nothing but base64, header characters and white space; their length has no limit. Marks are
+    found once and looked up in order, and so is the next character that no body has: the time is linear.
+    """
+    begins, ends = [], {}
+    for m in _MARK.finditer(text):
+        if m[1] == "END":
+            ends.setdefault(m[2], []).append(m.start())
+        else:
+            begins.append((m.start(), m.end() + 5, m[2]))
+    after, bad = 0, -1
+    for start, body, label in begins:
+        if start < after or label not in ends:
+            continue
+        at = bisect_left(ends[label], body)
+        if at == len(ends[label]):
+            continue
+        if bad < body:
+            bad = m.start() if (m := _NOT_BODY.search(text, body)) else len(text)
+        stop = ends[label][at]
+        if stop <= bad:
+            after = stop + len("-----END -----") + len(label)
+            yield start, after, label, text[body:stop]
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets of a text, by start and then by kind, in code points."""
     found: set[tuple[int, int, str, int]] = set()
@@ -140,11 +169,11 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if _is_jwt(m[1], m[2]):
                 add("jwt", m)
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = re.sub(r"\s+", "", re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2]))
+        for start, end, label, inner in _armoured(text):
+            body = re.sub(r"\s+", "", re.sub(r"(?m)^[A-Za-z-]+:.*$", "", inner))
             b = _b64(body)
-            if b and (is_der(b) or is_ssh(b) or "ENCRYPTED" in m[1] or "ENCRYPTED" in m[2]):
-                add("pem", m)
+            if b and (is_der(b) or is_ssh(b) or "ENCRYPTED" in label or "ENCRYPTED" in inner):
+                found.add((start, KINDS.index("pem"), "pem", end))
     for m in _BASE64.finditer(text):
         b = _b64(m[0])
         if b and is_der(b):

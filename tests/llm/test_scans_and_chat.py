@@ -6,7 +6,7 @@ import re
 
 from rasterflow.llm.op6_license_scan import TEMPLATES, Scanner, align, scan as license_scan, tokens
 from rasterflow.llm.op9_preference_format import format_pairs
-from rasterflow.llm.op10_secret_scan import is_der, scan as secret_scan, spans
+from rasterflow.llm.op10_secret_scan import _armoured, is_der, scan as secret_scan, spans
 
 DOCS = "doc_id long, text string, spans string"
 
@@ -66,6 +66,25 @@ def test_structures_are_confirmed():
     assert [k for k, _, _ in spans("ssh-ed25519 " + base64.b64encode(blob).decode())] == ["ssh"]
 
 
+def test_armoured_blocks_of_any_length():
+    big = der(0x30, b"".join(der(2, bytes([1 + i % 100]) * 3000) for i in range(40)))
+    body = base64.encodebytes(big).decode()
+    block = f"-----BEGIN PKCS7-----\n{body}-----END PKCS7-----"
+    assert len(body) > 65536 and ("pem", 2, 2 + len(block)) in spans(f"a {block} b")
+    # marks without an end and marks of other labels cost no more than their length
+    many = "".join(f"-----BEGIN A{i}-----\n" for i in range(20_000)) + "-----BEGIN B-----\n" * 20_000 + "!" + "-----END B-----"
+    assert [k for k, _, _ in spans(many)] == []
+
+
+def test_armoured_blocks_equal_the_pattern():
+    rnd = random.Random(5)
+    pattern = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+    parts = ["-----BEGIN A-----", "-----END A-----", "-----BEGIN B", "-----END B", "-----", "-", "abc\n", "!", "BEGIN A", " END ", "A"]
+    for _ in range(20_000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(12)))
+        assert list(_armoured(text)) == [(m.start(), m.end(), m[1], m[2]) for m in pattern.finditer(text)], text
+
+
 def test_alignment_is_increasing_and_whole():
     rnd = random.Random(2)
     for _ in range(200):
