@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from ._shared import Scratch, documents
 from .shingles import word_hashes, words
 
-#: Documents in a group that one task packs, words remembered by a tokenising worker, and rounds.
-GROUP, WORDS, ROUNDS = 8192, 1 << 21, 6
+#: Documents in a group that one task packs in the first round, and words remembered by a tokenising worker.
+GROUP, WORDS = 8192, 1 << 21
 
 
 class _Tokens:
@@ -166,7 +167,7 @@ def pack(rows: DataFrame, most: int = 4096, group: int = GROUP) -> DataFrame:
     settled = []
     open_ = rows.where(F.col("length") < most).select("_row", "length").withColumn("old", F.lit(None).cast("long"))
     last = None
-    for turn in range(ROUNDS):  # each round is run before the next begins
+    for turn in count():  # each round is run before the next begins
         n = open_.count() if turn else rows.where(F.col("length") < most).count()
         if not n:
             break
@@ -200,7 +201,7 @@ def pack(rows: DataFrame, most: int = 4096, group: int = GROUP) -> DataFrame:
         loose = done.where("loose")
         spare, bins = loose.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
         # done when the released documents can't need fewer, or all of them met and nothing was saved
-        if not bins or -(-spare // most) >= bins or bins == last and groups == 1 or turn == ROUNDS - 1:
+        if not bins or -(-spare // most) >= bins or bins == last and groups == 1:
             settled.append(done)
             break
         settled.append(done.where("not loose"))

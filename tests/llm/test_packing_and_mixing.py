@@ -63,6 +63,15 @@ def test_groups_exchange_down_to_the_bound(spark):
     assert len(got) <= lower_bound(sizes, 4096) * 1.03
 
 
+def test_rounds_go_on_until_all_loose_documents_met(spark):
+    rnd = random.Random(5)
+    rows = spark.createDataFrame([(i, rnd.randint(1, 2000)) for i in range(3000)], "doc_id long, length long")
+    got = pack(rows, group=2).groupBy("sequence_id").sum("length").collect()
+    sizes = np.array([r["length"] for r in rows.collect()])
+    assert sum(r[1] for r in got) == sizes.sum() and max(r[1] for r in got) <= 4096
+    assert len(got) <= lower_bound(sizes, 4096) * 1.01
+
+
 def test_packing_empty(spark):
     assert pack_documents(spark.createDataFrame([], DOCS)).count() == 0
 
