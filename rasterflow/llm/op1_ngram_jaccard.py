@@ -9,26 +9,26 @@ documents, the count of n-grams they share. It is never formed whole:
   over all documents) and then by hash, the same order for every document. Two sets
   with sizes x, y and Jaccard of at least t share at least
   ceil(t (x + y) / (1 + t)) n-grams, so they meet in one of the first
-  x - bound + 1 columns of either; only that block of columns is multiplied, and
-  frequent n-grams (shared passages) lie behind it.
-* Documents of a column are multiplied in blocks of bounded size, inside a task. A pair
-  is dropped there where sizes and positions leave less than the bound, or where the
-  counts of both sets in fixed blocks of columns do: their overlap is at most the
-  sum of the lesser counts. Overlap counts of a pair are accumulated over its columns,
-  and what they leave open behind the last of them is held against the bound again.
+  x - ceil(t x) + 1 columns of x. Only these leading columns are multiplied, and
+  frequent n-grams (shared passages) lie behind them.
+* Columns with the same least document form a block. A task multiplies a block and accumulates
+  the overlap count of each pair over its columns; the counts of all blocks are added up. A pair
+  whose overlap in the leading columns, and all that can follow behind the last of them,
+  is less than the bound is discarded there: with few leading columns in common
+  no pair passes, however many columns it meets in.
 * What is left is verified exactly on the whole texts.
 
-Components need no link inside what is connected already. So a first product
-pairs each document with the best leader of its columns, and only columns whose
-documents still lie in different components are multiplied in full. Thousands of
-near copies cost a star, not a square, and no pair of columns, partners or
-candidates is capped.
+Components need no link inside what is connected already. So in the first rounds a block with more
+pairs than in proportion to its documents gives a spanning forest of them, those with most overlap
+first; verified links contract its documents, and what is still in different components
+takes part again. Large blocks are multiplied in parts, dealt anew each round. When a round contracts
+little, all that is open is multiplied in full. Thousands of near copies cost a few forests,
+not a square, and no pair of columns, partners or candidates is capped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +42,14 @@ from .shingles import mix, shingles
 
 #: Counters of the frequency sketch; fixed, so what is broadcast does not grow.
 SKETCH_BITS = 21
-#: Blocks of columns that a set's n-grams are counted in, and documents of a column in one block of the product.
-COLUMN_BLOCKS, BLOCK_ROWS = 1024, 2048
-#: Open columns of a document that travel with its rows; with more, its pairs may come from several columns.
-LISTED = 32
+#: Groups of columns that a whole set's n-grams are counted in.
+GROUPS = 1024
+#: Columns that occur more often than this are found by a partial aggregation instead of meeting in one task.
+HOT = 1 << 16
+#: Documents and entries of a block in one part: of a forest, and of the full product.
+PART_DOCS, PART_ENTRIES = {"forest": 512, "full": 2048}, 1 << 20
+#: Forest rounds go on while each links so many of the open documents, and a forest takes the place of more pairs than so many a document.
+WORTH, DENSE = 0.05, 2
 #: Bits of the filter of candidate ids; fixed as well.
 BLOOM_BITS = 23
 
@@ -66,17 +70,17 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
         if wait:
             total += np.bincount(np.concatenate(wait).astype(np.int64), minlength=size)
         if total.any():
-            part = np.minimum(total, 255).astype(np.uint8).reshape(rows, -1)  # frequent in one part is frequent
+            part = np.minimum(255, np.ceil(8 * np.log2(1 + total))).astype(np.uint8).reshape(rows, -1)  # no less than the count
             yield pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int32()), pa.array([x.tobytes() for x in part], pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(counts.as_buffer(), np.uint8).astype(np.int64)
+                x = np.exp2(np.frombuffer(counts.as_buffer(), np.uint8) / 8) - 1
                 total[block] = total[block] + x if block in total else x
         for block, x in total.items():
-            level = np.minimum(255, np.floor(8 * np.log2(1 + x))).astype(np.uint8)
+            level = np.minimum(255, np.ceil(8 * np.log2(1 + x))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "counts"])
 
     blocks = texts.mapInArrow(count, "block int, counts binary").repartition(rows, "block").mapInArrow(add, "block int, counts binary")
@@ -87,7 +91,7 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
-    """(doc_id, n, sig_a, sig_b, prefix, counts): size, 128-bit content hash, first columns and counts by column block."""
+    """(doc_id, n, sig_a, sig_b, prefix, counts): size, 128-bit content hash, leading columns in order, counts by column group."""
     shared, shift = docs.sparkSession.sparkContext.broadcast(levels), np.uint64(64 - SKETCH_BITS)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("prefix", pa.list_(pa.int64())), ("counts", pa.binary())])
 
@@ -101,7 +105,7 @@ def _profile(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) ->
                 size.append(m)
                 a.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                 b.append(int(mix(s ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).view(np.int64)))
-                c = np.minimum(15, np.bincount((s & np.uint64(COLUMN_BLOCKS - 1)).astype(np.int64), minlength=COLUMN_BLOCKS)).astype(np.uint8)
+                c = np.minimum(15, np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)).astype(np.uint8)
                 counts.append((c[0::2] | c[1::2] << 4).tobytes())
                 # the least overlap of any partner is that of an equal or smaller one: ceil(t m)
                 take = m - -(-num * m // den) + 1 if m else 0
@@ -117,64 +121,112 @@ def _profile(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) ->
     return docs.mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, counts binary")
 
 
-def _bounded(x: np.ndarray, y: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Whether counts by column block, two in a byte, allow an overlap of ``least``; a full count allows any."""
-    total, full = np.zeros(len(least), np.int64), np.zeros(len(least), bool)
-    for part in (lambda v: v & 15, lambda v: v >> 4):
-        both = np.minimum(part(x), part(y))
-        total += both.sum(axis=1, dtype=np.int64)
-        full |= (both == 15).any(axis=1)
-    return (total >= least) | full
+def _least(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The least overlap of sets of these sizes that link."""
+    return -(-num * (x + y) // (num + den))
 
 
-def _product(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, after, bound, ra, rb) of pairs in different components that a column leaves possible.
+def _most(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The largest overlap that counts by column group, two in a byte, allow; a full count allows any."""
+    out = np.empty(len(x), np.int64)
+    for k in range(0, len(x), 4096):
+        both = np.minimum(np.stack([x[k : k + 4096] & 15, x[k : k + 4096] >> 4]), np.stack([y[k : k + 4096] & 15, y[k : k + 4096] >> 4]))
+        out[k : k + 4096] = np.where((both == 15).any(axis=(0, 2)), np.iinfo(np.int64).max >> 1, both.sum(axis=(0, 2), dtype=np.int64))
+    return out
+
 
-    ``rows`` has token, block (of the column's product), side (bits: in its left, its right half), doc_id,
-    n, pos, root, counts and tokens (the document's open columns; empty where these are many). A pair comes
-    from the first column that both have, from each where tokens are missing. The rows of one block of one column are in one task and next to each other.
+def _product(rows: DataFrame, num: int, den: int, full: bool) -> DataFrame:
+    """(a, b, ra, rb, overlap, least, rest, lead, more): pairs in different components by what blocks of columns accumulate.
+
+    With ``counts`` in the rows, pairs whose counts by column group allow less than the bound are discarded first.
+    ``rows`` has lead, part (of the block), side (bits: in the left, the right half of the part), whole (the part is
+    all of its block), doc_id, n, last (leading column), root and tokens (its columns of this block); rows of a part are
+    next to each other. overlap counts the part's columns that both have; rest is what can follow behind the
+    leading columns. Unless ``full``, a part with many pairs gives a spanning forest of components; more
+    tells that pairs of the block may be missing. A part that gives nothing has none missing or was cut: then a row without a pair says so.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("after", pa.int64()), ("bound", pa.int64()), ("ra", pa.int64()), ("rb", pa.int64())])
-
-    def pairs(t: dict[str, np.ndarray], counts: np.ndarray, tokens: Callable[[int], frozenset], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
-        least = -(-num * (t["n"][i] + t["n"][j]) // (num + den))
-        after = np.minimum(t["n"][i] - t["pos"][i], t["n"][j] - t["pos"][j])
-        ok = (t["root"][i] != t["root"][j]) & (t["doc_id"][i] != t["doc_id"][j]) & (np.minimum(t["n"][i], t["n"][j]) >= least) & (after >= least) & (t["side"][i] | t["side"][j] == 3)
-        i, j, least, after = i[ok], j[ok], least[ok], after[ok]
-        keep = [k + np.flatnonzero(_bounded(counts[i[k : k + 4096]], counts[j[k : k + 4096]], least[k : k + 4096])) for k in range(0, len(i), 4096)]
-        if not keep or not len(keep := np.concatenate(keep)):
-            return None
-        first = [not (both := tokens(p) & tokens(q)) or min(both) == c for p, q, c in zip(i[keep].tolist(), j[keep].tolist(), t["token"][i[keep]].tolist(), strict=True)]
-        if not len(keep := keep[np.array(first)]):
-            return None
-        x, y, rx, ry = t["doc_id"][i[keep]], t["doc_id"][j[keep]], t["root"][i[keep]], t["root"][j[keep]]
-        less = x < y
-        columns = (np.minimum(x, y), np.maximum(x, y), after[keep], least[keep], np.where(less, rx, ry), np.where(less, ry, rx))
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in columns], schema=schema)
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "ra", "rb", "overlap", "least", "rest", "lead")] + [("more", pa.bool_())])
+
+    def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        code, at = np.unique(np.concatenate(codes), return_inverse=True)
+        return code, np.bincount(at, weights=np.concatenate(counts), minlength=len(code)).astype(np.int64)
+
+    def forest(i: np.ndarray, j: np.ndarray, root: np.ndarray) -> list[int]:
+        """Places of pairs, best first, that connect components not connected yet."""
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        out = []
+        for k, (x, y) in enumerate(zip(root[i].tolist(), root[j].tolist(), strict=True)):
+            x, y = find(x), find(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append(k)
+        return out
 
     def multiply(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = {c: table[c].to_numpy() for c in ("token", "block", "side", "doc_id", "n", "pos", "root")}
-        column = table["counts"].combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        width = COLUMN_BLOCKS // 2
-        counts = np.frombuffer(column.buffers()[2], np.uint8)[column.offset * width :][: len(column) * width].reshape(-1, width)
+        t = {c: table[c].to_numpy() for c in ("lead", "part", "side", "whole", "doc_id", "n", "last", "root")}
+        size = len(t["lead"])
+        new = np.r_[True, (t["lead"][1:] != t["lead"][:-1]) | (t["part"][1:] != t["part"][:-1])]
+        block = np.cumsum(new) - 1
         lists = table["tokens"].combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        tokens = lru_cache(1 << 16)(lambda row: frozenset(lists[row].as_py() or ()))
-        new = np.flatnonzero(np.r_[True, (t["token"][1:] != t["token"][:-1]) | (t["block"][1:] != t["block"][:-1])])
-        size = np.diff(np.r_[new, len(column)])
-        start = np.repeat(new, size)
-        place, small = np.arange(len(column)) - start, np.repeat(size <= 32, size)
-        # small blocks all at once, by distance; large ones row by row
-        for d in range(1, int(size[size <= 32].max(initial=1))):
-            j = np.flatnonzero(small & (place >= d))
-            if (out := pairs(t, counts, tokens, j - d, j)) is not None:
-                yield out
-        for s, k in zip(new[size > 32].tolist(), size[size > 32].tolist(), strict=True):
-            for r in range(s, s + k - 1):
-                j = np.arange(r + 1, s + k)
-                if (out := pairs(t, counts, tokens, np.full(len(j), r), j)) is not None:
-                    yield out
+        row = np.repeat(np.arange(size), lists.value_lengths().to_numpy())
+        token = lists.flatten().to_numpy()
+        order = np.lexsort((row, token, block[row]))
+        row, token = row[order], token[order]
+        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[row[1:]] != block[row[:-1]])]) if len(row) else np.empty(0, np.int64)
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        codes, counts, held, left = [], [], 0, np.flatnonzero(place)
+        for d in range(1, int(place.max(initial=0)) + 1):
+            left = left[place[left] >= d]
+            i, j = row[left - d], row[left]
+            ok = (t["root"][i] != t["root"][j]) & (t["doc_id"][i] != t["doc_id"][j]) & (t["side"][i] | t["side"][j] == 3) & (np.minimum(t["n"][i], t["n"][j]) >= _least(t["n"][i], t["n"][j], num, den))
+            codes.append(i[ok] * size + j[ok])
+            counts.append(np.ones(len(codes[-1])))
+            held += len(codes[-1])
+            if held > 1 << 22:
+                code, count = summed(codes, counts)
+                codes, counts, held = [code], [count], len(code) // 2
+        code, overlap = summed(codes, counts) if codes else (np.empty(0, np.int64), np.empty(0, np.int64))
+        i, j = code // size, code % size
+        least = _least(t["n"][i], t["n"][j], num, den)
+        most = overlap
+        if "counts" in table.column_names and len(i):
+            width = GROUPS // 2
+            held = table["counts"].combine_chunks()
+            held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+            held = np.frombuffer(held.buffers()[2], np.uint8)[held.offset * width :][: size * width].reshape(-1, width)
+            most = np.concatenate([_most(held[i[k : k + 4096]], held[j[k : k + 4096]]) for k in range(0, len(i), 4096)])
+            ok = most >= least
+            i, j, overlap, least, most = i[ok], j[ok], overlap[ok], least[ok], most[ok]
+        more = (t["whole"] == 0)[np.flatnonzero(new)] & (not full)
+        if not full and len(i):
+            documents, pairs = np.bincount(block), np.bincount(block[i], minlength=block[-1] + 1)
+            dense = pairs > DENSE * documents
+            keep = [np.flatnonzero(~dense[block[i]])]
+            for k in np.flatnonzero(dense):
+                mine = np.flatnonzero(block[i] == k)
+                mine = mine[np.argsort(-most[mine] / least[mine], kind="stable")]
+                keep.append(mine[forest(i[mine], j[mine], t["root"])])
+                more[k] = True
+            keep = np.concatenate(keep)
+            i, j, overlap, least = i[keep], j[keep], overlap[keep], least[keep]
+        ends = np.where(t["last"][i] < t["last"][j], t["n"][i], np.where(t["last"][i] > t["last"][j], t["n"][j], np.minimum(t["n"][i], t["n"][j])))
+        less = t["doc_id"][i] < t["doc_id"][j]
+        i, j = np.where(less, i, j), np.where(less, j, i)
+        columns = [t["doc_id"][i], t["doc_id"][j], t["root"][i], t["root"][j], overlap, least, -(-num * ends // den) - 1, t["lead"][i]]
+        out = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(more[block[i]])], schema=schema)
+        for k in range(0, out.num_rows, 1 << 16):
+            yield out.slice(k, 1 << 16)
+        silent = np.setdiff1d(np.flatnonzero(more), block[i])
+        if len(silent):
+            leads = t["lead"][np.flatnonzero(new)[silent]]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(leads), pa.int64())] * 7 + [pa.array(leads), pa.array(np.ones(len(leads), bool))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -183,16 +235,46 @@ def _product(rows: DataFrame, num: int, den: int) -> DataFrame:
                 continue
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            token, block = (held[c].to_numpy() for c in ("token", "block"))
-            # the last block may go on in the next batch
-            other = np.flatnonzero((token != token[-1]) | (block != block[-1]))
+            lead, part = (held[c].to_numpy() for c in ("lead", "part"))
+            # the last part may go on in the next batch
+            other = np.flatnonzero((lead != lead[-1]) | (part != part[-1]))
             if len(other):
                 yield from multiply(held.slice(0, int(other[-1]) + 1))
                 held = held.slice(int(other[-1]) + 1)
         if held is not None:
             yield from multiply(held)
 
-    return rows.mapInArrow(run, "a long, b long, after long, bound long, ra long, rb long")
+    return rows.mapInArrow(run, "a long, b long, ra long, rb long, overlap long, least long, rest long, lead long, more boolean")
+
+
+def _dealt(rows: DataFrame, full: bool, turn: int) -> DataFrame:
+    """rows with part, side and whole, the rows of a part in one task; without blocks of one component.
+
+    A block of many documents or entries is cut in parts by a hash of the document that differs each turn. For
+    the full product every two parts, and each alone, are a part of it.
+    """
+    entries = F.size("tokens")
+    sizes = rows.groupBy("lead").agg(F.count("*").alias("k"), F.sum(entries).alias("entries"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    parts = F.ceil(F.greatest(F.col("k") / PART_DOCS["full" if full else "forest"], F.col("entries") / PART_ENTRIES)).cast("int")
+    rows = rows.join(sizes.select("lead", parts.alias("parts")), "lead")
+    mine = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.col("parts")).cast("int")
+    columns = [c for c in rows.columns if c not in ("parts", "part", "side", "whole")]
+    if full:
+        n = F.col("parts")
+        each = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.struct((F.least(p, mine).cast("long") * n + F.greatest(p, mine)).alias("part"), F.when(p == mine, 3).when(mine < p, 1).otherwise(2).cast("long").alias("side")))
+        rows = rows.select(*columns, F.lit(1).cast("long").alias("whole"), F.explode(each).alias("e")).select(*columns, "whole", "e.part", "e.side")
+    else:
+        rows = rows.select(*columns, (F.col("parts") == 1).cast("long").alias("whole"), mine.cast("long").alias("part"), F.lit(3).cast("long").alias("side"))
+    return rows.repartition("lead", "part").sortWithinPartitions("lead", "part")
+
+
+def _blocks(columns: DataFrame) -> DataFrame:
+    """(lead, doc_id, n, last, tokens): columns (doc_id, n, last, token, hot) of two documents or more, by their least document."""
+    token = W.partitionBy("token")
+    few = columns.where("not hot").withColumns({"lead": F.min("doc_id").over(token), "k": F.count("*").over(token)}).where("k > 1").drop("k", "hot")
+    leads = columns.where("hot").groupBy("token").agg(F.min("doc_id").alias("lead"), F.count("*").alias("k")).where("k > 1").drop("k")
+    many = columns.where("hot").drop("hot").join(leads, "token")
+    return few.unionByName(many).groupBy("lead", "doc_id", "n", "last").agg(F.collect_list("token").alias("tokens"))
 
 
 def _only(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
@@ -294,43 +376,32 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     classes = scratch.cut(sizes.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep")), "classes")
     # what is not its class's smallest stays out; few are, so these are what is joined
     copies = scratch.cut(sizes.join(classes, ["n", "sig_a", "sig_b"]).where("doc_id <> rep").select("doc_id"), "copies")
-    rows = profile.where("n > 0").join(copies, "doc_id", "left_anti").select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    token = W.partitionBy("token")
-    # incidence columns with one document multiply to nothing
-    block = scratch.cut(rows.withColumn("k", F.count("*").over(token)).where("k > 1").drop("k"), "block")
-
-    least = lambda x, y: F.expr(f"cast(ceil({num} * ({x} + {y}) / {num + den}) as long)")
-    fits = lambda x, y, px, py: (F.least(x, y) >= (b := least(x, y))) & (F.col(px) <= F.col(x) - b) & (F.col(py) <= F.col(y) - b)
-    links, comps = None, None
-    for step in range(3):
-        here = block.withColumn("root", F.col("doc_id")) if comps is None else block.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        if step < 2:
-            # each document with the leader of each of its columns; its best leader counts
-            order = F.struct("n", "doc_id") if step == 0 else F.struct(F.xxhash64("root").alias("n"), F.col("doc_id"))
-            lead = here.withColumn("lead", F.min(F.struct(order.alias("o"), "doc_id", "n", "pos", "root")).over(token))
-            pairs = lead.where((F.col("lead.root") != F.col("root")) & fits("n", "lead.n", "pos", "lead.pos"))
-            pairs = pairs.groupBy(F.col("doc_id").alias("a"), F.col("lead.doc_id").alias("b")).agg(F.count("*").alias("overlap"), F.first("root").alias("ra"), F.first("lead.root").alias("rb"))
-            pairs = pairs.groupBy("a").agg(F.max_by(F.struct("b", "ra", "rb"), F.struct("overlap", -F.col("b"))).alias("best")).select("a", "best.*")
-        else:
-            # columns whose documents lie in different components, multiplied in full
-            here = here.withColumns({"lo": F.min("root").over(token), "hi": F.max("root").over(token), "k": F.count("*").over(token)}).where("lo < hi").drop("lo", "hi")
-            here = scratch.cut(here, "open")  # read twice
-            lists = here.groupBy("doc_id").agg(F.collect_list("token").alias("tokens")).withColumn("tokens", F.when(F.size("tokens") <= LISTED, F.col("tokens")).otherwise(F.array().cast("array<long>")))
-            here = here.join(profile.select("doc_id", "counts").dropDuplicates(["doc_id"]), "doc_id").join(lists, "doc_id")
-            # a column of k documents is cut in parts; every two of them, and each alone, are a block
-            parts = F.ceil(F.col("k") / BLOCK_ROWS).cast("int")
-            mine = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
-            each = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct((F.least(p, mine) * parts + F.greatest(p, mine)).alias("block"), F.when(p == mine, 3).when(mine < p, 1).otherwise(2).alias("side")))
-            here = here.select("token", "doc_id", "n", "pos", "root", "counts", "tokens", F.explode(each).alias("e")).select("token", "e.block", "e.side", "doc_id", "n", "pos", "root", "counts", "tokens")
-            pairs = _product(here.repartition("token", "block").sortWithinPartitions("token", "block"), num, den)
-            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.min("after").alias("after"), F.first("bound").alias("bound"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
-            # what the multiplied columns hold in common and what can still come behind the last of them
-            pairs = pairs.where("overlap + after - 1 >= bound")
-        found = _verified(pairs.select("a", "b", "ra", "rb"), docs, n, num, den, scratch, f"step{step}")
-        links = found if links is None else links.unionByName(found)
-        comps = scratch.cut(components(links, scratch, f"star{step}"), f"cc{step}")
-        scratch.drop(f"cc{step - 1}", f"step{step}-links")
-        links = comps.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+    columns = profile.where("n > 0").join(copies, "doc_id", "left_anti").select("doc_id", "n", F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("token"))
+    hot = F.shiftright("token", 55) >= int(8 * np.log2(HOT))  # the level of its group of n-grams
+    blocks = scratch.cut(_blocks(columns.withColumn("hot", hot)), "blocks")
+
+    comps = scratch.cut(spark.createDataFrame([], "node long, root long"), "cc-none")
+    turn, full, open_ = 0, False, None
+    while True:
+        here = blocks if open_ is None else blocks.join(open_, "doc_id", "left_semi")
+        here = here.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        if turn:  # a doc_id with several texts has the counts of each, so none is held against it
+            here = here.join(profile.groupBy("doc_id").agg(F.min("counts").alias("counts"), F.count("*").alias("rows")).withColumn("counts", F.when(F.col("rows") == 1, F.col("counts")).otherwise(F.lit(bytes([255] * (GROUPS // 2))))).drop("rows"), "doc_id")
+        pairs = scratch.cut(_product(_dealt(here, full, turn), num, den, full), "pairs")
+        # the counts of all blocks, and what can come behind the leading columns
+        over = pairs.where("a is not null").groupBy("a", "b", "least", "rest").agg(F.sum("overlap").alias("overlap"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
+        found = _verified(over.where("overlap + rest >= least").select("a", "b", "ra", "rb"), docs, n, num, den, scratch, f"turn{turn}")
+        links = found.unionByName(comps.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        old, comps = comps, scratch.cut(components(links, scratch, f"star{turn}"), f"cc{turn}")
+        if full:
+            break
+        again = scratch.cut(here.join(pairs.where("more").select("lead").distinct(), "lead", "left_semi").select("doc_id").distinct(), f"open{turn}")
+        scratch.drop("pairs", f"turn{turn}-links", f"open{turn - 1}")
+        left = again.count()
+        if not left:
+            break
+        gone = comps.where("node <> root").count() - old.where("node <> root").count()
+        turn, full, open_ = turn + 1, gone < WORTH * left, again
     roots = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "sig_a", "sig_b", "rep", F.coalesce("root", "rep").alias("root"))
     roots = scratch.cut(roots, "roots")
     out = sizes.join(roots, ["n", "sig_a", "sig_b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from rasterflow.llm import op1_ngram_jaccard
 from rasterflow.llm.op1_ngram_jaccard import jaccard_components
 from rasterflow.llm.op3_exact_dedup import chunks, exact_groups, normalised
 from pyspark.sql import functions as F
@@ -61,6 +62,32 @@ def test_components_equal_brute_force(spark, seed, n, num):
     assert got == brute_components(rows, n, num, 100)
 
 
+def test_pairs_at_the_bound_equal_brute_force(spark):
+    rnd, rows = random.Random(11), []
+    for i in range(60):
+        w = [f"p{i}x{rnd.randrange(400)}" for _ in range(rnd.randrange(20, 110))]
+        v = list(w)
+        for _ in range(rnd.randrange(1, 5)):
+            v.insert(rnd.randrange(len(v)), f"new{rnd.randrange(99)}")
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, DOCS), 4, 85, 100).collect()}
+    assert got == brute_components(rows, 4, 85, 100)
+
+
+def test_dense_group_in_many_parts_equals_brute_force(spark, monkeypatch):
+    """Copies of copies: links are a part of all pairs, blocks are dealt in small parts over several rounds."""
+    monkeypatch.setattr(op1_ngram_jaccard, "PART_DOCS", {"forest": 8, "full": 16})
+    rnd, rows = random.Random(12), []
+    base = [f"g{i}" for i in range(200)]
+    for i in range(120):
+        w = list(base)
+        for _ in range(rnd.randrange(1, 8)):
+            w[rnd.randrange(200)] = f"edit{i}.{rnd.randrange(999)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, DOCS), 4, 85, 100).collect()}
+    assert got == brute_components(rows, 4, 85, 100)
+
+
 def test_large_group_of_near_copies_and_a_long_word(spark):
     rnd = random.Random(5)
     base = [f"v{rnd.randrange(10**6)}" for _ in range(200)]
