@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,19 +17,37 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver see.
 
-    It is the one named by ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a folder of its own is made and set.
+    It is the one named by ``spark.checkpoint.dir``. Only where that is unset and all runs in
+    one process (tests) a folder of its own is made and set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rasterflow-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def paths_made() -> Iterator[list[str]]:
+    """The paths that new_path gives out meanwhile, so that a stage's tables can be deleted when its result is written."""
+    _open.append(made := [])
+    try:
+        yield made
+    finally:
+        _open.pop()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
+    return path
 
 
 class Scratch:

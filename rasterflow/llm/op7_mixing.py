@@ -16,7 +16,9 @@ with a third of all rows is never sorted in one task; only its boundary range is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,21 +28,42 @@ from ._shared import WORD, Scratch, documents
 RANGES = 4096
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
-    """(source, source_size, target) from (source, size); a row for each source, null included."""
-    per = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))).cast("int") + 1)
-    per = per.withColumn("w", weight).withColumn("top", F.col("source_size") * float(most))
-    by = W.orderBy(F.col("top") / F.col("w"), F.col("source").asc_nulls_last())
-    all_ = W.partitionBy()
-    per = per.withColumn("before", F.sum("top").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("top")).withColumn("behind", F.sum("w").over(by.rowsBetween(0, W.unboundedFollowing)))
-    per = per.withColumn("level", (F.sum("source_size").over(all_) * share - F.col("before")) / F.col("behind"))
+def _running(rows: DataFrame, by: list[Column], sums: dict[str, str], scratch: Scratch, name: str) -> DataFrame:
+    """rows with, for each name of ``sums``, the sum of that column up to and with the row in the order ``by``.
+
+    Ranges of rows are summed by themselves; one row for each range, as many as there are partitions, is
+    summed over all.
+    """
+    rows = scratch.cut(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), name)
+    inside = W.partitionBy("_range").orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
+    ranges = rows.groupBy("_range").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("_range", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums])
+    out = rows.withColumns({k: F.sum(c).over(inside) for k, c in sums.items()}).join(F.broadcast(ranges), "_range")
+    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in sums}).drop("_range", *[f"_{k}" for k in sums])
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int, scratch: Scratch) -> DataFrame:
+    """(source, source_size, target) from (source, size); a row for each source, null included.
+
+    Sources may be many (hosts, addresses): they are numbered and summed by ranges. All sums are of whole numbers.
+    """
+    per = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size")).withColumn("one", F.lit(1))
+    per = _running(per, [F.col("source").asc_nulls_last()], {"number": "one"}, scratch, "sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("number") - 1, F.lit(len(weights))).cast("int") + 1)
+    per = per.withColumn("w", weight).withColumn("top", F.col("source_size") * float(most)).withColumn("ratio", F.col("top") / F.col("w"))
+    per = _running(per, [F.col("ratio").asc(), F.col("source").asc_nulls_last()], {"tops": "top", "ws": "w"}, scratch, "levels")
+    total, weight = per.agg(F.sum("source_size"), F.sum("w")).first()
     # the first level at which a source isn't stopped holds for all behind it
-    first = F.struct((F.col("top") / F.col("w")).alias("ratio"), F.row_number().over(by).alias("at"), "level")
-    per = per.withColumn("first", F.when(F.col("top") / F.col("w") > F.col("level"), first))
-    per = per.withColumn("level_at", F.min("first").over(all_)["level"])
-    return per.select("source", "source_size", F.when(F.col("level_at").isNull() | (F.col("top") / F.col("w") <= F.col("level")), F.col("top")).otherwise(F.col("level_at") * F.col("w")).alias("target"))
+    per = per.withColumn("level", (F.lit(float(total or 0) * share) - (F.col("tops") - F.col("top"))) / (F.lit(float(weight or 0)) - (F.col("ws") - F.col("w"))))
+    first = per.where("ratio > level").agg(F.min(F.struct("ratio", F.col("source").isNull().alias("last"), "source", "level")).alias("first")).first()["first"]
+    level = F.lit(first["level"] if first else None).cast("double")
+    return per.select("source", "source_size", F.when(level.isNull() | (F.col("ratio") <= level), F.col("top")).otherwise(level * F.col("w")).alias("target"))
+
+
+def favour_short(text: Column) -> Column:
+    """1 for an empty text, falling with the logarithm of its length: 0.4 at a thousand code points, 0.15 at a hundred thousand."""
+    return 1 / F.log(F.lit(math.e) + F.coalesce(F.char_length(text.cast("string")), F.lit(0)) / 100)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7, weight: str | None = None) -> DataFrame:
@@ -51,22 +74,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     text. taken is a multiple of size, at most ``most`` times it. The same rows, seed
     and parameters give the same result under any partitioning; rows repeated under one doc_id
     are ranked alike and so taken alike. A null source is a source of its own; null doc_ids
-    share one rank. A missing or negative weight counts as 0. An empty table gives none.
+    share one rank. Weights count to six decimals; a missing or negative one, or one of 10^12 or more, counts as 0. An empty table gives none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    own = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
+    # decimals, so that sums do not depend on the order of rows
+    own = F.greatest(F.coalesce(F.col(weight).cast("double").try_cast("decimal(18,6)"), F.lit(0)), F.lit(0)).cast("decimal(18,6)") if weight else F.lit(1).cast("decimal(18,6)")
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD), F.lit(0))).cast("long").alias("size"), own.alias("own"))
     rows = scratch.cut(rows, "sizes")
-    targets = source_targets(rows, weights, share, most)
-    mass = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("own")).alias("mass"))
+    targets = source_targets(rows, weights, share, most, scratch)
+    mass = rows.groupBy("source").agg(F.sum((F.col("size").cast("decimal(18,0)") * F.col("own")).cast("decimal(28,6)")).cast("double").alias("mass"))
     targets = scratch.cut(targets.join(mass.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of"), "targets")
 
     def with_source(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
         return left.join(right.select(F.col("source").alias("of"), *columns), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
 
     # expected copies; a flat weight gives target / source_size for every document of a source
-    expected = F.when(F.col("mass") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("mass") * F.col("own"))).otherwise(0.0)
+    expected = F.when(F.col("mass") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("mass") * F.col("own").cast("double"))).otherwise(0.0)
     u = (F.expr(f"xxhash64(doc_id, {int(seed)}) & 4503599627370495") + 0.5) / float(1 << 52)
     placed = with_source(rows, targets, "source_size", "target", "mass").withColumn("e", expected).withColumn("whole", F.floor("e").cast("long")).withColumn("p", F.col("e") - F.col("whole")).withColumn("u", u)
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
@@ -98,10 +122,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     hit = lambda z: F.when(taken(z) | F.coalesce((z == F.col("closer.z")) & F.col("doc_id").eqNullSafe(F.col("closer.doc_id")), F.lit(False)), 1).otherwise(0)
     copies = F.col("whole") + F.aggregate("ranks", F.lit(0), lambda n, z: n + hit(z))
     out = with_source(placed, cuts, "edge", "last", "closer").select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
-    scratch.drop("sizes", "targets", "edges")
+    scratch.drop("sizes", "targets", "edges", "sources", "levels")
     return out
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of the whole of documents: weights 3, 1, 2 and 150 % of all words."""
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix of the whole of documents: weights 3, 1, 2 and 150 % of all words.
+
+    Inside a source short documents are likelier: a document's weight is 1 / ln(e + code points / 100).
+    """
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source", favour_short(F.col("text")).alias("favour"))
+    return mix(docs, weight="favour").select("doc_id", "size", "source_size", "target", "taken")

@@ -61,13 +61,13 @@ def _repeat_words(h: Column) -> Column:
     return F.when(F.size(h) > WINDOW, _let(windows, counted)).otherwise(0)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with one more column, ``_stats``: a struct of long counts of the whole text.
+def statistics(text: Column) -> Column:
+    """A struct of long counts of the whole text.
 
     Words are maximal runs of anything but ASCII white space. A null text has no words and
     no lines with one. Windows of words are compared by 64-bit hashes.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(text.cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
 
     def of(w: Column) -> Column:
@@ -83,12 +83,20 @@ def statistics(docs: DataFrame) -> DataFrame:
         return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
     left = lambda pattern: F.char_length(F.regexp_replace(text, pattern, "")).cast("long")
-    out = docs.withColumn("_w", _let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of)).withColumn("_l", _let(lines, of_lines))
-    stats = F.struct("_w.*", "_l.*", left(r"[^#*$%&|<>]+").alias("n_symbols"), left(r"[^\p{Lu}]+").alias("n_upper"), left(r"[^!?;:|=_~^]+").alias("n_marks"))
-    return out.withColumn("_stats", stats).drop("_w", "_l")
+    both = F.struct(_let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of).alias("w"), _let(lines, of_lines).alias("l"))
+    rest = {"n_symbols": left(r"[^#*$%&|<>]+"), "n_upper": left(r"[^\p{Lu}]+"), "n_marks": left(r"[^!?;:|=_~^]+")}
+    return _let(both, lambda x: F.struct(*[x[k][c].alias(c) for k, names in (("w", ("n_words", "word_chars", "n_repeat_words")), ("l", ("n_lines", "n_dup_lines"))) for c in names], *[v.alias(k) for k, v in rest.items()]))
 
 
-def base_failed(stats: str = "_stats") -> Column:
+def measured(docs: DataFrame) -> DataFrame:
+    """(row, stats): each row of ``docs`` as a struct, so that no name of its columns can clash, and its statistics.
+
+    The statistics come from a generator: a filter on them stays above it, and they are computed once for a row.
+    """
+    return docs.select(F.struct("*").alias("row"), F.explode(F.array(statistics(F.col("text")))).alias("stats"))
+
+
+def base_failed(stats: str = "stats") -> Column:
     """Fewer than 20 words, or over 30 in 100 words in repeated windows."""
     return F.expr(f"{stats}.n_words < 20 OR 100 * {stats}.n_repeat_words > 30 * {stats}.n_words")
 
@@ -136,9 +144,9 @@ def learn(rows: list[tuple[dict[str, float], bool]]) -> list[tuple[Condition, ..
             for above in (True, False):
                 c = Condition(name, above, bound)
                 covers[c] = sum(1 << i for i, (x, _) in enumerate(rows) if c.holds(x))
-    counts = lambda mask, among: ((mask & among & bad).bit_count(), (mask & among & ~bad).bit_count())
-    rules, open_ = [], (1 << len(rows)) - 1
-    while len(rules) < RULES and open_ & bad:
+    rules, open_, aside = [], (1 << len(rows)) - 1, 0
+    counts = lambda mask, among: ((mask & among & bad & ~aside).bit_count(), (mask & among & ~bad).bit_count())
+    while len(rules) < RULES and open_ & bad & ~aside:
         rule, mask = [], open_
         while len(rule) < CONDITIONS:
             p, n = counts(mask, grow)
@@ -169,12 +177,14 @@ def learn(rows: list[tuple[dict[str, float], bool]]) -> list[tuple[Condition, ..
         mask = open_
         for c in rule:
             mask &= covers[c]
-        p, n = counts(mask, ~grow)
-        q, r = counts(mask, grow)
-        if not rule or not p or p < PRECISION * (p + n) or q < PRECISION * (q + r):
-            break
-        rules.append(tuple(rule))
-        open_ &= ~mask
+        if not rule or not mask & bad & ~aside:
+            break  # nothing tells what is left from the good rows
+        told = [((m := mask & among) & bad).bit_count() >= PRECISION * m.bit_count() and m & bad for among in (~grow, grow)]
+        if all(told):
+            rules.append(tuple(rule))
+            open_ &= ~mask
+        else:
+            aside |= mask & bad  # what an imprecise rule covers, growth goes on without
     return rules
 
 
@@ -183,13 +193,13 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[t
     picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
     # what the base rejects needs no rule
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).where(~base_failed())
-    rows = rows.select("doc_id", "quality", *[F.expr(_in("_stats", v)).cast("double").alias(k) for k, v in RATIOS.items()])
+    rows = measured(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).where(~base_failed())
+    rows = rows.select("row.doc_id", "row.quality", *[F.expr(_in("stats", v)).cast("double").alias(k) for k, v in RATIOS.items()])
     found = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["n_words"]))  # at most ``sample`` rows of numbers
     return [({k: r[k] for k in RATIOS}, r["quality"] == 0) for r in found]
 
 
-def verdict(rules: list[tuple[Condition, ...]], stats: str = "_stats") -> Column:
+def verdict(rules: list[tuple[Condition, ...]], stats: str = "stats") -> Column:
     """True where no rule of the list marks the row: CASE WHEN rule THEN false ... ELSE true."""
     out = None
     for rule in rules:
@@ -206,12 +216,11 @@ def quality(docs: DataFrame, rules: list[tuple[Condition, ...]]) -> DataFrame:
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names. Null
     doc_ids pass through; repeated rows are judged each; an empty table gives none.
     """
-    out = statistics(docs.select("doc_id", "text")).withColumn("base_failed", base_failed())
-    return out.select(
-        "doc_id",
-        *[F.col(f"_stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        "base_failed",
-        (~F.col("base_failed") & verdict(rules)).alias("kept"),
+    return measured(docs.select("doc_id", "text")).select(
+        "row.doc_id",
+        *[F.col(f"stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        base_failed().alias("base_failed"),
+        (~base_failed() & verdict(rules)).alias("kept"),
     )
 
 

@@ -1,9 +1,12 @@
 import random
+import struct
 import zlib
 from collections import defaultdict
+from decimal import Decimal
 
 import numpy as np
 import pytest
+import xxhash
 
 from rasterflow.llm.op2_packing import best_fit, lower_bound, pack, pack_documents
 from rasterflow.llm.op7_mixing import mix
@@ -126,6 +129,58 @@ def test_weights_shift_inclusion(spark):
     assert abs(heavy + light - 0.4 * 8000) <= 8
 
 
+def brute_mix(rows, weights=(3, 1, 2), share=1.5, most=2, seed=7):
+    """taken by doc_id, from rows (doc_id, size, source, weight): Pareto order sampling, one source after the other."""
+    hashed = lambda x, kind, seed: xxhash.xxh64(struct.pack(kind, x), seed=seed).intdigest()
+    sizes = defaultdict(int)
+    for _, n, s, _ in rows:
+        sizes[s] += n
+    taken = {}
+    for source, target in brute_targets(sizes, weights, share, most).items():
+        mine = [r for r in rows if r[2] == source]
+        mass, units, whole, certain = float(sum(n * Decimal(repr(w)) for _, n, _, w in mine)), [], {}, 0
+        for d, n, _, w in mine:
+            u = ((hashed(seed, "<i", hashed(d, "<q", 42)) & ((1 << 52) - 1)) + 0.5) / (1 << 52)
+            e = min(float(most), target / mass * w) if mass else 0.0
+            whole[d], p = int(e), e - int(e)
+            certain += whole[d] * n
+            for k in range(1, most - whole[d] + 1):
+                odds = u / (1 - u) / (p / (1 - p)) if p else 0
+                units.append(((odds / (1 + odds) if p else 1 + u) if k == 1 else k + u, d, n))
+        room, got = round(target) - certain, defaultdict(int)
+        units = sorted(x for x in units if x[2])
+        at = 0
+        while at < len(units) and units[at][2] <= room:
+            room -= units[at][2]
+            got[units[at][1]] += 1
+            at += 1
+        if rest := [(abs(n - room), z, d) for z, d, n in units[at:] if abs(n - room) < room]:
+            got[min(rest)[2]] += 1
+        taken |= {d: (whole[d] + got[d]) * n for d, n, _, _ in mine}
+    return taken
+
+
+@pytest.mark.parametrize("share", [0.4, 1.5])
+def test_unequal_samples_equal_brute_force(spark, share):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice([0, 1, 3, 20, 90]), rnd.choice(["a", "b", "c", "c", "c", None]), rnd.choice([0.25, 1.0, 1.5, 4.125])) for i in range(900)]
+    df = spark.createDataFrame([(d, " ".join(["w"] * n), s, w) for d, n, s, w in rows], "doc_id long, text string, source string, weight double")
+    got = {r["doc_id"]: r["taken"] for r in mix(df, share=share, weight="weight").collect()}
+    assert got == brute_mix(rows, share=share)
+    assert len({got[d] / n for d, n, _, _ in rows if n}) > 1
+
+
+def test_many_sources_equal_brute_force(spark):
+    rnd = random.Random(7)
+    rows = [(i, " ".join(["w"] * rnd.choice([1, 5, 30])), f"https://host{rnd.randrange(400)}/é", "x") for i in range(1500)]
+    sizes = defaultdict(int)
+    for _, t, s, _ in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    for r in mix(spark.createDataFrame(rows, DOCS)).collect():
+        assert r["target"] == pytest.approx(want[r["source"]])
+
+
 def test_mixing_edges(spark):
     assert mix(spark.createDataFrame([], DOCS)).count() == 0
     nothing = mix(spark.createDataFrame([(1, None, None, None), (None, " ", "a", None)], DOCS)).collect()

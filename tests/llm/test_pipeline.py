@@ -96,6 +96,54 @@ def test_mixing_takes_texts_with_odd_ids_at_most_twice(spark):
     assert 1.2 * words < sum(len(r["text"].split()) for r in rows) < 1.7 * words
 
 
+CLASH = ["row", "stats", "_stats", "_w", "_l", "_of", "_copy", "_key", "key", "copies", "copy", "from", "of", "sha", "digest", "again", "gone", "kept", "n", "size", "favour", "a.b", "_row", "length"]
+
+
+@pytest.mark.parametrize("name", [k for k, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_pass_columns_with_clashing_names_and_empty_tables(spark, name):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    more = docs.selectExpr("*", *[f"doc_id + {k} as `{c}`" for k, c in enumerate(CLASH)])
+    plain = some(stage(name)(spark, docs, SMALL).collect())
+    out = stage(name)(spark, more, SMALL)
+    assert out.columns == more.columns
+    rows = out.collect()
+    assert some(rows) == plain
+    assert all(r[c] == r["doc_id"] + k for r in rows for k, c in enumerate(CLASH))
+    assert stage(name)(spark, more.where("false"), SMALL).collect() == []
+
+
+@pytest.mark.parametrize("name", [k for k, _ in corpus_pipeline.STAGES])
+def test_stages_take_null_empty_and_very_long_texts(spark, name):
+    long = " ".join(f"word{k}" for k in range(150_000))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, long), (4, long), (5, None), (None, None), (6, " ".join(f"x{k}" for k in range(30)))]
+    docs = spark.createDataFrame([(d, t, None, None if d == 6 else "s", None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = stage(name)(spark, docs, SMALL).collect()
+    ids = sorted([r["doc_id"] or 0 for r in got])
+    if name == "packing":
+        assert sum(r["length"] for r in got) > 300_000 and {0, 1, 2, 3, 4, 5, 6} == set(ids)
+        return
+    texts = {r["doc_id"]: r["text"] for r in got}
+    if name == "quality_rules":
+        assert ids == [4, 4, 6]
+    if name == "exact_dedup":
+        assert ids == [3, 4, 5, 6]
+    if name == "near_dedup":
+        assert ids == [0, 1, 2, 3, 4, 4, 5, 6]
+    if name == "mixing":
+        assert set(ids) <= {4, 6}
+    assert 4 not in texts or texts[4] == long
+
+
+def test_stage_tables_are_deleted(spark, tmp_path):
+    from rasterflow.llm import _shared
+
+    with _shared.paths_made() as made:
+        out = corpus_pipeline.run(spark, SMALL)
+    there = [p for p in made if __import__("os").path.exists(p.removeprefix("file:").replace("//", "/"))]
+    assert out.count() > 0
+    assert not [p for p in there if any(f"/{k}-" in p for k in ("quality_rules", "exact_dedup", "near_dedup", "mixing", "profile", "blocks", "judged"))]
+
+
 def test_packing_packs_rows_with_odd_ids_each(spark):
     docs, _, _ = odd_ids(spark)
     ids = lambda rows: sorted((r["doc_id"] for r in rows), key=repr)

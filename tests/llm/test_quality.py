@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from rasterflow.llm.op8_quality_rules import Condition, RATIOS, labelled, learn, quality, statistics, verdict
+from rasterflow.llm.op8_quality_rules import Condition, RATIOS, labelled, learn, measured, quality, verdict
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, n_words string"
@@ -46,7 +46,7 @@ def test_learned_list_on_held_out_rows(spark):
     sample = labelled(docs, labels)
     rules = learn(sample)
     assert rules and learn(sample) == rules
-    judged = {r["doc_id"]: r["ok"] for r in statistics(docs).select("doc_id", verdict(rules).alias("ok")).where("doc_id >= 400").collect()}
+    judged = {r["doc_id"]: r["ok"] for r in measured(docs).select("row.doc_id", verdict(rules).alias("ok")).where("doc_id >= 400").collect()}
     assert sum(ok == (d % 5 != 0) for d, ok in judged.items()) / len(judged) > 0.95
 
 
@@ -61,3 +61,18 @@ def test_edges(spark):
     assert learn([({k: 1.0 for k in RATIOS}, True)] * 5) == []
     empty = spark.createDataFrame([], DOCS)
     assert quality(empty, [(Condition("symbols", True, 0.1), Condition("n_words", False, 5.0))]).count() == 0
+
+
+def test_rules_go_on_behind_an_imprecise_one():
+    """The best first condition covers a mixed lot; a conjunction behind it tells the rest."""
+    rnd = random.Random(4)
+    row = lambda **k: dict.fromkeys(RATIOS, 0.0) | k
+    rows = [(row(symbols=0.5 + rnd.random(), n_words=rnd.random()), i % 10 < 7) for i in range(300)]
+    rows += [(row(upper=0.5 + rnd.random() / 2, marks=0.5 + rnd.random() / 2, n_words=rnd.random()), True) for _ in range(90)]
+    rows += [(row(upper=0.5 + rnd.random() / 2, n_words=rnd.random()), False) for _ in range(150)] + [(row(marks=0.5 + rnd.random() / 2, n_words=rnd.random()), False) for _ in range(150)]
+    rnd.shuffle(rows)
+    rules = learn(rows)
+    hit = lambda x: any(all(c.holds(x) for c in rule) for rule in rules)
+    assert all(hit(x) for x, _ in rows if x["upper"] and x["marks"])
+    assert sum(hit(x) for x, bad in rows if not bad) <= 0.02 * len(rows)
+    assert any(len(rule) > 1 for rule in rules)
