@@ -1,10 +1,12 @@
 """Main text of pages by text-to-tag ratios.
 
 The standard library's streaming parser turns a page into lines, one for each block. A
-line's text-to-tag ratio is its characters over the tags met since the line before it. The
-ratios are smoothed with a Gaussian and clustered by a threshold; the containers that hold
-the lines above it are the content regions. All lines of a region but those
-inside marked boilerplate belong to the text, so a short paragraph between long ones stays.
+line's text-to-tag ratio is its characters outside links over the tags met since the line before
+it. The ratios are smoothed with a Gaussian and clustered by a threshold. Each container is weighed
+by the lines in it, those above the threshold for it and those below against it; the
+container that weighs most is the content region. Only where containers weigh much the same do tag
+names decide (article and main before others), and then the innermost. All lines of the
+region but those inside boilerplate belong to the text, so a short paragraph between long ones stays.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 #: Of these some are left open by mistake or hold a whole page; an article inside begins anew.
 WRAPPERS = frozenset("nav header form menu".split())
 REGIONS = frozenset("article main".split())
-#: Elements nested deeper than this count as the one around them, as in browsers.
-DEPTH = 512
+#: Blocks that hold other blocks and so can be a content region.
+CONTAINERS = frozenset("address article aside blockquote body center details dialog dir div dl fieldset figure footer form header hgroup html main menu nav ol section table tbody td tr ul".split())
 #: Words that mark even an article as something else than the page's own.
 FOREIGN = frozenset("ad ads advert advertisement sponsored promo related recommended comment comments reply replies respond disqus teaser".split())
-#: Words in class, id or role that mark boilerplate.
+#: Words in class, id or role that mark boilerplate, whatever it holds.
+STRONG = FOREIGN - {"promo", "related", "recommended", "teaser"} | {"adsense", "adverts", "commentlist"}
+#: Words in class, id or role that mark boilerplate, unless it holds half of the page's clustered text: then they name a part of the layout.
 MARKS = frozenset(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
     " sidebar sidenav widget related recommended recommendations comment comments commentlist disqus respond replies reply discussion share sharing social newsletter subscribe"
@@ -47,17 +51,18 @@ class Line:
     tags: int
     linked: int
     boilerplate: bool
-    path: tuple[int, ...]
+    inside: int
 
 
 @dataclass
 class _Open:
     tag: str
-    number: int
     boilerplate: bool
     lasting: bool
     silent: bool
     region: bool
+    inside: int
+    last_region: int
 
 
 class _Lines(HTMLParser):
@@ -68,31 +73,36 @@ class _Lines(HTMLParser):
         self.lines: list[Line] = []
         self.stack: list[_Open] = []
         self.parts: list[str] = []
-        self.tags = self.links = self.linked = self.count = 0
-        self.kinds: dict[int, str] = {}
-        self.deeper: dict[str, int] = {}
+        self.tags = self.links = self.linked = 0
+        #: Of each container its tag and the container around it; the page itself is the first.
+        self.kinds: list[str] = [""]
+        self.around: list[int] = [0]
+        self.weak: set[int] = set()
+        self.where: dict[str, list[int]] = {}
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
             top = self.stack[-1] if self.stack else None
-            self.lines.append(Line(text, self.tags, self.linked, bool(top and top.boilerplate), tuple(x.number for x in self.stack if x.tag in BLOCKS)))
+            self.lines.append(Line(text, self.tags, self.linked, bool(top and top.boilerplate), top.inside if top else 0))
             self.tags = self.linked = 0
 
-    def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        """Whether an element's name or attributes make all in it boilerplate, articles too."""
+    def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """How an element's name or attributes make what is in it boilerplate, articles too: "strong", "weak" or not."""
         if tag in BOILERPLATE - WRAPPERS:
-            return True
+            return "strong"
         if tag in ("html", "body"):
-            return False
-        marks = FOREIGN if tag in REGIONS else MARKS - {"header"} if tag == "header" else MARKS
+            return ""
+        strong, weak = (FOREIGN, frozenset()) if tag in REGIONS else (STRONG, MARKS - {"header"} if tag == "header" else MARKS)
+        found = ""
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and marks & set(re.split(r"[^a-z]+", value.lower())):
-                return True
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+            words = set(re.split(r"[^a-z]+", value.lower())) if name in ("class", "id", "role") and value else frozenset()
+            if strong & words or name == "hidden" or name == "aria-hidden" and value == "true":
+                return "strong"
+            if weak & words:
+                found = "weak"
+        return found
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -106,16 +116,24 @@ class _Lines(HTMLParser):
             self.close_implied({"p"}, {"article", "section", "div", "td", "th", "li", "table", "blockquote", "body", "aside", "nav", "footer", "form", "main"})
         if tag in _IMPLIED:
             self.close_implied(_IMPLIED[tag], {"ul", "ol", "dl", "table", "select", "menu"})
-        if len(self.stack) >= DEPTH:
-            self.deeper[tag] = self.deeper.get(tag, 0) + 1
-            return
         top = self.stack[-1] if self.stack else None
         region = tag in REGIONS
-        self.count += 1
-        lasting = self.marked(tag, attrs) or bool(top and top.lasting)
+        inside = top.inside if top else 0
+        if tag in CONTAINERS:
+            self.kinds.append(tag)
+            self.around.append(inside)
+            inside = len(self.kinds) - 1
+        how = self.marked(tag, attrs)
+        lasting = how == "strong" or bool(top and top.lasting)
         wrapped = tag in WRAPPERS and not (tag == "header" and top and top.region) or bool(top and top.boilerplate and not (region and not top.region))
-        self.stack.append(_Open(tag, self.count, lasting or wrapped, lasting, tag in SILENT or bool(top and top.silent and not (region or tag == "body")), region or bool(top and top.region)))
-        self.kinds[self.count] = tag
+        if how == "weak" and tag in CONTAINERS:
+            self.weak.add(inside)
+        elif how == "weak":
+            lasting = True
+        self.where.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(
+            _Open(tag, lasting or wrapped, lasting, tag in SILENT or bool(top and top.silent and not (region or tag == "body")), region or bool(top and top.region), inside, len(self.stack) if region else top.last_region if top else -1)
+        )
         if tag == "a":
             self.links += 1
 
@@ -124,31 +142,28 @@ class _Lines(HTMLParser):
         if tag in SILENT - {"script", "style", "title", "textarea", "iframe"}:
             self.handle_endtag(tag)
 
+    def last(self, tags: set[str]) -> int:
+        """The place of the innermost open element of these."""
+        return max((at[-1] for tag in tags if (at := self.where.get(tag))), default=-1)
+
     def close_implied(self, tags: set[str], stop: set[str]) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag in tags:
-                self.pop_to(i)
-                return
-            if self.stack[i].tag in stop:
-                return
+        if (at := self.last(tags)) > self.last(stop - tags):
+            self.pop_to(at)
 
     def pop_to(self, i: int) -> None:
-        self.links -= sum(x.tag == "a" for x in self.stack[i:])
+        for x in self.stack[i:]:
+            self.where[x.tag].pop()
+            self.links -= x.tag == "a"
         del self.stack[i:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        if self.deeper.get(tag):
-            self.deeper[tag] -= 1
-            return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                self.pop_to(i)
-                return
-            if self.stack[i].tag in REGIONS and tag not in ("html", "body", *REGIONS):
-                return
+        at = self.last({tag})
+        # what an article or main holds can't end what is around it, but for the page's own ends
+        if at >= 0 and (at >= self.stack[-1].last_region or tag in ("html", "body", *REGIONS)):
+            self.pop_to(at)
 
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1].silent:
@@ -174,7 +189,7 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(x.text) / max(1, x.tags) for x in lines], float), sigma)
+    ratio = smoothed(np.array([(len(x.text) - min(x.linked, len(x.text))) / max(1, x.tags) for x in lines], float), sigma)
     clean = np.array([not x.boilerplate and 2 * x.linked <= len(x.text) for x in lines])
     if not clean.any():
         return ""
@@ -182,22 +197,39 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     high = clean & (ratio >= min(ratio.std(), ratio[clean].mean() / 2))
     if not high.any():
         high = clean
-    # what the clustered lines hold in each container above them
-    weight: dict[int, int] = {}
-    for x, h in zip(lines, high, strict=True):
-        if h:
-            for number in x.path:
-                weight[number] = weight.get(number, 0) + len(x.text)
-    total = sum(len(x.text) for x, h in zip(lines, high, strict=True) if h)
-    named = [n for n in weight if parser.kinds[n] in REGIONS]
-    if named and (most := max(weight[n] for n in named)) * 4 >= total:
+    around, kinds = parser.around, parser.kinds
+
+    def summed(values: list[int]) -> list[int]:
+        """The sum of values of lines inside each container."""
+        total = [0] * len(kinds)
+        for x, v in zip(lines, values, strict=True):
+            total[x.inside] += v
+        for n in range(len(kinds) - 1, 0, -1):
+            total[around[n]] += total[n]
+        return total
+
+    told = summed([len(x.text) if h else 0 for x, h in zip(lines, high, strict=True)])
+    dropped = [False] * len(kinds)
+    for n in range(1, len(kinds)):
+        dropped[n] = dropped[around[n]] or n in parser.weak and 2 * told[n] < told[0]
+    out = [x.boilerplate or dropped[x.inside] for x in lines]
+    weight = summed([0 if o else len(x.text) if h else -len(x.text) for x, h, o in zip(lines, high, out, strict=True)])
+    best = max(weight)
+    named, above = [], [False] * len(kinds)
+    for n in range(1, len(kinds)):
+        above[n] = above[around[n]] or kinds[around[n]] in REGIONS
+        if kinds[n] in REGIONS and weight[n] > 0 and not (above[n] and kinds[n] == "main"):
+            named.append(n)
+    outer = [n for n in named if not above[n]]
+    if outer and 2 * sum(weight[n] for n in outer) >= best:
+        most = max(weight[n] for n in named)
         chosen = {n for n in named if 4 * weight[n] >= most}
     else:
-        # the innermost container that keeps nearly all of it
-        holders = [n for n in weight if 10 * weight[n] >= 9 * total]
-        chosen = {max(holders)} if holders else set()
-    inside = [bool(chosen & set(x.path)) or not chosen for x in lines]
-    return "\n".join(x.text for x, i in zip(lines, inside, strict=True) if i and not x.boilerplate)
+        chosen = {max(n for n in range(len(kinds)) if 10 * weight[n] >= 9 * best)}
+    inside = [n in chosen for n in range(len(kinds))]
+    for n in range(1, len(kinds)):
+        inside[n] = inside[n] or inside[around[n]]
+    return "\n".join(x.text for x, o in zip(lines, out, strict=True) if inside[x.inside] and not o)
 
 
 def extract(pages: DataFrame) -> DataFrame:

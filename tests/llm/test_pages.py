@@ -1,9 +1,10 @@
 import io
 import random
 
+import numpy as np
 import pyarrow as pa
 
-from rasterflow.llm import op4_warc
+from rasterflow.llm import op4_warc, op5_html_text
 from rasterflow.llm.op4_warc import Gap, Record, gzip_member, record_bytes, salvage, sha1_base32
 from rasterflow.llm.op5_html_text import extract, main_text
 
@@ -116,3 +117,53 @@ def test_odd_pages(spark):
     got = sorted(((r["page_id"], r["n_chars"]) for r in extract(spark.createDataFrame(rows, PAGES)).collect()), key=str)
     assert got == [(1, 0), (1, 0), (2, 20_000 * 10 - 1), (None, 1)]
     assert isinstance(io.BytesIO(b""), io.BytesIO) and pa.__version__
+
+
+def sentence(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefgé") for _ in range(rnd.randint(2, 9))) for _ in range(n)) + "."
+
+
+def golden(rnd):
+    """A page made around a known text; half of them without article or main."""
+    content = [sentence(rnd, rnd.choice([2, 6, 30, 60])) for _ in range(rnd.randint(4, 12))] + [sentence(rnd, 70), sentence(rnd, 50)]
+    rnd.shuffle(content)
+    content.insert(0, sentence(rnd, 5))
+    links = "".join(f'<li><a href="/{k}">{sentence(rnd, 2)}</a></li>' for k in range(rnd.randint(3, 9)))
+    body = f"<h1>{content[0]}</h1>" + "".join(f"<p>{x}</p>" if rnd.random() < 0.8 else f"<blockquote><p>{x}</p></blockquote>" for x in content[1:])
+    tag = rnd.choice(["article", "main", "div", "section"])
+    inner = f'<{tag} class="{rnd.choice(["", "post", "post-share content", "search-results", "no-sidebar"])}">{body}</{tag}>'
+    tools = "".join(f"<div><span>{sentence(rnd, 1)}</span><span><b>{sentence(rnd, 1)}</b></span><i>{sentence(rnd, 1)}</i></div>" for _ in range(rnd.choice([0, 8, 80])))
+    side = f'<div class="sidebar"><p>{sentence(rnd, 12)}</p></div>' if rnd.random() < 0.5 else ""
+    page = f'<div id="wrap" class="with-sidebar"><div>{tools}</div>{inner}{side}</div>'
+    foot = rnd.choice([f"<footer>{sentence(rnd, 9)}</footer>", f'<div class="comments"><p>{sentence(rnd, 200)}</p></div>', f'<form>{sentence(rnd, 4)}<input></form>'])
+    return f"<html><head><title>t</title><script>x()</script></head><body><nav><ul>{links}</ul></nav>{page}{foot}</body></html>", "\n".join(content)
+
+
+def test_golden_pages():
+    rnd = random.Random(8)
+    pages = [golden(rnd) for _ in range(200)]
+    assert [main_text(h) for h, _ in pages] == [t for _, t in pages]
+
+
+def test_ratios_decide(monkeypatch):
+    rnd = random.Random(8)
+    pages = [golden(rnd) for _ in range(200)]
+    monkeypatch.setattr(op5_html_text, "smoothed", lambda ratios, sigma: np.ones(len(ratios)))
+    assert sum(main_text(h) != t for h, t in pages) >= 40
+
+
+def test_classes_that_name_the_layout_keep_their_text_and_inner_ones_go():
+    long = "Words of the text that go on and on for a good while, as they do in articles. " * 4
+    page = f'<body><div class="search-results sidebar-left"><p>{long}</p><div class="sidebar"><p>Recent posts of others.</p></div><p>Short.</p><p>{long}</p></div></body>'
+    assert main_text(page) == f"{long.strip()}\nShort.\n{long.strip()}"
+
+
+def test_deep_nesting_has_no_bound_and_linear_time():
+    import time
+
+    text = "A sentence that is long enough to be the text of a page, and then some more of it."
+    began = time.perf_counter()
+    deep = "<div>" * 60_000 + f"<p>{text}</p>" + "</section>" * 60_000 + "</div>" * 60_000
+    assert main_text(f"<body>{deep}</body>") == text
+    assert main_text("<body>" + "<article><p>" + "<b>" * 50_000 + text + "</p>" * 50_000 + "</article></body>") == text
+    assert time.perf_counter() - began < 20
