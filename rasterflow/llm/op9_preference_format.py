@@ -14,18 +14,26 @@ from pyspark.sql import functions as F
 
 #: The marks of the public ChatML rendering.
 START, END = "<|im_start|>", "<|im_end|>"
-#: What a text's own marks begin with, and what stands for it, so that no text can open or close a turn.
+#: What a text's or role's own marks begin with, and what stands for it, so that none can open or close a turn.
 MARK, ESCAPED = "<|im_", "<|_im_"
 
 ORACLE_SQL = f"""
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, replace(coalesce(text, ''), '{MARK}', '{ESCAPED}') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
-  FROM conversations WHERE conv_id IS NOT NULL),
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT conv_id, turn, text FROM c WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC) = 1),
+sides AS (
+  SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM c
+  UNION ALL
+  SELECT c.conv_id, 1, c.turn, c.role, CASE WHEN c.role = 'assistant' AND c.turn IS NOT DISTINCT FROM last.turn AND c.text = last.text THEN coalesce(other.text, '') ELSE c.text END
+  FROM c LEFT JOIN last USING (conv_id) LEFT JOIN last other ON other.conv_id = xor(c.conv_id, 1)),
+t AS (
+  SELECT pair_id, side, role, replace(text, '{MARK}', '{ESCAPED}') AS text, replace(replace(role, '{MARK}', '{ESCAPED}'), chr(10), ' ') AS name,
+    row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM sides),
 same AS (SELECT pair_id, pos, count(*) = 2 AND count(DISTINCT role) = 1 AND count(DISTINCT text) = 1 AS equal FROM t GROUP BY ALL),
 cut AS (SELECT pair_id, coalesce(min(pos) FILTER (NOT equal) - 1, max(pos)) AS n_prefix FROM same GROUP BY ALL),
 r AS (
-  SELECT t.*, n_prefix, '{START}' || role || chr(10) AS head, '{START}' || role || chr(10) || text || '{END}' || chr(10) AS line FROM t JOIN cut USING (pair_id)),
+  SELECT t.*, n_prefix, '{START}' || name || chr(10) AS head, '{START}' || name || chr(10) || text || '{END}' || chr(10) AS line FROM t JOIN cut USING (pair_id)),
 o AS (
   SELECT *, coalesce(sum(CASE WHEN pos > n_prefix THEN length(line) ELSE 0 END) OVER (PARTITION BY pair_id, side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
 m AS (SELECT *, (before + length(head))::BIGINT || ':' || (before + length(line) - 1)::BIGINT AS span FROM o)
@@ -41,7 +49,9 @@ FROM m GROUP BY pair_id
 
 
 def _lines(turns: Column) -> Column:
-    return F.transform(turns, lambda x: F.struct(x["role"].alias("role"), F.concat(F.lit(START), x["role"], F.lit("\n"), F.replace(x["text"], F.lit(MARK), F.lit(ESCAPED)), F.lit(END + "\n")).alias("line")))
+    name = lambda x: F.replace(F.replace(x["role"], F.lit(MARK), F.lit(ESCAPED)), F.lit("\n"), F.lit(" "))
+    line = lambda x: F.concat(F.lit(START), name(x), F.lit("\n"), F.replace(x["text"], F.lit(MARK), F.lit(ESCAPED)), F.lit(END + "\n"))
+    return F.transform(turns, lambda x: F.struct(x["role"].alias("role"), F.char_length(name(x)).alias("head"), line(x).alias("line")))
 
 
 def _mask(lines: Column) -> Column:
@@ -49,7 +59,7 @@ def _mask(lines: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["role"]) + len(START) + 1
+        begin = acc["at"] + x["head"] + len(START) + 1
         end = acc["at"] + F.char_length(x["line"]) - 1
         span = F.concat(begin.cast("string"), F.lit(":"), end.cast("string"))
         return F.struct((acc["at"] + F.char_length(x["line"])).alias("at"), F.when(x["role"] == "assistant", F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
@@ -80,7 +90,24 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     return lines.select("pair_id", "n_prefix", "paired", joined(F.col("p")).alias("prompt"), joined(F.col("c")).alias("chosen"), joined(F.col("r")).alias("rejected"), _mask(F.col("c")).alias("chosen_mask"), _mask(F.col("r")).alias("rejected_mask"))
 
 
+def with_other_answers(turns: DataFrame) -> DataFrame:
+    """Pairs made of ``turns`` (conv_id, turn, role, text): (pair_id, side, turn, role, text).
+
+    A conversation is chosen; rejected is the same with its last assistant turn answered as in the
+    neighbouring conversation (conv_id with its last bit changed), or with an empty answer where that has none. A
+    conversation without an assistant turn is its own rejected side. Of equal last turns all are replaced.
+    Null roles and texts count as empty; rows without a conv_id are left out; an empty table gives none.
+    """
+    rows = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    last = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("other"))
+    changed = rows.join(last, "conv_id", "left").join(other, "conv_id", "left")
+    ends = (F.col("role") == "assistant") & F.col("turn").eqNullSafe(F.col("last.turn")) & (F.col("text") == F.col("last.text"))
+    changed = changed.select(F.col("conv_id").alias("pair_id"), F.lit(1).alias("side"), "turn", "role", F.when(ends, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text"))
+    return rows.select(F.col("conv_id").alias("pair_id"), F.lit(0).alias("side"), "turn", "role", "text").unionByName(changed)
+
+
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole of conversations, paired by neighbouring ids: even ones chosen, odd ones rejected."""
+    """The whole of conversations as chosen, each against itself with another last answer."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return format_pairs(turns.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", "role", "text"))
+    return format_pairs(with_other_answers(turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")))
