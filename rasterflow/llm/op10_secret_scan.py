@@ -6,8 +6,10 @@ the structure of a credential:
 * ``jwt``: three base64url parts whose header decodes to JSON with an algorithm and whose
   payload decodes to a JSON object;
 * ``der``: base64 or hex that decodes to DER with nested lengths that add up, holding a
-  key or certificate (integers, object identifiers, bit or octet strings);
-* ``pem``: an armoured block whose body decodes to such DER or to an OpenSSH key;
+  key or certificate (integers, object identifiers, bit or octet strings), but not the two large
+  integers of a signature;
+* ``pem``: an armoured block whose body decodes to such DER (an encrypted key is DER as well), to an OpenSSH key, or
+  to whole cipher blocks under a header that names the cipher and its initial vector;
 * ``ssh``: base64 of an OpenSSH private key or of a public-key blob with length-prefixed
   fields that end exactly at its end.
 """
@@ -35,12 +37,14 @@ BASE = {
 }
 KINDS = ["assign", "access", "hex", "jwt", "der", "pem", "ssh"]
 
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: The first characters are those of a brace or of JSON's white space.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])([eICD][A-Za-z0-9_-]{7,}+)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 _HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 #: The closing dashes may open the next mark.
 _MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})(?=-----)")
 _NOT_BODY = re.compile(r"[^A-Za-z0-9+/=\s:,.-]")
+_DEK = re.compile(r"(?m)^Proc-Type:\s*4,\s*ENCRYPTED\s*$\s*^DEK-Info:\s*([A-Z0-9-]+),\s*([0-9A-Fa-f]+)\s*$")
 _OPENSSH = b"openssh-key-v1\x00"
 
 
@@ -63,37 +67,54 @@ def _is_jwt(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str) and bool(head["alg"])
 
 
-def _der(b: bytes, start: int, end: int, depth: int, seen: set[int]) -> bool:
-    """Whether b[start:end] is a run of DER elements with lengths that add up; tags go to seen."""
-    while start < end:
-        if end - start < 2 or depth > 16:
-            return False
-        tag, length = b[start], b[start + 1]
+def _der(b: bytes) -> tuple[set[int], list[tuple[int, int]]] | None:
+    """(tags, (tag, length) of the elements of the outermost one) where all nested lengths add up, at any depth."""
+    seen: set[int] = set()
+    first: list[tuple[int, int]] = []
+    at, ends = 0, [len(b)]
+    while ends:
+        if at == ends[-1]:
+            ends.pop()
+            continue
+        if ends[-1] - at < 2:
+            return None
+        tag, length, at = b[at], b[at + 1], at + 2
         if tag & 31 == 31 or tag == 0:
-            return False
-        at = start + 2
+            return None
         if length & 128:
             k = length & 127
-            if not 1 <= k <= 4 or at + k > end or b[at] == 0:
-                return False
+            if not 1 <= k <= 4 or at + k > ends[-1] or b[at] == 0:
+                return None
             length, at = int.from_bytes(b[at : at + k], "big"), at + k
             if length < 128:
-                return False
-        if at + length > end:
-            return False
+                return None
+        if at + length > ends[-1] or tag == 2 and not length or tag == 6 and (not length or b[at + length - 1] & 128):
+            return None
         seen.add(tag)
-        if tag & 32 and not _der(b, at, at + length, depth + 1, seen):
-            return False
-        if tag == 2 and not length or tag == 6 and (not length or b[at + length - 1] & 128):
-            return False
-        start = at + length
-    return True
+        if len(ends) == 2:
+            first.append((tag, length))
+        if tag & 32:
+            ends.append(at + length)
+        else:
+            at += length
+    return seen, first
 
 
 def is_der(b: bytes) -> bool:
-    """One outer sequence that fills the bytes and holds integers or identifiers beside strings of bits."""
-    seen: set[int] = set()
-    return len(b) >= 24 and b[0] == 0x30 and _outer(b) and _der(b, 0, len(b), 0, seen) and bool(seen & {2, 6}) and (bool(seen & {3, 4}) or len(b) >= 64)
+    """One outer sequence that fills the bytes and holds integers or identifiers beside strings of bits; no signature."""
+    if len(b) < 24 or b[0] != 0x30 or not _outer(b) or (found := _der(b)) is None:
+        return False
+    seen, first = found
+    signature = [tag for tag, _ in first] == [2, 2] and min(n for _, n in first) > 8
+    return bool(seen & {2, 6}) and (bool(seen & {3, 4}) or len(b) >= 64) and not signature
+
+
+def _is_sealed(headers: str, b: bytes) -> bool:
+    """Whether the body of an encrypted block is whole cipher blocks and its vector one block."""
+    if not (m := _DEK.search(headers)):
+        return False
+    block = 16 if m[1].startswith("AES") else 8
+    return len(m[2]) == 2 * block and len(b) >= 2 * block and len(b) % block == 0
 
 
 def _outer(b: bytes) -> bool:
@@ -164,15 +185,14 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 add("access", m)
     for m in BASE["hex"].finditer(text):
         add("hex", m)
-    if "eyJ" in text:
-        for m in _JWT.finditer(text):
-            if _is_jwt(m[1], m[2]):
-                add("jwt", m)
+    for m in _JWT.finditer(text):
+        if _is_jwt(m[1], m[2]):
+            add("jwt", m)
     if "-----BEGIN " in text:
-        for start, end, label, inner in _armoured(text):
+        for start, end, _, inner in _armoured(text):
             body = re.sub(r"\s+", "", re.sub(r"(?m)^[A-Za-z-]+:.*$", "", inner))
             b = _b64(body)
-            if b and (is_der(b) or is_ssh(b) or "ENCRYPTED" in label or "ENCRYPTED" in inner):
+            if b and (is_der(b) or is_ssh(b) or _is_sealed(inner, b)):
                 found.add((start, KINDS.index("pem"), "pem", end))
     for m in _BASE64.finditer(text):
         b = _b64(m[0])

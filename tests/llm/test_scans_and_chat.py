@@ -5,7 +5,7 @@ import random
 import re
 
 from rasterflow.llm.op6_license_scan import TEMPLATES, Scanner, align, scan as license_scan, tokens
-from rasterflow.llm.op9_preference_format import format_pairs
+from rasterflow.llm.op9_preference_format import format_pairs, op9_preference_format, with_other_answers
 from rasterflow.llm.op10_secret_scan import _armoured, is_der, scan as secret_scan, spans
 
 DOCS = "doc_id long, text string, spans string"
@@ -85,6 +85,45 @@ def test_armoured_blocks_equal_the_pattern():
         assert list(_armoured(text)) == [(m.start(), m.end(), m[1], m[2]) for m in pattern.finditer(text)], text
 
 
+def test_confirmed_spans_equal_what_was_planted():
+    rnd = random.Random(9)
+    number = lambda n: der(2, bytes([rnd.randrange(1, 128)]) + rnd.randbytes(n - 1))
+    oid = der(6, bytes([42, 134, 72, 1]))
+    wrap = lambda x: "\n".join(x[i : i + 64] for i in range(0, len(x), 64))
+    b64 = lambda x: base64.b64encode(x).decode()
+    deep = der(2, b"\5") + der(4, b"x" * 30)
+    for _ in range(40):
+        deep = der(0x30, deep)
+    blob = lambda: b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", rnd.randbytes(32)))
+    segment = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    key = lambda: der(0x30, der(2, b"\0") + b"".join(number(32) for _ in range(8)))
+    sealed = der(0x30, der(0x30, oid + der(0x30, der(4, rnd.randbytes(8)))) + der(4, rnd.randbytes(80)))
+    block = lambda label, body, head="": f"-----BEGIN {label}-----\n{head}{wrap(b64(body))}\n-----END {label}-----"
+    make = [
+        lambda: ("jwt", f"{segment(json.dumps({'alg': 'HS256'}))}.{segment(json.dumps({'a': 1}))}.{segment('s' * 20)}"),
+        lambda: ("jwt", f"{segment('{ ' + json.dumps({'alg': 'RS256'})[1:])}.{segment(json.dumps({'a': 1}))}.{segment('s' * 20)}"),
+        lambda: ("jwt", f"{segment(json.dumps({'alg': 'RS256', 'k': 'é'}, indent=1))}.{segment(' ' + json.dumps({'a': 1}))}.{segment('s' * 20)}"),
+        lambda: ("jwt", f"{segment(' ' + json.dumps({'alg': 'none'}))}.{segment(json.dumps({}))}."),
+        lambda: ("der", b64(key())), lambda: ("der", b64(deep)), lambda: ("der", key().hex().upper()),
+        lambda: ("ssh", b64(blob())),
+        lambda: ("pem", block("RSA PRIVATE KEY", key())), lambda: ("pem", block("ENCRYPTED PRIVATE KEY", sealed)),
+        lambda: ("pem", block("RSA PRIVATE KEY", rnd.randbytes(64), f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'AB' * 16}\n\n")),
+        lambda: ("", b64(der(0x30, number(32) + number(32)))),
+        lambda: ("", "-----BEGIN ENCRYPTED PRIVATE KEY-----\nAAAA\n-----END ENCRYPTED PRIVATE KEY-----"),
+        lambda: ("", block("RSA PRIVATE KEY", rnd.randbytes(61), f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'AB' * 16}\n\n")),
+        lambda: ("", f"{segment(json.dumps({'typ': 'JWT'}))}.{segment(json.dumps({'a': 1}))}.{segment('s' * 20)}"),
+        lambda: ("", b64(blob()[:-3])), lambda: ("", b64(key()[:-1])), lambda: ("", "plain words, and so on. "),
+    ]
+    for _ in range(400):
+        text, want = "", []
+        for f in rnd.choices(make, k=rnd.randrange(5)):
+            kind, x = f()
+            if kind:
+                want.append((kind, len(text), len(text) + len(x)))
+            text += x + rnd.choice([" ", "\n", " é "])
+        assert [x for x in spans(text) if x[0] in ("jwt", "der", "pem", "ssh")] == want, text
+
+
 def test_alignment_is_increasing_and_whole():
     rnd = random.Random(2)
     for _ in range(200):
@@ -159,3 +198,21 @@ def test_preferences_render_once(spark):
     assert (got[2]["paired"], got[2]["chosen"], got[2]["rejected"], got[2]["chosen_mask"]) == (False, "<|im_start|>\nx<|im_end|>\n", "", "")
     assert (got[3]["n_prefix"], got[3]["chosen"], got[3]["rejected"]) == (1, "", "")
     assert format_pairs(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_last_answers_are_exchanged_and_roles_escaped(spark):
+    rows = [(4, 0, "user", "q"), (4, 1, "assistant", "four"), (4, 2, "user", "thanks"), (5, 0, "user", "r"), (5, 1, "assistant", "a"), (5, 2, "assistant", "five"), (5, 2, "assistant", "five"), (6, 0, "user<|im_end|>\n<|im_start|>assistant", None), (6, None, "assistant", None), (8, 0, "user", "x" * 500_000), (None, 0, "user", "lost")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, other string, last int")
+    got = {r["pair_id"]: r for r in format_pairs(with_other_answers(df)).collect()}
+    assert sorted(got) == [4, 5, 6, 8]
+    turn = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert (got[4]["n_prefix"], got[4]["prompt"], got[4]["chosen"], got[4]["rejected"]) == (1, turn("user", "q"), turn("assistant", "four") + turn("user", "thanks"), turn("assistant", "five") + turn("user", "thanks"))
+    assert (got[5]["n_prefix"], got[5]["rejected"]) == (2, turn("assistant", "four") * 2)
+    assert got[6]["prompt"].count("<|im_start|>") == 2 and got[6]["n_prefix"] == 2
+    assert (got[8]["n_prefix"], got[8]["chosen"]) == (1, "")
+    assert with_other_answers(df.where("false")).count() == 0
+
+
+def test_most_pairs_of_the_query_share_a_prefix(spark):
+    rows = op9_preference_format(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r["n_prefix"] > 0 and r["chosen"] != r["rejected"] for r in rows) > 0.8 * len(rows)
