@@ -2,9 +2,12 @@
 
 The writer puts each record into a gzip member of its own, with block and payload digests,
 and rolls to a new archive at a size. The reader checks members (CRC), headers, lengths
-and digests. After a failed check it searches for the next valid member or version
-line, goes on there, and logs the bytes between as a quarantined gap; records behind the
-damage are not lost. It reads through a window, never a whole archive.
+and digests; a member may hold any number of records, and version lines of any number count. After a failed
+check it searches for the next valid member or version line, goes on there, and logs the bytes between as a
+quarantined gap; records behind the damage are not lost. A damaged record whose frame still holds (its length
+leads to the next record) is skipped whole, so that no record inside its payload is taken for one of the
+archive. Of a damaged member, records whose own digest holds are recovered. It reads through a window, never a
+whole archive or member; a record's block is held, whatever its length.
 
 Archives go to the shared folder through Arrow's file systems; a manifest names the ones of
 successful tasks, so a task that is run again leaves no record twice.
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,9 +32,10 @@ from pyspark.sql import functions as F
 
 from ._shared import Scratch, new_path
 
-#: Archives are rolled at so many bytes, read in blocks of so many, and version lines that start a record.
-ROLL, BLOCK, VERSIONS = 32 << 20, 1 << 18, (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
-_GZIP = b"\x1f\x8b\x08"
+#: Archives are rolled at so many bytes and read in blocks of so many.
+ROLL, BLOCK = 32 << 20, 1 << 18
+#: How a version line and a gzip member begin, and what ends a header and a record.
+_VERSION, _GZIP, _BLANK = re.compile(rb"WARC/\d+\.\d+\r\n"), b"\x1f\x8b\x08", b"\r\n\r\n"
 
 ORACLE_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -109,6 +114,7 @@ class _Window:
     size: int
     at: int = 0
     held: bytearray = field(default_factory=bytearray)
+    blank: int = -1
 
     def get(self, start: int, n: int) -> bytes:
         end = min(self.size, start + n)
@@ -136,86 +142,195 @@ class _Window:
         return self.size
 
 
-def _parse(b: bytes, start: int, end: int) -> Record:
-    """A record that fills b but for its final blank lines; raises ValueError where a check fails."""
-    head, found, rest = b.partition(b"\r\n\r\n")
-    if not found or not b.startswith(VERSIONS):
-        raise ValueError("no version line")
-    headers = {}
-    for line in head.split(b"\r\n")[1:]:
+@dataclass
+class _Inflated:
+    """The bytes of the gzip member at a place of a window, forwards; it begins anew when asked for earlier ones."""
+
+    w: _Window
+    start: int
+    z: object = None
+    here: int = 0
+    at: int = 0
+    left: bytes = b""
+    failed: Exception | None = None
+
+    def read_at(self, at: int, n: int) -> bytes:
+        if self.z is None or at < self.at:
+            self.z, self.here, self.at, self.left = zlib.decompressobj(31), self.start, 0, b""
+            self.failed = None
+        out = bytearray()
+        while len(out) < n:
+            if not self.left:
+                if self.failed or self.z.eof:
+                    if self.failed and not out:
+                        raise self.failed
+                    break
+                part = self.z.unconsumed_tail or self.w.get(self.here, BLOCK)
+                if not part:  # the decompressor may still hold what the last call had no room for
+                    self.left = self.z.decompress(b"", BLOCK)
+                    if not self.left and not self.z.eof:
+                        self.failed = ValueError("truncated member")
+                    continue
+                self.here += 0 if self.z.unconsumed_tail else len(part)
+                before = self.z.copy()
+                try:
+                    self.left = self.z.decompress(part, BLOCK)
+                except zlib.error:
+                    # what comes before the damage, byte by byte; the error is met again behind it
+                    self.z, rest = before, iter(range(len(part)))
+                    more = []
+                    try:
+                        for k in rest:
+                            more.append(self.z.decompress(part[k : k + 1]))
+                    except zlib.error as e:
+                        self.failed = e
+                    self.left = b"".join(more)
+                continue
+            skip = min(len(self.left), max(0, at - self.at))
+            take = self.left[skip : skip + n - len(out)]
+            out += take
+            self.at += skip + len(take)
+            at = max(at, self.at)
+            self.left = self.left[skip + len(take) :]
+        return bytes(out)
+
+    def checked(self) -> tuple[int, int, str]:
+        """(bytes that can be read, the place behind the member, what is wrong with it); zlib checks CRC and length."""
+        size = 0
+        try:
+            while part := self.read_at(size, BLOCK):
+                size += len(part)
+        except (ValueError, zlib.error) as e:
+            return size, -1, str(e)
+        return size, self.here - len(self.z.unused_data), ""
+
+
+class _Damaged(ValueError):
+    """A record that fails a check; end is the place behind it where its frame holds, else -1."""
+
+    def __init__(self, reason: str, end: int = -1):
+        super().__init__(reason)
+        self.end = end
+
+
+def _begins(w: _Window, at: int, gzip: bool = True) -> bool:
+    return gzip and w.get(at, 3) == _GZIP or bool(_VERSION.match(w.get(at, 32)))
+
+
+def _next(w: _Window, at: int, gzip: bool = True) -> int:
+    """The first place from ``at`` on where a member or a version line begins, or the size."""
+    while (at := w.find((_GZIP, b"WARC/") if gzip else (b"WARC/",), at)) < w.size and not _begins(w, at, gzip):
+        at += 1
+    return at
+
+
+def _record(w: _Window, at: int, gzip: bool = True, sealed: bool = False) -> tuple[Record, int]:
+    """The uncompressed record at a place and the place behind it; _Damaged where a check fails. ``sealed`` asks for a block digest."""
+    if w.blank < at:
+        w.blank = w.find((_BLANK,), at)
+    if w.blank >= w.size:
+        raise _Damaged("no end of headers")
+    start = w.blank + len(_BLANK)
+    headers, broken = {}, False
+    for line in w.get(at, w.blank - at).split(b"\r\n")[1:]:
         key, colon, value = line.partition(b":")
-        if not colon:
-            raise ValueError("broken header line")
+        broken |= not colon
         headers[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
-    if not length.isdigit() or len(rest) < int(length):
-        raise ValueError("length")
-    if rest[int(length) :] not in (b"\r\n\r\n", b""):
-        raise ValueError("bytes behind the block")
-    record = Record(start, end, headers, rest[: int(length)])
+    if not re.fullmatch("[0-9]{1,18}", length) or start + int(length) > w.size:
+        raise _Damaged("length")
+    end = start + int(length)
+    tail = w.get(end, 4)
+    if tail not in (_BLANK, b""):
+        raise _Damaged("no blank lines behind the block")
+    record = Record(at, end + len(tail), headers, w.get(start, end - start))
+    if record.end < w.size and not _begins(w, record.end, gzip):
+        framed = -1
+    else:
+        framed = record.end
+    if broken:
+        raise _Damaged("broken header line", framed)
     digest = headers.get("warc-block-digest", "")
-    if digest.lower().startswith("sha1:") and digest[5:].upper() != sha1_base32(record.block):
-        raise ValueError("block digest")
+    known = digest.lower().startswith("sha1:")
+    if known and digest[5:].upper() != sha1_base32(record.block):
+        raise _Damaged("block digest", framed)
+    if sealed and not known:
+        raise _Damaged("no digest in a damaged member", framed)
     digest = headers.get("warc-payload-digest", "")
     if headers.get("warc-type") == "response" and digest.lower().startswith("sha1:") and digest[5:].upper() != sha1_base32(record.payload):
-        raise ValueError("payload digest")
-    return record
-
-
-def _member(w: _Window, at: int) -> tuple[bytes, int]:
-    """The bytes of the gzip member at a place and the place behind it; zlib checks its CRC and length."""
-    z, out, here = zlib.decompressobj(31), [], at
-    while not z.eof:
-        part = w.get(here, BLOCK)
-        if not part:
-            raise ValueError("truncated member")
-        out.append(z.decompress(part))
-        here += len(part) - len(z.unused_data)
-    return b"".join(out), here
-
-
-def _plain(w: _Window, at: int) -> tuple[bytes, int]:
-    """The bytes of the uncompressed record at a place and the place behind it."""
-    head = b""
-    while b"\r\n\r\n" not in head:
-        more = w.get(at + len(head), 4096)
-        head += more
-        if not more or len(head) > 1 << 20:
-            raise ValueError("no end of headers")
-    size = head.index(b"\r\n\r\n") + 4
-    length = next((x.partition(b":")[2].strip() for x in head[:size].split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
-    if not length.isdigit() or at + size + int(length) > w.size:
-        raise ValueError("length")
-    end = at + size + int(length)
-    tail = w.get(end, 4)
-    if tail != b"\r\n\r\n" and end < w.size:
-        raise ValueError("no blank lines behind the block")
-    return w.get(at, end - at), end + len(tail)
+        raise _Damaged("payload digest", framed)
+    return record, record.end
+
+
+def _inside(w: _Window, sealed: bool) -> Iterator[Record | str]:
+    """Records of a member's bytes, and why there are none wherever they begin to lack."""
+    at, bad = 0, False
+    while at < w.size:
+        try:
+            if not _begins(w, at, False):
+                raise _Damaged("no version line")
+            record, at = _record(w, at, False, sealed)
+        except (ValueError, zlib.error) as e:
+            if not bad:
+                yield str(e)
+            bad, at = True, e.end if getattr(e, "end", -1) >= 0 else _next(w, at + 1, False)
+            continue
+        bad = False
+        yield record
 
 
 def salvage(read_at: Callable[[int, int], bytes], size: int) -> Iterator[Record | Gap]:
-    """Records of an archive in order, and a Gap for every run of bytes that held none."""
+    """Records of an archive in order, and a Gap for every run of bytes that held none or not all of a member's.
+
+    start and end are places in the archive; records of one member share the member's. A gap follows what was
+    recovered from its bytes. An empty archive gives nothing.
+    """
     w = _Window(read_at, size)
     at, bad, reason = 0, -1, ""
+    told: set[int] = set()  # records recovered from the last damaged member, which may stand in it as they are
+    key = lambda x: hash((x.headers.get("warc-record-id"), x.headers.get("warc-block-digest")))
     while at < size:
         try:
             if w.get(at, 3) == _GZIP:
-                data, end = _member(w, at)
-            elif w.get(at, 10) in VERSIONS:
-                data, end = _plain(w, at)
+                held, end, wrong = _Inflated(w, at).checked()
+                if wrong and not held:
+                    raise _Damaged(wrong)
+                inside, why, told = _Window(_Inflated(w, at).read_at, held), wrong, set()
+                for x in _inside(inside, bool(wrong)):
+                    if isinstance(x, str):
+                        why = why or x
+                        continue
+                    if bad >= 0:
+                        yield Gap(bad, at, reason)
+                        bad = -1
+                    x.start, x.end = at, end if end >= 0 else at + 1
+                    if wrong:
+                        told.add(key(x))
+                    yield x
+                if wrong:
+                    raise _Damaged(wrong)
+                if why:
+                    raise _Damaged(why, end)
+                if not held:
+                    raise _Damaged("empty member", end)
+                at = end
+            elif _begins(w, at):
+                record, end = _record(w, at)
+                if bad >= 0 and key(record) in told:
+                    at = end
+                    continue
+                if bad >= 0:
+                    yield Gap(bad, at, reason)
+                    bad = -1
+                yield record
+                at = end
             else:
-                raise ValueError("no member or version line")
-            record = _parse(data, at, end)
+                raise _Damaged("no member or version line")
         except (ValueError, zlib.error) as e:
             if bad < 0:
                 bad, reason = at, str(e)
-            at = w.find((_GZIP, *VERSIONS), at + 1)
+            at = e.end if getattr(e, "end", -1) >= 0 else _next(w, at + 1)
             continue
-        if bad >= 0:
-            yield Gap(bad, at, reason)
-            bad = -1
-        yield record
-        at = end
     if bad >= 0:
         yield Gap(bad, size, reason)
 
@@ -228,7 +343,10 @@ def write_archives(pages: DataFrame, out: str, least: int = 0, roll: int = ROLL)
     """Writes a record for each row of ``pages`` (page_id, url, html); (path, records, bytes) of the archives.
 
     Of payloads that are equal and have at least ``least`` bytes, the one with the smallest
-    page_id is written whole and the others as revisits that refer to it.
+    page_id is written whole and the others as revisits that refer to it. Rows repeated under that page_id are
+    responses each. A null html is an empty payload, a null url an empty URI, a null page_id has no number and no
+    revisit refers to it while another page has the payload. Payloads are held one at a time, at any length. Other columns are ignored,
+    whatever their names. An empty table writes no archive.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     known = pages.select("page_id", F.unhex(F.sha2("html", 256)).alias("sha"), F.octet_length("html").alias("bytes"))
@@ -308,11 +426,13 @@ def read_archives(manifest: DataFrame, out: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through archives in the shared folder and back.
 
-    A null html is an empty payload; a null url an empty URI; repeated rows are records each. The
-    archives stay for the reader of the result.
+    A null html is an empty payload; a null url an empty URI; repeated rows are records each. Quarantined
+    gaps are written to the table warc-gaps beside the archives, in the shared folder; archives and gaps stay.
     """
     out = new_path(spark, "warc")
     manifest = Scratch(spark).cut(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), out), "manifest")
     archives = manifest.count()  # a row for each archive; reading is dealt out by archive
-    found = read_archives(manifest.repartition(max(1, archives)), out)
+    scratch = Scratch(spark)
+    found = scratch.cut(read_archives(manifest.repartition(max(1, archives)), out), "warc-records")
+    scratch.cut(found.where("kind = 'gap'").select("path", "start", "end", "reason"), "warc-gaps")
     return found.where("kind <> 'gap'").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")

@@ -50,11 +50,45 @@ def test_truncated_member_and_rubbish_between():
     parts = archive(5)
     b = b"rubbish\x1f\x8b\x08" + parts[0] + parts[1][:40] + parts[2] + b"\0" * 300_000 + parts[3] + parts[4][:-9]
     found = read(b)
-    assert ids(found) == [0, 2, 3]
+    assert ids(found) == [0, 2, 3, 4]  # the last lacks only its check sum, its digest holds
     assert len([x for x in found if isinstance(x, Gap)]) == 4
     assert read(b"") == [] and [type(x) for x in read(b"abc")] == [Gap]
 
 
+def test_several_records_in_a_member_and_other_versions():
+    parts = [x.replace(b"WARC/1.1", v, 1) for x, v in zip(archive(9, True), [b"WARC/1.1", b"WARC/0.18", b"WARC/1.0"] * 3, strict=True)]
+    assert ids(read(b"".join(parts))) == list(range(9))
+    whole = gzip_member(b"".join(parts))
+    assert ids(read(whole)) == list(range(9)) and not any(isinstance(x, Gap) for x in read(whole))
+    assert ids(read(gzip_member(b"".join(parts[:4])) + gzip_member(b"".join(parts[4:])))) == list(range(9))
+    # a member cut short gives those of its records whose digests hold, and what is behind it all
+    found = read(gzip_member(b"".join(parts[:6]), 0)[:-3000] + gzip_member(b"".join(parts[6:])))
+    assert ids(found)[-3:] == [6, 7, 8] and 0 in ids(found) and sum(isinstance(x, Gap) for x in found) == 1
+    damaged = bytearray(b"".join(parts))
+    damaged[len(parts[0]) + len(parts[1]) // 2] ^= 1
+    found = read(gzip_member(bytes(damaged)))
+    assert set(ids(found)) >= {0, 2, 3, 4, 5, 6, 7, 8} and (1 in ids(found)) != any(isinstance(x, Gap) for x in found)
+
+
+def test_records_inside_a_damaged_payload_are_none_of_the_archive():
+    inner = record_bytes("response", "<urn:x:99>", b"inner", more={"X-Page-Id": "99"})
+    outer = bytearray(record_bytes("response", "<urn:x:1>", b"before " + inner + b" after", more={"X-Page-Id": "1"}))
+    outer[outer.index(b"before")] ^= 1
+    last = record_bytes("response", "<urn:x:2>", b"last", more={"X-Page-Id": "2"})
+    found = read(bytes(outer) + last)
+    assert ids(found) == [2] and [(x.start, x.end) for x in found if isinstance(x, Gap)] == [(0, len(outer))]
+    found = read(gzip_member(bytes(outer) + last))
+    assert ids(found) == [2] and sum(isinstance(x, Gap) for x in found) == 1
+
+
+def test_headers_and_members_of_any_length():
+    long = record_bytes("response", "<urn:x:1>", b"p", more={"X-Page-Id": "1", "X-Long": "v" * (3 << 20)})
+    big = record_bytes("response", "<urn:x:2>", b"q" * (9 << 20), more={"X-Page-Id": "2"})
+    assert ids(read(long + big)) == [1, 2]
+    assert ids(read(gzip_member(long + big))) == [1, 2]
+    assert ids(read(b"WARC/1.0\r\nX" * 100_000 + long)) == []  # no header ends before the last one's, whose frame is broken by them
+
+
 def test_pages_through_archives(spark, tmp_path):
     rows = [(5, "http://a/ü\r\n", "same", "x"), (2, None, "same", "x"), (9, "u", "same", "x"), (1, "u", None, "x"), (7, "u", "", "x"), (8, "u", "é" * 50_000, "x"), (8, "u", "é" * 50_000, "x")]
     pages = spark.createDataFrame(rows, PAGES)
