@@ -6,7 +6,8 @@ and the gaps between anchors are aligned the same way. Coverage is the share of
 template's words that were matched.
 
 A stretch is looked at wherever a word that is rare among the templates stands in a text, so
-a notice is found at any place of a text of any length, as often as it occurs.
+a notice is found at any place of a text of any length, as often as it occurs. It takes in half as many
+words as the template has, before and behind and between: a notice may hold insertions up to that.
 """
 
 from __future__ import annotations
@@ -191,7 +192,7 @@ class Scanner:
                 tried.add((name, i - j))
                 template, words = self.templates[name], self.words[name]
                 m = len(template)
-                slack = max(2, m // 4)
+                slack = max(2, m // 2)
                 start = max(0, i - j - slack)
                 stretch = t[start : i - j + m + 2 * slack]
                 # no more words can match than stand in the template
@@ -215,8 +216,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names. Words are
     runs of letters and digits, counted from 0. Texts without a notice, null and empty ones give
     no row. Of overlapping notices the one with the most matched words counts. A notice must have matched
-    the words that tell its version and variant (``REQUIRED``). Repeated rows are
-    scanned each; null doc_ids pass through; an empty table gives none.
+    the words that tell its version and variant (``REQUIRED``). Words and texts may have any length. Repeated rows are
+    scanned each, equal notices of a text count each; null doc_ids pass through; an empty table gives none.
     """
     scanner = Scanner(templates or TEMPLATES, coverage)
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("matched", pa.int64()), ("template_words", pa.int64()), ("coverage", pa.float64())])

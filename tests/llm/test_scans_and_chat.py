@@ -134,6 +134,26 @@ def test_alignment_is_increasing_and_whole():
         assert align(a, a) == [(i, i) for i in range(len(a))]
 
 
+def test_alignment_of_unique_words_is_longest():
+    rnd = random.Random(12)
+    for _ in range(300):
+        words = [f"w{i}" for i in range(rnd.randrange(1, 14))]
+        a, b = (rnd.sample(words, rnd.randint(0, len(words))) for _ in "ab")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert len(align(a, b)) == best[-1][-1]
+
+
+def test_repeated_rows_insertions_and_very_long_words(spark):
+    words = tokens(TEMPLATES["MIT-text"])
+    inserted = " ".join([*words[:9], *["inserted"] * (len(words) // 3), *words[9:]])
+    rows = [(1, inserted, "a"), (1, inserted, "b"), (2, "x" * 3_000_000 + " " + TEMPLATES["MIT"], "c")]
+    got = sorted((r["doc_id"], r["license"]) for r in license_scan(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(1, "MIT-text"), (1, "MIT-text"), (2, "MIT")]
+
+
 def test_notices_in_long_and_edited_texts(spark):
     rnd = random.Random(3)
     noise = lambda n: " ".join(f"n{rnd.randrange(50)} the of" for _ in range(n))
