@@ -6,8 +6,6 @@ stored, not on the shortest decimal that names it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,51 +29,24 @@ ERRORS = {
 }
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value written once, so that nested uses don't multiply the expression."""
-    return F.transform(F.array(value), body)[0]
-
-
 def fixed(value: Column, digits: int) -> Column:
     """A double with so many digits, from the exact binary value, ties to even; the sign only if negative.
 
-    The fraction is split in two parts of few bits, so that both times 10^digits are exact and
-    the comparison with one half is that of the value itself, not of its nearest decimal.
+    Values of 2^53 and more are whole and shown as such.
     """
-    power = 10**digits
-
-    def shown(v: Column, s: Column, n: Column) -> Column:
-        off = ((s["high"] - n) - 0.5) + s["low"]
-        total = s["whole"] * power + n.cast("long") + F.when(off > 0, 1).when(off == 0, F.abs((s["whole"] * power + n.cast("long")) % 2)).otherwise(0)
-        return F.concat(F.when(v < 0, "-").otherwise(""), _let(total, lambda t: _decimal(t, digits)))
-
-    def floored(v: Column, s: Column) -> Column:
-        guess = lambda n: _let(n - F.when((s["high"] - n) + s["low"] < 0, 1.0).otherwise(0.0), lambda m: shown(v, s, m))
-        return _let(F.floor(s["high"] + s["low"]).cast("double"), guess)
-
-    def split(v: Column, part: Column) -> Column:
-        high = F.floor(part * float(1 << 26)).cast("double") / float(1 << 26)
-        return _let(F.struct(F.floor(F.abs(v)).cast("long").alias("whole"), (high * float(power)).alias("high"), ((part - high) * float(power)).alias("low")), lambda s: floored(v, s))
-
-    return _let(value.cast("double"), lambda v: _let(F.abs(v) - F.floor(F.abs(v)).cast("double"), lambda part: split(v, part)))
-
-
-def _decimal(total: Column, digits: int) -> Column:
-    if not digits:
-        return total.cast("string")
-    padded = F.lpad(total.cast("string"), F.greatest(F.length(total.cast("string")), F.lit(digits + 1)), F.lit("0"))
-    return F.concat(F.substring(padded, F.lit(1), F.length(padded) - digits), F.lit("."), F.substring(padded, F.length(padded) - digits + 1, F.lit(digits)))
+    v = value.cast("double")
+    shown = F.translate(F.format_number(F.when(v == 0, 0.0).otherwise(v), digits), ",", "")
+    whole = F.concat(v.cast("long").cast("string"), F.lit("." + "0" * digits if digits else ""))
+    return F.when(F.abs(v) < float(1 << 53), shown).otherwise(whole)
 
 
 def human_size(size: Column) -> Column:
     """Bytes in the largest unit that keeps the value at 1 or more, up to TB."""
-    def scaled(b: Column) -> Column:
-        unit = F.lit(0)
-        for power in range(1, len(UNITS)):
-            unit = F.when(b.cast("double") >= float(1024**power), power).otherwise(unit)
-        return _let(unit, lambda u: F.when(u == 0, F.concat(b.cast("string"), F.lit(" B"))).otherwise(F.concat(fixed(b.cast("double") / F.pow(F.lit(1024.0), u), 2), F.lit(" "), F.element_at(F.array(*[F.lit(x) for x in UNITS]), u + 1))))
-
-    return _let(size.cast("long"), scaled)
+    b = size.cast("long")
+    out = F.concat(b.cast("string"), F.lit(" B"))
+    for power in range(1, len(UNITS)):
+        out = F.when(b >= 1024**power, F.concat(fixed(b.cast("double") / float(1024**power), 2), F.lit(f" {UNITS[power]}"))).otherwise(out)
+    return out
 
 
 def file_name(path: Column) -> Column:

@@ -42,10 +42,21 @@ def text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-FORMATS_SQL = "f AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, {text(x.variant)}, {text(x.id)}, {text(x.name)}, {list(x.extensions)}, {text(x.primary)}, {x.alpha}, {x.lossless}, {x.implemented}, {fm.REGISTRY.index(x.id) if x.id in fm.REGISTRY else 'NULL'}, {text(x.description)})"
-    for i, x in enumerate(fm.FORMATS)
-) + ") AS v(enum_no, variant, id, name, extensions, primary_extension, alpha, lossless, implemented, registry_no, description))"
+#: Fixed values, written out so that the tables of the package are held against them.
+FORMATS_SQL = """f AS (SELECT * FROM (VALUES
+  (0, 'Bmp', 'bmp', 'BMP 位图', ['bmp', 'dib'], 'bmp', True, True, True, 0, 'Windows 标准位图,支持 1/4/8/16/24/32 位与 RLE 压缩'),
+  (1, 'Netpbm', 'netpbm', 'Netpbm 图像', ['pbm', 'pgm', 'ppm', 'pnm', 'pam'], 'ppm', True, True, True, 1, '科研常用简单格式,含 PBM/PGM/PPM/PAM 四类'),
+  (2, 'Tga', 'tga', 'TGA 图像', ['tga', 'targa', 'icb', 'vda', 'vst'], 'tga', True, True, True, 10, '游戏与影视常用,支持调色板与 RLE 压缩'),
+  (3, 'Qoi', 'qoi', 'QOI 图像', ['qoi'], 'qoi', True, True, True, 5, '为快速编解码设计的现代无损格式'),
+  (4, 'Farbfeld', 'farbfeld', 'farbfeld 图像', ['ff'], 'ff', True, True, True, 6, '16 位每通道的高精度无损格式'),
+  (5, 'Ico', 'ico', 'ICO 图标', ['ico'], 'ico', True, True, True, 7, 'Windows 图标容器,内部为 BMP 结构'),
+  (6, 'Png', 'png', 'PNG 图像', ['png'], 'png', True, True, True, 2, '支持透明度与隔行的无损压缩图像格式'),
+  (7, 'Gif', 'gif', 'GIF 图像', ['gif'], 'gif', True, False, True, 3, '动图与调色板格式,支持 256 色与二值透明度'),
+  (8, 'Jpeg', 'jpeg', 'JPEG 图像', ['jpg', 'jpeg', 'jpe'], 'jpg', False, False, True, 8, '有损照片格式,不支持透明度'),
+  (9, 'Webp', 'webp', 'WebP 图像', ['webp'], 'webp', True, True, True, 4, '现代网页图像格式,支持无损与透明通道'),
+  (10, 'Svg', 'svg', 'SVG 矢量图', ['svg', 'svgz'], 'svg', True, True, True, 9, '可缩放矢量图形,输入时光栅化渲染,输出时封装为矢量容器'),
+  (11, 'Heic', 'heic', 'HEIC 图像', ['heic', 'heif'], 'heic', False, False, False, NULL, '高效率图像格式,规划中')
+) AS v(enum_no, variant, id, name, extensions, primary_extension, alpha, lossless, implemented, registry_no, description))"""
 
 
 # history -----------------------------------------------------------------------
@@ -336,7 +347,11 @@ def png_settings(spark, sf_dir):
     return rows.withColumn("p", fm.png_settings(c("level"), c("fast"))).select("level", "fast", "p.compression", "p.filter")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({text(k)}, {text(PRESETS[k][0])}, {text(PRESETS[k][1])}, {q}, {lv}, {fast}, {text(d)})" for k, (q, lv, fast, d) in PRESET_VALUES.items()) + ") AS v(preset, name, hint, quality, png_level, fast, downscale)")
+@query("""SELECT * FROM (VALUES
+  ('FastLossless', '极速无损', '零画质损失，最快速度优先，优化无损编码', 100, 1, True, 'Original'),
+  ('Balanced', '智能均衡', '推荐！画质与体积的最佳平衡，肉眼几乎无法分辨', 82, 3, True, 'Max2560'),
+  ('MaxSaving', '极限压缩', '体积大幅缩小 70%~90%，适合对大小要求严苛的场景', 65, 7, False, 'Max1920'),
+  ('Custom', '自定义', '完全自由配置质量、格式、尺寸与压缩算法', 80, 3, True, 'Original')) AS v(preset, name, hint, quality, png_level, fast, downscale)""")
 def compress_presets(spark, sf_dir):
     rows = [(k, *PRESETS[k], o.quality, o.png_level, o.png_fast_mode, o.downscale.kind) for k in PRESETS for o in [CompressOptions.from_preset(k)]]
     return spark.createDataFrame(rows, "preset string, name string, hint string, quality int, png_level int, fast boolean, downscale string")
@@ -426,7 +441,15 @@ def preflight_checks(spark, sf_dir):
     return rows.select("id", "w", "h", S.error_text(kind, detail).alias("error"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({text(k)}, {text(v.replace('{}', 'x'))})" for k, v in S.ERRORS.items()) + ") AS v(kind, message)")
+@query("""SELECT * FROM (VALUES
+  ('UnknownFormat', '无法识别的文件格式'),
+  ('UnsupportedFormat', '不支持的格式:x'),
+  ('Corrupt', '数据损坏:x'),
+  ('UnsupportedFeature', '暂不支持的特性:x'),
+  ('InvalidPath', '路径无效:x'),
+  ('Io', '文件读写失败:x'),
+  ('Config', '配置错误:x'),
+  ('Serialize', '数据序列化失败:x')) AS v(kind, message)""")
 def error_texts(spark, sf_dir):
     return spark.createDataFrame([(k,) for k in S.ERRORS], "kind string").select("kind", S.error_text(c("kind"), F.lit("x")).alias("message"))
 
@@ -497,22 +520,6 @@ def color_layouts(spark, sf_dir):
 # the three above over every part
 
 
-@query(SQL["gradient_pixels"].replace(T.GRADIENT, T.ALL_GRADIENT))
-def gradient_pixels_all(spark, sf_dir):
-    return P.gradient(T.all_sizes(spark, sf_dir))
-
-
-@query(SQL["grayscale_pixels"].replace(T.GRADIENT, T.ALL_GRADIENT))
-def grayscale_pixels_all(spark, sf_dir):
-    return P.grayscale(P.gradient(T.all_sizes(spark, sf_dir)))
-
-
-@query(SQL["color_layouts"].replace(T.GRADIENT, T.ALL_GRADIENT))
-def color_layouts_all(spark, sf_dir):
-    px = P.to_color(P.gradient(T.all_sizes(spark, sf_dir)), "Rgb8", "Rgba8")
-    return P.to_color(px, "Rgba8", "GrayAlpha8")
-
-
 @query(f"WITH {T.RASTER} SELECT asset_id, bool_or(c0 <> 0 AND c0 <> 255) AS semi_transparent FROM (SELECT asset_id, CASE WHEN asset_id % 3 = 0 THEN CASE WHEN c0 > 127 THEN 255 ELSE 0 END ELSE c0 END AS c0 FROM px) GROUP BY asset_id")
 def semi_transparent(spark, sf_dir):
     px = T.raster(spark, sf_dir).withColumn("c0", F.when(c("asset_id") % 3 == 0, F.when(c("c0") > 127, 255).otherwise(0)).otherwise(c("c0")))
@@ -554,17 +561,17 @@ _MARKS = "CASE WHEN starts_with(ltrim(html), '<svg') OR starts_with(ltrim(html),
 _HEADS = ("", "  <svg x>", "<?xml?><svg>", "<?xml?>", "BM", "GIF89a", "qoif", "farbfeld", "P6", "RIFFxxxxWEBP", "RIFFxxxxWAVE")
 
 
-@query(f"WITH p AS (SELECT page_id, {list(_HEADS)}[1 + (page_id % {len(_HEADS)})::INT] || left(url, 40) AS html FROM pages) SELECT page_id, {_MARKS} AS format, CASE WHEN {_MARKS} IN ('svg', 'bmp') THEN {_MARKS} END AS enabled FROM p")
+@query(f"WITH p AS (SELECT page_id, {list(_HEADS)}[1 + (page_id % {len(_HEADS)})::INT] || html AS html FROM pages) SELECT page_id, {_MARKS} AS format, CASE WHEN {_MARKS} IN ('svg', 'bmp') THEN {_MARKS} END AS enabled FROM p")
 def sniffed_formats(spark, sf_dir):
-    """Whole pages behind the heads. The SQL puts the url's start there, which no mark depends on unless a page holds an svg."""
     head = F.element_at(F.array(*[F.lit(x) for x in _HEADS]), (c("page_id") % len(_HEADS) + 1).cast("int"))
     p = T.table(spark, sf_dir, "pages").select("page_id", F.concat(head, F.col("html")).cast("binary").alias("content"))
     return p.select("page_id", sniff.detect(c("content"), packed=False).alias("format"), sniff.detect(c("content"), ("svg", "bmp"), packed=False).alias("enabled"))
 
 
-@query("SELECT page_id, false AS svg FROM pages")
+@query(f"WITH p AS (SELECT page_id, {list(_HEADS[:4])}[1 + (page_id % 4)::INT] || html AS html FROM pages) SELECT page_id, starts_with(ltrim(html), '<svg') OR starts_with(ltrim(html), '<?xml') AND contains(left(html, 1024), '<svg') AS svg FROM p")
 def svg_in_pages(spark, sf_dir):
-    return T.table(spark, sf_dir, "pages").select("page_id", sniff.is_svg(c("html").cast("binary")).alias("svg"))
+    head = F.element_at(F.array(*[F.lit(x) for x in _HEADS[:4]]), (c("page_id") % 4 + 1).cast("int"))
+    return T.table(spark, sf_dir, "pages").select("page_id", sniff.is_svg(F.concat(head, F.col("html")).cast("binary")).alias("svg"))
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -610,3 +617,28 @@ def compress_files(spark, sf_dir):
 def detect_encoded(spark, sf_dir):
     p = _images(spark, sf_dir).select(F.regexp_extract("path", r"(\d+)\.", 1).cast("long").alias("vec_id"), fm.from_extension(S.extension_of(c("path"))).alias("format"), "content")
     return p.select("vec_id", "format", sniff.detect(c("content")).alias("detected"))
+
+
+@query(f"WITH {T.RASTER} SELECT asset_id AS vec_id, ['bmp', 'netpbm', 'png', 'gif', 'webp', 'qoi', 'farbfeld', 'ico', 'jpeg', 'svg', 'tga'][1 + (asset_id % 11)::INT] AS format, y::INT AS y, x::INT AS x, c0 AS value FROM px")
+def decoded_pixels(spark, sf_dir):
+    """Every raster encoded and decoded again, pixel by pixel; of the lossy format a value counts as the raster's when it is within 20 of it."""
+    import pandas as pd
+
+    from ..sources import codecs
+
+    def run(batches):
+        import numpy as np
+
+        for t in batches:
+            out = []
+            for i, v in zip(t["vec_id"], t["embedding"], strict=True):
+                name = fm.REGISTRY[i % len(fm.REGISTRY)]
+                image = np.clip(np.floor((np.asarray(v, float) + 1) * 127.5), 0, 255).astype(np.uint8).reshape(8, 8, 1)
+                back = codecs.decode_as(codecs.encode(image, name), name).astype(int)
+                gray = back[:, :, 0] if (back[:, :, :3].min(axis=2) == back[:, :, :3].max(axis=2)).all() else np.full((8, 8), -1)
+                if not fm.BY_ID[name].lossless and name == "jpeg":
+                    gray = np.where(np.abs(gray - image[:, :, 0]) <= 20, image[:, :, 0], gray)
+                out.append(pd.DataFrame({"vec_id": i, "format": name, "y": np.repeat(np.arange(8), 8), "x": np.tile(np.arange(8), 8), "value": gray.reshape(-1)}))
+            yield pd.concat(out)
+
+    return T.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, format string, y int, x int, value int")

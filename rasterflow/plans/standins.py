@@ -77,22 +77,12 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("asset_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), F.lit(8).alias("w"), F.lit(8).alias("h"), value.alias("c0"))
 
 
-SIZES = "s AS (SELECT p_partkey AS asset_id, (20 + p_partkey % 11)::INT AS w, (12 + p_partkey % 7)::INT AS h FROM part WHERE p_size <= 10)"
+SIZES = "s AS (SELECT p_partkey AS asset_id, (20 + p_partkey % 11)::INT AS w, (12 + p_partkey % 7)::INT AS h FROM part)"
 GRADIENT = f"""{SIZES}, g AS (
   SELECT asset_id, w, h, y, x, CAST(x * 255 // greatest(w, 1) AS INT) AS c0, CAST(y * 255 // greatest(h, 1) AS INT) AS c1, CAST((x + y) * 255 // greatest(w + h, 1) AS INT) AS c2
   FROM s, LATERAL (SELECT unnest(range(h)) AS y) AS a, LATERAL (SELECT unnest(range(w)) AS x) AS b)"""
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where("p_size <= 10").select(k.alias("asset_id"), (20 + k % 11).cast("int").alias("w"), (12 + k % 7).cast("int").alias("h"))
-
-
-#: The same sizes over the whole of part; SIZES reads a part of it.
-ALL_SIZES = "s AS (SELECT p_partkey AS asset_id, (20 + p_partkey % 11)::INT AS w, (12 + p_partkey % 7)::INT AS h FROM part)"
-ALL_GRADIENT = GRADIENT.replace(SIZES, ALL_SIZES)
-
-
-def all_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(k.alias("asset_id"), (20 + k % 11).cast("int").alias("w"), (12 + k % 7).cast("int").alias("h"))

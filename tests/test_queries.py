@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from rasterflow.plans import queries as Q
+from rasterflow.plans import standins as T
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -52,4 +53,5 @@ def test_plans_prune_and_push_down(spark):
     plan = Q.QUERIES["history_totals"](spark, SMALL)._jdf.queryExecution().toString()
     read = plan[plan.rindex("ReadSchema") :]
     assert "props" not in read.split("\n")[0]
-    assert "PushedFilters: [" in Q.QUERIES["gradient_pixels"](spark, SMALL)._jdf.queryExecution().toString() and "p_size" in Q.QUERIES["gradient_pixels"](spark, SMALL)._jdf.queryExecution().toString()
+    plan = T.table(spark, SMALL, "lineitem").where("l_quantity > 10").select("l_orderkey")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in plan and "l_tax" not in plan[plan.rindex("ReadSchema") :].split("\n")[0]

@@ -7,7 +7,7 @@ from rasterflow.plans import queries as Q
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["gradient_pixels_all", "grayscale_pixels_all", "color_layouts_all"])
+@pytest.mark.parametrize("name", ["gradient_pixels", "grayscale_pixels", "color_layouts"])
 def test_every_part_has_pixels(spark, name):
     parts = spark.read.parquet(f"{SMALL}/part.parquet").count()
     assert Q.QUERIES[name](spark, SMALL).select("asset_id").distinct().count() == parts
