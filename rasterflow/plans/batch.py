@@ -1,7 +1,9 @@
 """Batches of files with progress events, cancellation and one summary.
 
-Files go in rounds; the cancel flag is looked at before each, so a round that runs
-is finished and later files are not begun. A round's events are one small row a file.
+Files go in rounds, each one job whose outcomes are written to the shared folder; the cancel flag is looked at
+before each, so a round that runs is finished and later files are not begun. A round's events are
+one small row a file. Rounds grow from a few files for each worker to many, so that
+a cancel early on costs little and a million files need no more than some hundred jobs.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +21,12 @@ from ..functions import scalars
 from ..functions.formats import REGISTRY
 from ..functions.options import CompressOptions, ConvertOptions, default_workers
 from ..operators import history
+from ..sources.shared import written
 from . import convert
 
+#: Files of a round at most.
+ROUND = 4096
+
 
 @dataclass(frozen=True)
 class Event:
@@ -66,7 +73,7 @@ class Batch:
     write: bool = True
     cancel: threading.Event = field(default_factory=threading.Event)
     summary: Summary = field(default_factory=Summary)
-    outcomes: list[dict] = field(default_factory=list)
+    rounds: list[DataFrame] = field(default_factory=list)
 
     def run(self, on_event: Callable[[Event], None] = lambda e: None) -> Summary:
         for e in self.events():
@@ -79,46 +86,55 @@ class Batch:
         self.summary = Summary(total=len(paths))
         yield Event("started", total=len(paths))
         step = min(max(1, self.workers or default_workers()), max(1, len(paths))) * 4
-        written = None
-        for k in range(0, len(paths), step):
-            if self.cancel.is_set():
-                break
+        k = 0
+        while k < len(paths) and not self.cancel.is_set():
             some = paths[k : k + step]
             for i, p in enumerate(some, k):
                 yield Event("file_started", i, p)
             wanted = self.spark.createDataFrame([(p,) for p in some], "path string")
-            known = self.existing if written is None else written if self.existing is None else self.existing.unionByName(written)
-            job = convert.run_job(self.spark, wanted, self.options, known, self.enabled).cache()
-            try:
-                if self.write:
-                    convert.write(job).count()
-                rows = {r["input"]: r for r in job.drop("encoded").withColumn("shown", scalars.error_text(F.col("error_kind"), F.col("error_message"))).collect()}  # a round's files, without their bytes
-            finally:
-                job.unpersist()
+            job = written(convert.run_job(self.spark, wanted, self.options, self.known(), self.enabled), "outcomes")
+            if self.write:
+                convert.write(job).count()
+            job = job.drop("encoded").withColumn("shown", scalars.error_text(F.col("error_kind"), F.col("error_message")))
+            place = self.spark.createDataFrame([(p, i) for i, p in enumerate(some, k)], "input string, place long")
+            self.rounds.append(job.join(place, "input"))
+            rows = {r["input"]: r for r in job.collect()}  # a round's files, without their bytes
             for i, p in enumerate(some, k):
                 r = rows[p]
-                self.outcomes.append(r.asDict())
                 if r["error_kind"] is None:
                     self.summary.succeeded += 1
                     yield Event("file_done", i, p, r["output"], ";".join(r["notes"]) or history.SUCCESS)
                 else:
                     self.summary.failed += 1
                     yield Event("file_failed", i, p, "", r["shown"])
-            done = self.spark.createDataFrame([(r["output"],) for r in self.outcomes if r["output"]] or [("",)], "path string")
-            written = done.where("path <> ''")
+            k, step = k + step, min(ROUND, 2 * step)
         # the flag as it is at the end counts, even behind the last file
         self.summary.cancelled, self.summary.seconds = self.cancel.is_set(), time.monotonic() - began
         yield Event("finished", total=len(paths), message=self.summary.text())
 
+    def known(self) -> DataFrame | None:
+        """Paths that are there or were given by earlier rounds."""
+        given = [x.where("output <> ''").select(F.col("output").alias("path")) for x in self.rounds]
+        return reduce(DataFrame.unionByName, [*([] if self.existing is None else [self.existing.select("path")]), *given]) if given or self.existing is not None else None
+
+    @property
+    def outcomes(self) -> DataFrame:
+        """Outcomes so far without their bytes, from the tables of the rounds; place is the file's in the list."""
+        if not self.rounds:
+            return self.spark.createDataFrame([], f"{convert.CODED}, output string, notes array<string>, shown string, place long").drop("encoded")
+        return reduce(DataFrame.unionByName, self.rounds)
+
     def history(self, start: int = 0) -> DataFrame:
         """The batch's files as history rows, in the order in which they were given."""
         target = self.options.target if isinstance(self.options, ConvertOptions) else "png"
-        rows = []
-        for i, r in enumerate(self.outcomes, start):
-            ok = r["error_kind"] is None
-            message = (";".join(r["notes"]) or history.SUCCESS) if ok else r["shown"]
-            rows.append((i, None, None, r["input"], r["output"], r["source_format"], r["target_format"] or target, r["width"], r["height"], r["source_bytes"] or 0, r["output_bytes"], r["elapsed_ms"] if ok else 0, ok, message))
-        return self.spark.createDataFrame(rows, history.SCHEMA).withColumn("timestamp", F.current_timestamp()).withColumn("timestamp_raw", F.col("timestamp").cast("string"))
+        ok, c = F.col("error_kind").isNull(), F.col
+        told = F.when(F.size("notes") > 0, F.array_join("notes", ";")).otherwise(history.SUCCESS)
+        now = F.current_timestamp()
+        return self.outcomes.select(
+            (c("place") + start).alias("seq"), now.alias("timestamp"), now.cast("string").alias("timestamp_raw"), "input", "output", "source_format",
+            F.coalesce("target_format", F.lit(target)).alias("target_format"), "width", "height", F.coalesce("source_bytes", F.lit(0)).cast("long").alias("source_bytes"), "output_bytes",
+            F.when(ok, c("elapsed_ms")).otherwise(0).cast("long").alias("elapsed_ms"), ok.alias("success"), F.when(ok, told).otherwise(c("shown")).alias("message"),
+        )
 
 
 @dataclass

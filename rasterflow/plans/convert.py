@@ -19,6 +19,7 @@ from ..functions.formats import BY_ID, REGISTRY
 from ..functions.options import CompressOptions, ConvertOptions, EncodeOptions
 from ..operators import raster
 from ..sources import codecs, files
+from ..sources.shared import written
 from . import naming
 
 CODED = "input string, source_format string, target_format string, width long, height long, color string, semi_transparent boolean, source_bytes long, output_bytes long, elapsed_ms long, encoded binary, error_kind string, error_message string"
@@ -79,35 +80,40 @@ def coded(contents: DataFrame, options: ConvertOptions | CompressOptions, enable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(one(*row), _SCHEMA, strict=True)], schema=_SCHEMA)
+            done = (one(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            yield from files.record_batches(done, _SCHEMA, lambda x: len(x[-3] or b""))
 
     columns = [F.col(c) if c in contents.columns else F.lit(None).cast("string").alias(c) for c in ("error_kind", "error_message")]
     return contents.select("path", "content", *columns).mapInArrow(run, CODED)
 
 
 def planned(rows: DataFrame, options: ConvertOptions | CompressOptions, existing: DataFrame, stamp: Column) -> DataFrame:
-    """Coded rows with the output path and notes of what succeeded; output is empty for failures."""
-    ok = rows.where("error_kind is null")
+    """Coded rows with the output path and notes of what succeeded; output is empty for failures.
+
+    The coded rows are written to the shared folder first, so that files are decoded and encoded once. Names are
+    decided over rows of paths alone and joined to the encoded bytes last.
+    """
+    rows = written(rows.withColumn("_file", F.monotonically_increasing_id()), "coded")
+    ok = F.col("error_kind").isNull()
     folder = scalars.output_dir(F.lit(options.output_dir), F.col("input"))
     path = scalars.output_path(F.col("input"), folder, formats.output_extension(F.col("target_format"), F.col("color")), F.lit(options.naming), stamp)
-    named = ok.withColumn("path", path)
-    named = named.withColumn("output", F.col("path")) if options.overwrite else naming.unique_paths(named, existing)
+    if options.overwrite:
+        named = rows.withColumn("output", F.when(ok, path).otherwise(""))
+    else:
+        names = written(naming.unique_paths(rows.where(ok).select("_file", "input", path.alias("path")), existing).select("_file", "output"), "names")
+        named = rows.join(names, "_file", "left").withColumn("output", F.coalesce("output", F.lit("")))
     s, o = F.col("source_bytes"), F.col("output_bytes")
     notes = scalars.collect_notes(F.col("source_format"), F.col("target_format"), F.col("semi_transparent"), s, o)
     if isinstance(options, CompressOptions):
         notes = F.filter(F.concat(notes, F.array(scalars.saved_note(s, o))), lambda n: n.isNotNull())
-    named = named.drop("path").withColumn("notes", notes)
-    bad = rows.where("error_kind is not null").withColumn("output", F.lit("")).withColumn("notes", F.array().cast("array<string>"))
-    return named.unionByName(bad)
+    return named.drop("_file").withColumn("notes", F.when(ok, notes).otherwise(F.array().cast("array<string>")))
 
 
 def run_job(spark: SparkSession, paths: DataFrame, options: ConvertOptions | CompressOptions, existing: DataFrame | None = None, enabled: tuple[str, ...] = REGISTRY, stamp: Column | None = None) -> DataFrame:
     """Outcomes of the files named by ``paths`` (path), before they are written.
 
     File sizes are skewed, so paths are dealt out in many small parts and tasks take the next
-    when they are done. The coded rows are used twice and should be written or cached
-    by the caller when the job is large.
+    when they are done.
     """
     parts = max(1, spark.sparkContext.defaultParallelism * 4)
     contents = files.read_paths(paths.repartition(parts))

@@ -27,19 +27,29 @@ def numbered(path: Column, n: Column) -> Column:
 def unique_paths(rows: DataFrame, existing: DataFrame, order: str = "input") -> DataFrame:
     """``rows`` (path, ...) with output: a path that neither exists nor is given twice.
 
-    ``existing`` has the paths that are there (path). Rows of one name are numbered by ``order``
-    inside salted parts; the result is the same under any partitioning.
+    ``existing`` has the paths that are there (path). A path that is neither taken nor repeated is its own output; the
+    others, as a rule few, are numbered by ``order`` inside salted parts. The result is the same under
+    any partitioning.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(order)), F.lit(SALTS)))
+    there = existing.select("path").distinct()
+    wanted = rows.groupBy("path").agg(F.count("*").alias("_n"))
+    busy = wanted.where("_n > 1").select("path").unionByName(wanted.select("path").join(there, "path", "left_semi")).distinct()
+    single = rows.join(busy, "path", "left_anti").withColumn("output", F.col("path"))
+    rows = rows.join(busy, "path", "left_semi")
+
+    salt = F.pmod(F.xxhash64(F.col(order)), F.lit(SALTS))
+    salted = rows.withColumn("_salt", salt)
     salted = salted.withColumn("_within", F.row_number().over(W.partitionBy("path", "_salt").orderBy(order)) - 1)
-    parts = rows.select("path", F.pmod(F.xxhash64(F.col(order)), F.lit(SALTS)).alias("_salt")).groupBy("path", "_salt").count()
+    parts = rows.select("path", salt.alias("_salt")).groupBy("path", "_salt").count()
     parts = parts.withColumn("_before", F.sum("count").over(W.partitionBy("path").orderBy("_salt")) - F.col("count")).drop("count")
     # names like stem(3).ext that exist or are some other row's own name are not free
-    names = existing.select("path").unionByName(rows.select("path")).distinct()
-    own = names.select("path", F.lit(0).alias("n")).join(existing.select("path").distinct(), "path", "left_semi")
-    inner = names.select(F.regexp_replace("path", r"\((\d{1,4})\)(\.[^./]*)?$", "$2").alias("base"), F.regexp_extract("path", r"\((\d{1,4})\)(\.[^./]*)?$", 1).alias("n"), "path").where("n <> ''")
+    inner = there.unionByName(wanted.select("path")).distinct()
+    inner = inner.select(F.regexp_replace("path", r"\((\d{1,4})\)(\.[^./]*)?$", "$2").alias("base"), F.regexp_extract("path", r"\((\d{1,4})\)(\.[^./]*)?$", 1).alias("n"), "path").where("n <> ''")
+    own = busy.join(there, "path", "left_semi").select("path", F.lit(0).alias("n"))
     taken = own.unionByName(inner.select(F.col("base").alias("path"), F.col("n").cast("int").alias("n"))).groupBy("path").agg(F.sort_array(F.collect_set("n")).alias("_taken"))
-    out = salted.join(parts, ["path", "_salt"]).join(taken, "path", "left")
+    # both are joined by path and salt, so no part of a hot name waits for another
+    before = parts.join(taken, "path", "left")
+    out = salted.join(before, ["path", "_salt"])
     rank = (F.col("_within") + F.col("_before")).cast("int")
     free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), rank, lambda n, t: F.when(t <= n, n + 1).otherwise(n))
-    return out.withColumn("output", numbered(F.col("path"), free)).drop("_salt", "_within", "_before", "_taken")
+    return single.unionByName(out.withColumn("output", numbered(F.col("path"), free)).drop("_salt", "_within", "_before", "_taken"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,6 +24,20 @@ def scan_folder(spark: SparkSession, path: str, enabled: tuple[str, ...] = forma
     return files.where(formats.from_extension(scalars.extension_of(F.col("path"))).isin(*enabled))
 
 
+def record_batches(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """rows in batches of a thousand, or of so many bytes and one row more."""
+    wait, held = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*wait, strict=True), schema, strict=True)], schema=schema)
+    for row in rows:
+        wait.append(row)
+        held += size(row)
+        if held >= most or len(wait) == 1000:
+            yield batch()
+            wait, held = [], 0
+    if wait:
+        yield batch()
+
+
 def read_paths(paths: DataFrame) -> DataFrame:
     """Contents of the files named by ``paths`` (path, others kept aside); what can't be read is an error row.
 
@@ -33,9 +47,7 @@ def read_paths(paths: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                row = _read(path)
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+            yield from record_batches(map(_read, batch.column(0).to_pylist()), schema, lambda x: len(x[2] or b""))
 
     return paths.select("path").mapInArrow(run, CONTENT_SCHEMA)
 

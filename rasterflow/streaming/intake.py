@@ -23,13 +23,22 @@ def incoming(spark: SparkSession, folder: str, files_per_trigger: int = 256, ena
 def convert_stream(stream: DataFrame, options: ConvertOptions | CompressOptions, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Runs until what is there is done. ``sink`` gets the outcomes of each micro-batch and its number.
 
-    A micro-batch that is run again after a failure has the same number and the same files.
+    A micro-batch that is run again after a failure has the same number and the same files. Output names are kept
+    in a table beside the checkpoint, a part for each micro-batch, so that no later one gives a name again.
     """
 
     def each(files: DataFrame, number: int) -> None:
         spark = files.sparkSession
         rows = convert.coded(files.select("path", "content"), options)
-        sink(convert.planned(rows, options, spark.createDataFrame([], "path string"), F.current_timestamp()), number)
+        if options.overwrite:
+            return sink(convert.planned(rows, options, spark.createDataFrame([], "path string"), F.current_timestamp()), number)
+        # an empty part makes the table there from the first micro-batch on
+        names = f"{checkpoint.rstrip('/')}-names"
+        spark.createDataFrame([], "path string").write.mode("overwrite").parquet(f"{names}/batch=-1")
+        given = spark.read.schema("path string, batch long").parquet(names).where(F.col("batch") < number).select("path")
+        done = convert.planned(rows, options, given, F.current_timestamp())
+        done.where("output <> ''").select(F.col("output").alias("path")).write.mode("overwrite").parquet(f"{names}/batch={number}")
+        sink(done, number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -76,7 +76,7 @@ def test_batch_counts_events_and_history(spark, folder, tmp_path):
     assert len(list((tmp_path / "o").iterdir())) == 6
     again = Batch(spark, [listed(folder)[1]], ConvertOptions("png", str(tmp_path / "o")), existing=spark.createDataFrame([(str(p),) for p in (tmp_path / "o").iterdir()], "path string"))
     again.run()
-    assert again.outcomes[0]["output"].endswith("(1).png")
+    assert again.outcomes.first()["output"].endswith("(1).png")
 
 
 def test_cancelled_batch_begins_no_more(spark, folder):
@@ -91,6 +91,47 @@ def test_cancelled_batch_begins_no_more(spark, folder):
     assert len(fold.log) == 2000 and fold.log[-1] == "2099"
 
 
+def test_files_are_coded_once(spark, folder, tmp_path):
+    from rasterflow.sources.shared import written
+
+    paths = spark.createDataFrame([(p,) for p in listed(folder)], "path string")
+    plan = convert.run_job(spark, paths, ConvertOptions("qoi", str(tmp_path)))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan.split("== Physical Plan ==")[1]
+    spent = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            spent.add(b.num_rows)
+            yield b
+
+    rows = convert.coded(files.read_paths(paths), ConvertOptions("qoi", str(tmp_path)))
+    done = convert.planned(rows.mapInArrow(count, rows.schema), ConvertOptions("qoi", str(tmp_path)), spark.createDataFrame([], "path string"), F.current_timestamp())
+    assert done.count() == 8 and done.where("output <> ''").count() == 6 and spent.value == 8
+    assert written(done, "t").count() == 8
+
+
+def test_rounds_of_a_batch_give_no_name_twice(spark, folder, tmp_path):
+    other = tmp_path / "other"
+    other.mkdir()
+    for i in range(5):
+        (other / f"in{i}.bmp").write_bytes((folder / f"in{i}.bmp").read_bytes())
+    batch = Batch(spark, [str(d / f"in{i}.bmp") for d in (folder, other) for i in range(5)], ConvertOptions("png", str(tmp_path / "o")), workers=1)
+    assert batch.run().succeeded == 10 and len(batch.rounds) == 2
+    assert len(list((tmp_path / "o").iterdir())) == 10 and [r["seq"] for r in batch.history(3).orderBy("seq").collect()] == list(range(3, 13))
+
+
+def test_stream_gives_no_name_twice(spark, tmp_path):
+    for d in "ab":
+        for i in range(3):
+            (tmp_path / "in" / d).mkdir(parents=True, exist_ok=True)
+            (tmp_path / "in" / d / f"x{i}.bmp").write_bytes(codecs.encode(raster.gradient(4, 4), "bmp"))
+    seen = []
+    stream = intake.incoming(spark, str(tmp_path / "in" / "*"), files_per_trigger=2)
+    query = intake.convert_stream(stream, ConvertOptions("qoi", str(tmp_path / "out")), str(tmp_path / "cp"), lambda df, n: seen.extend(r["output"] for r in df.collect()))
+    query.awaitTermination(120)
+    assert query.exception() is None and len(seen) == 6 == len(set(seen))
+
+
 def test_history_file_round_trip(spark, tmp_path):
     at = str(tmp_path / "d" / "history.json")
     rows = spark.createDataFrame([(i, None, f"2024-01-02T03:04:{i % 60:02d}+00:00", f"/i{i}", "", "bmp" if i % 2 else None, "qoi", 8, 4, 100, 50, 12, bool(i % 2), "m") for i in range(510)], history.SCHEMA)
