@@ -539,9 +539,17 @@ def mean_channel_error(spark, sf_dir):
     return P.mean_error(px, P.flip_horizontal(px))
 
 
-@query()
-def resize_bilinear(spark, sf_dir):
-    """Buffers in, buffers out: each raster to 5 x 3 in numpy, Arrow batch by batch."""
+def _triangle_sql(name: str, size: int, to: int) -> str:
+    """name(t, s, w): the weight of each source place s in each target place t."""
+    ratio = f"({size}::DOUBLE / {to})"
+    return f"""{name}0 AS (SELECT t, s, (t + 0.5) * {ratio} AS mid, greatest({ratio}, 1) AS wide FROM range({to}) AS a(t), range({size}) AS b(s)),
+{name}1 AS (SELECT *, greatest(0, least({size - 1}, floor(mid - wide))) AS l, least({size}, ceil(mid + wide)) AS r FROM {name}0),
+{name}2 AS (SELECT t, s, CASE WHEN s >= l AND s < greatest(r, l + 1) THEN greatest(0, 1 - abs(s - (mid - 0.5)) / wide) ELSE 0 END AS w FROM {name}1),
+{name} AS (SELECT t, s, w / sum(w) OVER (PARTITION BY t) AS w FROM {name}2)"""
+
+
+def _smooth(spark: SparkSession, sf_dir: str, size: tuple[int, int]) -> DataFrame:
+    """Buffers in, buffers out: each raster to a size in numpy, Arrow batch by batch."""
     import numpy as np
     import pandas as pd
 
@@ -549,15 +557,31 @@ def resize_bilinear(spark, sf_dir):
 
     def run(batches):
         for t in batches:
-            out = [resize(np.clip(np.floor((np.asarray(v, float) + 1) * 127.5), 0, 255).astype(np.uint8).reshape(8, 8, 1), (5, 3)).reshape(-1).tolist() for v in t["embedding"]]
+            out = [resize(np.clip(np.floor((np.asarray(v, float) + 1) * 127.5), 0, 255).astype(np.uint8).reshape(8, 8, 1), size).reshape(-1).tolist() for v in t["embedding"]]
             yield pd.DataFrame({"asset_id": t["vec_id"], "samples": out})
 
     return T.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "asset_id long, samples array<int>")
 
 
+@query()
+def resize_bilinear(spark, sf_dir):
+    """To 5 x 3. Values of exactly one half are rounded as 32-bit sums give them, so this has no SQL; resize_bilinear_up has."""
+    return _smooth(spark, sf_dir, (5, 3))
+
+
+@query(f"""WITH {T.RASTER}, {_triangle_sql("h", 8, 16)}, {_triangle_sql("v", 8, 32)},
+z AS (SELECT asset_id, v.t AS ty, h.t AS tx, greatest(0, least(255, floor(sum(c0 * v.w * h.w) + 0.5)))::INT AS c FROM px JOIN v ON v.s = y JOIN h ON h.s = x GROUP BY ALL)
+SELECT asset_id, list(c ORDER BY ty, tx) AS samples FROM z GROUP BY ALL""")
+def resize_bilinear_up(spark, sf_dir):
+    """To 16 x 32, where all weights are sums of powers of two."""
+    return _smooth(spark, sf_dir, (16, 32))
+
+
 # sniffing and codecs -----------------------------------------------------------
 
-_MARKS = "CASE WHEN starts_with(ltrim(html), '<svg') OR starts_with(ltrim(html), '<?xml') AND contains(html, '<svg') THEN 'svg' WHEN starts_with(html, 'BM') THEN 'bmp' WHEN starts_with(html, 'GIF89a') THEN 'gif' WHEN starts_with(html, 'qoif') THEN 'qoi' WHEN starts_with(html, 'farbfeld') THEN 'farbfeld' WHEN starts_with(html, 'P6') THEN 'netpbm' WHEN starts_with(html, 'RIFF') AND substring(html, 9, 4) = 'WEBP' THEN 'webp' END"
+#: The first 1024 bytes must be whole characters: no byte that continues one comes next.
+_SVG = "(strlen(html) <= 1024 OR substr(hex(html), 2049, 1) NOT IN ('8', '9', 'A', 'B')) AND (starts_with(ltrim(html), '<svg') OR starts_with(ltrim(html), '<?xml') AND contains(left(html, 1024), '<svg'))"
+_MARKS = f"CASE WHEN {_SVG} THEN 'svg' WHEN starts_with(html, 'BM') THEN 'bmp' WHEN starts_with(html, 'GIF89a') THEN 'gif' WHEN starts_with(html, 'qoif') THEN 'qoi' WHEN starts_with(html, 'farbfeld') THEN 'farbfeld' WHEN starts_with(html, 'P6') THEN 'netpbm' WHEN starts_with(html, 'RIFF') AND substring(html, 9, 4) = 'WEBP' THEN 'webp' END"
 _HEADS = ("", "  <svg x>", "<?xml?><svg>", "<?xml?>", "BM", "GIF89a", "qoif", "farbfeld", "P6", "RIFFxxxxWEBP", "RIFFxxxxWAVE")
 
 
@@ -568,7 +592,7 @@ def sniffed_formats(spark, sf_dir):
     return p.select("page_id", sniff.detect(c("content"), packed=False).alias("format"), sniff.detect(c("content"), ("svg", "bmp"), packed=False).alias("enabled"))
 
 
-@query(f"WITH p AS (SELECT page_id, {list(_HEADS[:4])}[1 + (page_id % 4)::INT] || html AS html FROM pages) SELECT page_id, starts_with(ltrim(html), '<svg') OR starts_with(ltrim(html), '<?xml') AND contains(left(html, 1024), '<svg') AS svg FROM p")
+@query(f"WITH p AS (SELECT page_id, {list(_HEADS[:4])}[1 + (page_id % 4)::INT] || html AS html FROM pages) SELECT page_id, {_SVG} AS svg FROM p")
 def svg_in_pages(spark, sf_dir):
     head = F.element_at(F.array(*[F.lit(x) for x in _HEADS[:4]]), (c("page_id") % 4 + 1).cast("int"))
     return T.table(spark, sf_dir, "pages").select("page_id", sniff.is_svg(F.concat(head, F.col("html")).cast("binary")).alias("svg"))
@@ -604,13 +628,24 @@ def convert_files(spark, sf_dir):
     return done.agg(F.count("*").alias("n"), F.count_if(c("error_kind").isNotNull()).alias("failed"), F.countDistinct("source_format").alias("formats"), F.countDistinct("output").alias("named"))
 
 
-@query()
+_RAW = "CASE target_format WHEN 'bmp' THEN 102 WHEN 'netpbm' THEN 27 WHEN 'farbfeld' THEN 144 END"
+
+
+@query(f"""WITH f AS (SELECT vec_id, 1 + (vec_id % 11)::INT AS k FROM embeddings),
+g AS (SELECT vec_id, ['bmp', 'netpbm', 'png', 'gif', 'webp', 'qoi', 'farbfeld', 'ico', 'jpeg', 'svg', 'tga'][k] AS source_format, ['bmp', 'netpbm', 'png', 'gif', 'webp', 'qoi', 'farbfeld', 'ico', 'jpeg', 'png', 'tga'][k] AS target_format,
+  ['bmp', 'ppm', 'png', 'gif', 'webp', 'qoi', 'ff', 'ico', 'jpg', 'svg', 'tga'][k] AS e, ['bmp', 'pgm', 'png', 'gif', 'webp', 'qoi', 'ff', 'ico', 'jpg', 'png', 'tga'][k] AS o FROM f)
+SELECT '/in/' || vec_id || '.' || e AS input, '/out/' || vec_id || '_converted.' || o AS output, source_format, target_format, 4::BIGINT AS width, 4::BIGINT AS height, true AS sized, {_RAW}::BIGINT AS raw_bytes, source_format = target_format AS same_note, true AS saved_note FROM g""")
 def compress_files(spark, sf_dir):
+    """Sizes that no encoder may choose are compared as they are; of the others, that the notes follow from them."""
     from . import convert
 
     options = CompressOptions(downscale=Downscale("Scale50"), output_dir="/out")
     done = convert.planned(convert.coded(_images(spark, sf_dir), options), options, spark.createDataFrame([], "path string"), F.lit("2024-01-01").cast("timestamp"))
-    return done.select("input", "output", "source_format", "target_format", "width", "height", "source_bytes", "output_bytes", "notes", "error_kind")
+    saved = F.exists("notes", lambda n: n.startswith("压缩已节省 "))
+    return done.select(
+        "input", "output", "source_format", "target_format", "width", "height", ((c("source_bytes") > 0) & (c("output_bytes") == F.octet_length("encoded")) & c("error_kind").isNull()).alias("sized"),
+        F.when(c("target_format").isin("bmp", "netpbm", "farbfeld"), c("output_bytes")).alias("raw_bytes"), F.array_contains("notes", "源格式与目标格式相同,文件已被重新编码").alias("same_note"), (saved == (c("output_bytes") < c("source_bytes"))).alias("saved_note"),
+    )
 
 
 @query("SELECT vec_id, ['bmp', 'netpbm', 'png', 'gif', 'webp', 'qoi', 'farbfeld', 'ico', 'jpeg', 'svg', 'tga'][1 + (vec_id % 11)::INT] AS format, CASE WHEN vec_id % 11 = 10 THEN NULL ELSE ['bmp', 'netpbm', 'png', 'gif', 'webp', 'qoi', 'farbfeld', 'ico', 'jpeg', 'svg', 'tga'][1 + (vec_id % 11)::INT] END AS detected FROM embeddings")
