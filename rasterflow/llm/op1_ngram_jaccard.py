@@ -181,7 +181,7 @@ def _product(rows: DataFrame, num: int, den: int, full: bool) -> DataFrame:
         row, token = row[order], token[order]
         first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[row[1:]] != block[row[:-1]])]) if len(row) else np.empty(0, np.int64)
         place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
-        codes, counts, held, left = [], [], 0, np.flatnonzero(place)
+        codes, counts, held, merged, left = [], [], 0, 0, np.flatnonzero(place)
         for d in range(1, int(place.max(initial=0)) + 1):
             left = left[place[left] >= d]
             i, j = row[left - d], row[left]
@@ -189,9 +189,9 @@ def _product(rows: DataFrame, num: int, den: int, full: bool) -> DataFrame:
             codes.append(i[ok] * size + j[ok])
             counts.append(np.ones(len(codes[-1])))
             held += len(codes[-1])
-            if held > 1 << 22:
+            if held > max(1 << 20, merged):
                 code, count = summed(codes, counts)
-                codes, counts, held = [code], [count], len(code) // 2
+                codes, counts, held, merged = [code], [count], 0, len(code)
         code, overlap = summed(codes, counts) if codes else (np.empty(0, np.int64), np.empty(0, np.int64))
         i, j = code // size, code % size
         least = _least(t["n"][i], t["n"][j], num, den)
