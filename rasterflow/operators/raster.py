@@ -26,6 +26,11 @@ def color_type(image: np.ndarray) -> str:
     return COLORS[image.shape[2]]
 
 
+def is_eight_bit(image: np.ndarray) -> bool:
+    """One to four channels of 8 bits, as every step behind decoding expects."""
+    return image.dtype == np.uint8 and image.ndim == 3 and image.shape[2] in COLORS
+
+
 def demote(image: np.ndarray) -> np.ndarray:
     """16-bit samples to 8 bits, rounded; 8-bit images stay."""
     return image if image.dtype == np.uint8 else ((image.astype(np.uint32) + 128) // 257).astype(np.uint8)

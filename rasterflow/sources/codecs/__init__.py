@@ -16,7 +16,7 @@ import numpy as np
 from ...functions.formats import BY_ID, FORMATS, REGISTRY
 from ...functions.options import EncodeOptions
 from ...operators.raster import to_color
-from . import gif, jpeg, png, simple, webp
+from . import gif, jpeg, png, simple, svg, webp
 from .errors import CodecError, Corrupt, UnknownFormat, Unsupported, UnsupportedFormat
 
 #: First bytes by format, in the order in which they are tried; offset and bytes.
@@ -88,7 +88,7 @@ def _encode_ico(image: np.ndarray) -> bytes:
 
 
 def _svg(b: bytes) -> np.ndarray:
-    """The picture inside a container; drawing shapes needs a renderer, which there is none of."""
+    """The picture inside a container, or its shapes drawn."""
     if b[:2] == b"\x1f\x8b":
         try:
             b = zlib.decompressobj(31).decompress(b)
@@ -96,15 +96,19 @@ def _svg(b: bytes) -> np.ndarray:
             raise Corrupt(f"解压 svgz 失败: {e}") from e
     if b"<svg" not in b:
         raise Corrupt("SVG 解析失败: no svg element")
-    m = _SVG_IMAGE.search(b)
-    if not m:
-        raise Unsupported("SVG 光栅化")
-    kind = {b"png": "png", b"gif": "gif", b"webp": "webp"}.get(m[1], "jpeg")
-    try:
-        data = base64.b64decode(re.sub(rb"\s+", b"", m[2]), validate=True)
-    except ValueError as e:
-        raise Corrupt(f"SVG 解析失败: {e}") from e
-    return to_color(_DECODERS[kind](data), "Rgba8")
+
+    def picture(e: object) -> np.ndarray:
+        m = _SVG_IMAGE.search(b)
+        if not m:
+            raise Unsupported("SVG image")
+        kind = {b"png": "png", b"gif": "gif", b"webp": "webp"}.get(m[1], "jpeg")
+        try:
+            data = base64.b64decode(re.sub(rb"\s+", b"", m[2]), validate=True)
+        except ValueError as e:
+            raise Corrupt(f"SVG 解析失败: {e}") from e
+        return to_color(_DECODERS[kind](data), "Rgba8")
+
+    return svg.decode(b, picture)
 
 
 def _encode_svg(image: np.ndarray) -> bytes:

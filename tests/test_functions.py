@@ -86,11 +86,22 @@ def test_options_and_arguments():
 def test_log_file_begins_anew(tmp_path):
     from rasterflow.functions import logs
 
-    at = tmp_path / "logs" / "app.log"
+    at = tmp_path / "log" / "app.log"
     logs.open_log(str(tmp_path), "INFO", "t1").info("one")
     assert "one" in at.read_text()
     at.write_text("x" * (logs.LIMIT + 1))
     log = logs.open_log(str(tmp_path), "loud", "t1")
     log.info("two")
     log.warning("three")
-    assert "two" not in at.read_text() and "three" in at.read_text() and at.with_suffix(".log.old").exists()
+    assert "two" not in at.read_text() and "three" in at.read_text() and (tmp_path / "log" / "app.log.1").exists()
+
+
+def test_log_of_a_run(tmp_path):
+    import re
+
+    from rasterflow.functions import logs
+
+    logs.start(str(tmp_path), False, "title", "1.0", 3).debug("hidden")
+    assert re.fullmatch(r"\[\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\] \[INFO\] title 1\.0 启动,命令行传入文件 3 个\n", (tmp_path / "log" / "app.log").read_text("utf-8"))
+    (tmp_path / "file").write_text("")
+    logs.open_log(str(tmp_path / "file"), "info", "t2").info("to standard error alone")

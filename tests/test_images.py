@@ -76,8 +76,62 @@ def test_svg_sniffing_and_containers():
     data = codecs.encode(image, "svg")
     assert b'width="5" height="4" viewBox="0 0 5 4"' in data and b"\n" not in data.split(b"base64,")[1].split(b'"')[0]
     assert (codecs.decode_as(gzip.compress(data), "svg")[..., :3] == image).all()
+    assert codecs.decode_as(b"<svg><rect/></svg>", "svg").shape == (100, 100, 4)
+
+
+def drawn(inside, attributes='width="8" height="6"'):
+    return codecs.decode_as(f'<?xml version="1.0"?><!DOCTYPE svg><svg xmlns="http://www.w3.org/2000/svg" {attributes}>{inside}</svg>'.encode(), "svg")
+
+
+def test_svg_shapes_by_pixel():
+    red, blue, none = [255, 0, 0, 255], [0, 0, 255, 255], [0, 0, 0, 0]
+    image = drawn('<g fill="red"><rect x="1" y="2" width="3" height="2"/><rect x="3" y="3" width="4" height="2" style="fill: #00f"/></g>')
+    want = np.zeros((6, 8, 4), np.uint8)
+    want[2:4, 1:4], want[3:5, 3:7] = red, blue
+    assert (image == want).all()
+    same = [
+        '<polygon points="1,2 4,2 4,4 1,4" fill="rgb(255,0,0)"/>', '<path d="M1 2h3v2h-3z" fill="#f00"/>', '<path d="m1,2 3,0 0,2 -3,0" fill="rgb(100%,0%,0%)"/>',
+        '<g transform="translate(1 2)"><rect width="6" height="4" transform="scale(.5)" fill="red"/></g>', '<rect x="-4" y="-4" width="3" height="2" fill="red" transform="rotate(180)"/>',
+        '<line x1="1" y1="3" x2="4" y2="3" stroke="red" stroke-width="2"/>', '<path d="M1 2L1 2L4 2V4H1Z M9 9" fill="currentColor" color="red"/>', '<path fill="red" d="M2.5 3m0-1h-1.5v2h3v-2z"/>',
+    ]
+    want[3:5, 3:7] = none
+    want[2:4, 1:4] = red
+    for x in same:
+        assert (drawn(x) == want).all(), x
+    assert (drawn('<rect x="10" y="20" width="30" height="20" fill="red"/>', 'width="8" height="6" viewBox="0 0 80 60"') == want).all()
+    half = drawn('<rect width="8" height="6" fill="red"/><rect width="8" height="6" fill="blue" fill-opacity=".5"/>')
+    assert (half == [127, 0, 128, 255]).all() or (half == [128, 0, 128, 255]).all()
+    assert drawn('<rect x="0.5" width="1" height="1"/>')[0, :3, 3].tolist() == [128, 128, 0]
+    ring = drawn('<path fill-rule="evenodd" d="M0 0h8v6h-8zM2 2h4v2h-4z"/>')
+    assert (ring[2:4, 2:6, 3] == 0).all() and (ring[..., 3] > 0).sum() == 40
+
+
+def test_svg_round_shapes_by_area():
+    area = lambda x: drawn(x, 'width="100" height="100"')[..., 3].astype(float).sum() / 255
+    assert abs(area('<circle cx="50" cy="50" r="40"/>') - np.pi * 1600) < 12
+    assert abs(area('<ellipse cx="50" cy="50" rx="40" ry="20" transform="rotate(30 50 50)"/>') - np.pi * 800) < 8
+    assert abs(area('<path d="M10 50A40 40 0 1 0 90 50A40 40 0 1010 50z"/>') - np.pi * 1600) < 12
+    assert abs(area('<path d="M10 90Q50 10 90 90T90 90z"/>') - 2 / 3 * 80 * 80 / 2) < 8
+    assert abs(area('<path d="M10 10C10 90 90 90 90 10z"/>') - 0.6 * 80 * 80) < 400
+    assert abs(area('<circle cx="50" cy="50" r="40" fill="none" stroke="lime" stroke-width="4"/>') - np.pi * (42**2 - 38**2)) < 8
+    assert abs(area('<rect x="10" y="10" width="80" height="60" rx="10"/>') - (4800 - 400 + np.pi * 100)) < 4
+    assert abs(area('<rect x="20" y="20" width="60" height="60" fill="none" stroke="#000" stroke-width="10"/>') - (70**2 - 50**2)) < 1
+
+
+@pytest.mark.parametrize("inside", ['<rect width="9" height="9" fill="url(#a)"/>', "<text>x</text>", '<rect clip-path="url(#a)" width="1" height="1"/>', '<use href="#a"/>', '<line x2="9" stroke="red" stroke-dasharray="1 2"/>', '<g opacity=".5"><rect width="1" height="1"/></g>'])
+def test_svg_that_is_not_drawn(inside):
     with pytest.raises(codecs.Unsupported):
-        codecs.decode_as(b"<svg><rect/></svg>", "svg")
+        drawn(inside)
+
+
+def test_svg_that_is_broken():
+    for b in (b"<svg", b"<?xml?><svg/>", b"<svg><g></svg>", b'<svg width="x"/>', b"<a><svg/></a>", b'<svg width="0" height="1"/>'):
+        with pytest.raises(codecs.CodecError):
+            codecs.decode_as(b, "svg")
+
+
+def test_eight_bit_buffers():
+    assert R.is_eight_bit(np.zeros((2, 3, 4), np.uint8)) and not R.is_eight_bit(np.zeros((2, 3, 3), np.uint16)) and not R.is_eight_bit(np.zeros((2, 3), np.uint8))
 
 
 def test_png_layouts():
