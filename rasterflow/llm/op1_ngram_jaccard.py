@@ -355,6 +355,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, scr
     return out
 
 
+def _prepared(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, ...]:
+    """(docs, profile, sizes, classes, blocks): texts, what was counted of them, classes of equal sets, blocks of columns."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    levels = _sketch(docs.select("text"), n)
+    profile = scratch.cut(_profile(docs, n, num, den, levels), "profile")
+    sizes = profile.select("doc_id", "n", "sig_a", "sig_b")
+    classes = scratch.cut(sizes.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep")), "classes")
+    # what is not its class's smallest stays out; few are, so these are what is joined
+    copies = scratch.cut(sizes.join(classes, ["n", "sig_a", "sig_b"]).where("doc_id <> rep").select("doc_id"), "copies")
+    columns = profile.where("n > 0").join(copies, "doc_id", "left_anti").select("doc_id", "n", F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("token"))
+    hot = F.shiftright("token", 55) >= int(8 * np.log2(HOT))  # the level of its group of n-grams
+    blocks = scratch.cut(_blocks(columns.withColumn("hot", hot)), "blocks")
+    return docs, profile, sizes, classes, blocks
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) for every row with a doc_id.
 
@@ -369,17 +384,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    levels = _sketch(docs.select("text"), n)
-    profile = scratch.cut(_profile(docs, n, num, den, levels), "profile")
-    sizes = profile.select("doc_id", "n", "sig_a", "sig_b")
-    classes = scratch.cut(sizes.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep")), "classes")
-    # what is not its class's smallest stays out; few are, so these are what is joined
-    copies = scratch.cut(sizes.join(classes, ["n", "sig_a", "sig_b"]).where("doc_id <> rep").select("doc_id"), "copies")
-    columns = profile.where("n > 0").join(copies, "doc_id", "left_anti").select("doc_id", "n", F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("token"))
-    hot = F.shiftright("token", 55) >= int(8 * np.log2(HOT))  # the level of its group of n-grams
-    blocks = scratch.cut(_blocks(columns.withColumn("hot", hot)), "blocks")
-
+    docs, profile, sizes, classes, blocks = _prepared(docs, n, num, den, scratch)
     comps = scratch.cut(spark.createDataFrame([], "node long, root long"), "cc-none")
     turn, full, open_ = 0, False, None
     while True:
@@ -412,6 +417,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     return out
 
 
+def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b) with a < b of class representatives, and (doc_id, class_id, n_links) of every document.
+
+    ``docs`` is as for jaccard_components. Documents of one set are a class, represented by its least
+    doc_id; n_links counts the documents that link with this one, those of its own class and of linked classes. Here
+    nothing is contracted, so pairs grow with the links that there are.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    docs, profile, sizes, classes, blocks = _prepared(docs, n, num, den, scratch)
+    here = blocks.withColumn("root", F.col("doc_id"))
+    pairs = scratch.cut(_product(_dealt(here, True, 0), num, den, True), "pairs")
+    over = pairs.groupBy("a", "b", "least", "rest").agg(F.sum("overlap").alias("overlap")).where("overlap + rest >= least")
+    links = _verified(over.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")), docs, n, num, den, scratch, "all")
+    members = sizes.where("n > 0").join(classes, ["n", "sig_a", "sig_b"]).select("doc_id", F.col("rep").alias("class_id")).distinct()
+    members = scratch.cut(members, "members")
+    size = members.groupBy("class_id").agg(F.count("*").alias("size"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = both.join(size, F.col("b") == F.col("class_id")).groupBy(F.col("a").alias("of")).agg(F.sum("size").alias("more"))
+    counts = size.join(more, F.col("class_id") == F.col("of"), "left").select("class_id", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    counts = members.join(counts, "class_id").select("doc_id", "class_id", "n_links")
+    alone = sizes.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    out = scratch.cut(counts.unionByName(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links")), "counts")
+    for kept in ("counts", "all-links"):
+        scratch.paths.pop(kept, None)
+    scratch.drop_all()
+    return links, out
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of whole documents by 4-word shingles at a Jaccard of 0.85 or more."""
     return jaccard_components(documents(spark, sf_dir), n=4, num=85, den=100)

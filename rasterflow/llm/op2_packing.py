@@ -108,11 +108,11 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, most: int = 4096, with_i
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, ", ".join(f"{n} {names[str(t)]}" for n, t in fields))
 
 
-def lower_bound(sizes: np.ndarray, most: int) -> int:
-    """The best bound on the count of sequences from three families of dual feasible functions."""
+def lower_bound(sizes: np.ndarray, most: int, counts: np.ndarray | None = None) -> int:
+    """The best bound on the count of sequences from three families of dual feasible functions; counts of sizes if they are distinct."""
     if not len(sizes):
         return 0
-    values, counts = np.unique(sizes, return_counts=True)
+    values, counts = np.unique(sizes, return_counts=True) if counts is None else (sizes, counts)
     best = -(-int((values * counts).sum()) // most)
     # sizes over most - k fill a sequence, those under k count nothing, the others as they are
     for k in np.unique(np.minimum(values, most - values)):
@@ -215,6 +215,17 @@ def pack(rows: DataFrame, most: int = 4096, group: int = GROUP) -> DataFrame:
     return full.unionByName(packed.select(full.columns)).drop("_row")
 
 
+def certificate(packed: DataFrame, most: int = 4096) -> tuple[int, int]:
+    """(sequences, the least that any packing needs) of packed rows, over all of them.
+
+    Dual feasible functions need the counts of lengths alone: at most ``most`` rows come to the driver. Equal numbers
+    certify that no packing is better; an empty table gives zeros.
+    """
+    lengths = sorted((r["length"], r["n"]) for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect())
+    values, counts = (np.array(x, np.int64) for x in (zip(*lengths, strict=True) if lengths else ((), ())))
+    return packed.select("sequence_id").distinct().count(), lower_bound(values, most, counts)
+
+
 def pack_documents(docs: DataFrame, path: str | None = None, most: int = 4096) -> DataFrame:
     """Pieces of all rows of ``docs`` (doc_id, text) in as few sequences as can be; path is the tokenizer's file."""
     if path is None:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from rasterflow.llm.op2_packing import best_fit, lower_bound, pack, pack_documents
+from rasterflow.llm.op2_packing import best_fit, certificate, lower_bound, pack, pack_documents
 from rasterflow.llm.op7_mixing import mix
 
 DOCS = "doc_id long, text string, source string, sequence_id string"
@@ -75,6 +75,16 @@ def test_rounds_go_on_until_all_loose_documents_met(spark):
     assert len(got) <= lower_bound(sizes, 4096) * 1.01
 
 
+def test_certificate_of_all_rows(spark):
+    rnd = random.Random(9)
+    sizes = [rnd.randint(1, 4096) for _ in range(800)]
+    packed = pack(spark.createDataFrame([(i, x) for i, x in enumerate(sizes)], "doc_id long, length long"))
+    used, least = certificate(packed)
+    assert least == lower_bound(np.array(sizes), 4096) <= used == packed.select("sequence_id").distinct().count()
+    exact = pack(spark.createDataFrame([(i, 1024) for i in range(400)], "doc_id long, length long"))
+    assert certificate(exact) == (100, 100) and certificate(exact.where("false")) == (0, 0)
+
+
 def test_packing_empty(spark):
     assert pack_documents(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -88,6 +88,20 @@ def test_dense_group_in_many_parts_equals_brute_force(spark, monkeypatch):
     assert got == brute_components(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize(("seed", "n", "num"), [(4, 4, 85), (5, 5, 80)])
+def test_all_links_equal_brute_force(spark, seed, n, num):
+    rows = corpus(seed, 120) + [(5000, None), (5001, ""), (5003, "One"), (5004, "one")]
+    sets = {}
+    for d, t in rows:
+        w = WORDS.findall((t or "").translate(LOWER))
+        sets[d] = frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+    linked = lambda x, y: bool(x & y) and 100 * len(x & y) >= num * len(x | y)
+    first = {d: min(e for e in sets if sets[e] == s) if s else d for d, s in sets.items()}
+    links, counts = op1_ngram_jaccard.jaccard_links(spark.createDataFrame(rows, DOCS), n, num, 100)
+    assert {tuple(sorted(r)) for r in links.collect()} == {(a, b) for a in set(first.values()) for b in set(first.values()) if a < b and linked(sets[a], sets[b])}
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in counts.collect()} == {(d, first[d], sum(linked(s, x) for e, x in sets.items() if e != d)) for d, s in sets.items()}
+
+
 def test_large_group_of_near_copies_and_a_long_word(spark):
     rnd = random.Random(5)
     base = [f"v{rnd.randrange(10**6)}" for _ in range(200)]
