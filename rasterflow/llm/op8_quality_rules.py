@@ -25,7 +25,8 @@ SAMPLE = 6000
 #: Thresholds tried for a statistic, and the precision that a rule needs on the pruning rows.
 QUANTILES, PRECISION, RULES, CONDITIONS = 24, 0.95, 12, 3
 
-#: The statistics that rules may test, as ratios of the counts.
+#: The statistics that rules may test, as ratios of the counts. None changes with a text's length alone (as the share of
+#: distinct words does): a threshold learned on short texts would drop long ones.
 RATIOS = {
     "n_words": "n_words",
     "mean_word": "word_chars / greatest(n_words, 1)",
@@ -34,6 +35,7 @@ RATIOS = {
     "marks": "n_marks / greatest(word_chars, 1)",
     "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
     "repeats": "n_repeat_words / greatest(n_words, 1)",
+    "stutter": "n_adjacent / greatest(n_words, 1)",
 }
 
 
@@ -71,13 +73,11 @@ def statistics(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
 
     def of(w: Column) -> Column:
-        joined = F.array_join(w, "")
-        counts = {
-            "n_words": F.size(w),
-            "word_chars": F.char_length(joined),
-            "n_repeat_words": _let(F.transform(w, lambda x: F.xxhash64(x)), _repeat_words),
-        }
-        return F.struct(*[v.cast("long").alias(k) for k, v in counts.items()])
+        longs = lambda counts: F.struct(*[v.cast("long").alias(k) for k, v in counts.items()])
+        # words equal to the one before them
+        adjacent = lambda h: F.size(F.filter(F.transform(h, lambda x, i: x == F.get(h, i - 1)), lambda same: same))
+        hashed = _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: longs({"n_repeat_words": _repeat_words(h), "n_adjacent": adjacent(h)}))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), hashed.alias("h"))
 
     def of_lines(x: Column) -> Column:
         return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
@@ -85,7 +85,8 @@ def statistics(text: Column) -> Column:
     left = lambda pattern: F.char_length(F.regexp_replace(text, pattern, "")).cast("long")
     both = F.struct(_let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of).alias("w"), _let(lines, of_lines).alias("l"))
     rest = {"n_symbols": left(r"[^#*$%&|<>]+"), "n_upper": left(r"[^\p{Lu}]+"), "n_marks": left(r"[^!?;:|=_~^]+")}
-    return _let(both, lambda x: F.struct(*[x[k][c].alias(c) for k, names in (("w", ("n_words", "word_chars", "n_repeat_words")), ("l", ("n_lines", "n_dup_lines"))) for c in names], *[v.alias(k) for k, v in rest.items()]))
+    fields = lambda x: {c: part[c] for part, names in ((x["w"], ("n_words", "word_chars")), (x["w"]["h"], ("n_repeat_words", "n_adjacent")), (x["l"], ("n_lines", "n_dup_lines"))) for c in names}
+    return _let(both, lambda x: F.struct(*[v.alias(k) for k, v in (fields(x) | rest).items()]))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ class Condition:
 
 
 def _in(stats: str, ratio: str) -> str:
-    for name in ("n_words", "word_chars", "n_symbols", "n_upper", "n_marks", "n_dup_lines", "n_lines", "n_repeat_words"):
+    for name in ("n_words", "word_chars", "n_symbols", "n_upper", "n_marks", "n_dup_lines", "n_lines", "n_repeat_words", "n_adjacent"):
         ratio = ratio.replace(name, f"{stats}.{name}")
     return ratio
 
@@ -130,23 +131,33 @@ def learn(rows: list[tuple[dict[str, float], bool]]) -> list[tuple[Condition, ..
     Without rows, or without bad ones, the list is empty. The same rows in the same order
     give the same list.
     """
-    grow = sum(1 << i for i in range(len(rows)) if i % 3)
     bad = sum(1 << i for i, (_, is_bad) in enumerate(rows) if is_bad)
     covers: dict[Condition, int] = {}
-    for name in RATIOS:
-        values = sorted({x[name] for x, _ in rows})
-        # quantiles of all rows and of the bad ones alone: these may be few
-        own = sorted({x[name] for x, is_bad in rows if is_bad})
-        picked = {v[k * (len(v) - 1) // QUANTILES] for v in (values, own) if v for k in range(QUANTILES + 1)}
-        # halfway to the next value, for a margin on both sides
-        bounds = {(x + y) / 2 for x, y in zip(values, values[1:], strict=False) if x in picked or y in picked}
-        for bound in sorted(bounds):
-            for above in (True, False):
-                c = Condition(name, above, bound)
-                covers[c] = sum(1 << i for i, (x, _) in enumerate(rows) if c.holds(x))
+    columns = {name: [x[name] for x, _ in rows] for name in RATIOS}
+
+    def add(left: int) -> None:
+        """Thresholds at the quantiles of all rows and of the bad ones left: these may be few."""
+        for name, column in columns.items():
+            values, own = sorted(set(column)), sorted({v for i, v in enumerate(column) if left >> i & 1})
+            picked = {v[k * (len(v) - 1) // QUANTILES] for v in (values, own) if v for k in range(QUANTILES + 1)}
+            # halfway to the next value, for a margin on both sides
+            for bound in sorted({(x + y) / 2 for x, y in zip(values, values[1:], strict=False) if x in picked or y in picked}):
+                for above in (True, False):
+                    if (c := Condition(name, above, bound)) not in covers:
+                        covers[c] = sum(1 << i for i, (x, _) in enumerate(rows) if c.holds(x))
+
     rules, open_, aside = [], (1 << len(rows)) - 1, 0
     counts = lambda mask, among: ((mask & among & bad & ~aside).bit_count(), (mask & among & ~bad).bit_count())
     while len(rules) < RULES and open_ & bad & ~aside:
+        add(open_ & bad & ~aside)
+        # two thirds of what is left of each kind, so that a few bad rows are not all on one side
+        grow = 0
+        for kind in (open_ & bad & ~aside, open_ & ~bad, open_ & bad & aside):
+            left, n = kind, 0
+            while left:
+                low = left & -left
+                grow |= low if n % 3 else 0
+                left, n = left ^ low, n + 1
         rule, mask = [], open_
         while len(rule) < CONDITIONS:
             p, n = counts(mask, grow)

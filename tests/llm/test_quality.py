@@ -33,6 +33,15 @@ def test_counts_equal_brute_force(spark):
     assert got == sorted((d, *brute(t)) for d, t, _ in rows if d is not None)
 
 
+def test_further_statistics_equal_brute_force(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abc") for _ in range(rnd.randrange(30))) for _ in range(60)] + [None, "", "a", "a a", "a\n\na", "É é É"]
+    for r in measured(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOCS)).select("row.doc_id", "stats.n_adjacent", "stats.n_lines").collect():
+        w = WORDS.findall(texts[r["doc_id"]] or "")
+        lines = sum(bool(WORDS.search(x)) for x in (texts[r["doc_id"]] or "").split("\n"))
+        assert (r["n_adjacent"], r["n_lines"]) == (sum(a == b for a, b in zip(w, w[1:])), lines)
+
+
 def test_learned_list_on_held_out_rows(spark):
     rnd = random.Random(2)
 
