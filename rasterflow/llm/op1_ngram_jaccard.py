@@ -391,7 +391,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         here = blocks if open_ is None else blocks.join(open_, "doc_id", "left_semi")
         here = here.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         if turn:  # a doc_id with several texts has the counts of each, so none is held against it
-            here = here.join(profile.groupBy("doc_id").agg(F.min("counts").alias("counts"), F.count("*").alias("rows")).withColumn("counts", F.when(F.col("rows") == 1, F.col("counts")).otherwise(F.lit(bytes([255] * (GROUPS // 2))))).drop("rows"), "doc_id")
+            here = here.join(profile.join(open_, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("counts").alias("counts"), F.count("*").alias("rows")).withColumn("counts", F.when(F.col("rows") == 1, F.col("counts")).otherwise(F.lit(bytes([255] * (GROUPS // 2))))).drop("rows"), "doc_id")
         pairs = scratch.cut(_product(_dealt(here, full, turn), num, den, full), "pairs")
         # the counts of all blocks, and what can come behind the leading columns
         over = pairs.where("a is not null").groupBy("a", "b", "least", "rest").agg(F.sum("overlap").alias("overlap"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
@@ -400,11 +400,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         old, comps = comps, scratch.cut(components(links, scratch, f"star{turn}"), f"cc{turn}")
         if full:
             break
-        again = scratch.cut(here.join(pairs.where("more").select("lead").distinct(), "lead", "left_semi").select("doc_id").distinct(), f"open{turn}")
+        again = scratch.cut(here.select("lead", "doc_id").join(pairs.where("more").select("lead").distinct(), "lead", "left_semi").select("doc_id").distinct(), f"open{turn}")
         scratch.drop("pairs", f"turn{turn}-links", f"open{turn - 1}")
         left = again.count()
         if not left:
             break
+        if not turn:  # later rounds need no other texts
+            docs = scratch.cut(_only(docs, again).join(again, "doc_id", "left_semi"), "open-texts")
         gone = comps.where("node <> root").count() - old.where("node <> root").count()
         turn, full, open_ = turn + 1, gone < WORTH * left, again
     roots = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "sig_a", "sig_b", "rep", F.coalesce("root", "rep").alias("root"))
