@@ -2,6 +2,8 @@
 
 Numbers are shown the way exact binary values round: half to even on the value that is
 stored, not on the shortest decimal that names it.
+
+Fixed values: the sentences of notes, summaries, badges and checks in the functions below must read as they do.
 """
 
 from __future__ import annotations

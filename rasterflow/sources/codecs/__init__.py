@@ -2,6 +2,9 @@
 
 Images are numpy arrays of height x width x channels, 8 bits each. Nothing here knows of
 Spark; the operators call it once for each row of an Arrow batch.
+
+Fixed values: the error messages, the container that SVG is written as, and the order in which a file is tried
+(by extension, by first bytes, by every format) must be as they are.
 """
 
 from __future__ import annotations
