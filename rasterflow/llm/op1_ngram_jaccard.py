@@ -28,6 +28,7 @@ not a square, and no pair of columns, partners or candidates is capped.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,36 @@ WORTH, DENSE = 0.05, 2
 #: Bits of the filter of candidate ids; fixed as well.
 BLOOM_BITS = 23
 
+#: All pairs of classes that share a shingle, counted; needs unique doc_ids.
+ORACLE_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+  FROM w WHERE len(w) > 0
+), sets AS (
+  SELECT doc_id, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS s FROM g GROUP BY doc_id
+), classes AS (
+  SELECT doc_id, n, min(doc_id) OVER (PARTITION BY s) AS rep FROM sets
+), r AS (
+  SELECT doc_id, n, g FROM g JOIN classes USING (doc_id) WHERE doc_id = rep
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM r x JOIN r y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a AS node, a AS root FROM both_ways
+  UNION
+  SELECT b, root FROM reach JOIN both_ways ON node = a
+), roots AS (
+  SELECT node, min(root) AS root FROM reach GROUP BY node
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, rep, d.doc_id) AS component_id, coalesce(rep, d.doc_id) AS class_id
+FROM w d LEFT JOIN classes USING (doc_id) LEFT JOIN roots ON node = rep
+"""
+
 
 def _sketch(texts: DataFrame, n: int) -> np.ndarray:
     """A byte for each of 2^SKETCH_BITS groups of n-grams that grows with their count."""
