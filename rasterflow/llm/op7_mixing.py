@@ -27,6 +27,50 @@ from ._shared import WORD, Scratch, documents
 #: Ranges of the rank for each unit of it.
 RANGES = 4096
 
+#: The registered query: what _running and the ranges of ranks sum in parts is one window each here.
+ORACLE_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    CAST(1 / ln(exp(1) + length(coalesce(text, '')) / 100) AS DECIMAL(18, 6)) AS own
+  FROM documents
+), per AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, CAST(sum(size * own) AS DOUBLE) AS mass FROM d GROUP BY source
+), weighed AS (
+  SELECT *, 2 * source_size AS top, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w FROM per
+), stopped AS (
+  SELECT *, top / w AS ratio, (1.5::DOUBLE * sum(source_size) OVER () - (sum(top) OVER o - top)) / (sum(w) OVER () - (sum(w) OVER o - w)) AS level
+  FROM weighed WINDOW o AS (ORDER BY top / w, source NULLS LAST)
+), water AS (
+  SELECT level AS held FROM stopped WHERE ratio > level ORDER BY ratio, source NULLS LAST LIMIT 1
+), targets AS (
+  SELECT source, source_size, mass, CASE WHEN held IS NULL OR ratio <= held THEN top ELSE held * w END AS target
+  FROM stopped LEFT JOIN water ON true
+), e AS (
+  SELECT doc_id, d.source, size, CAST(source_size AS BIGINT) AS source_size, target,
+    CASE WHEN mass > 0 THEN least(2.0::DOUBLE, target / mass * CAST(own AS DOUBLE)) ELSE 0 END AS e,
+    (CAST('0x' || md5('7:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:13] AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), p AS (
+  SELECT *, CAST(floor(e) AS BIGINT) AS whole, e - floor(e) AS p, (u / (1 - u)) / (p / (1 - p)) AS odds FROM e
+), open AS (
+  SELECT source, CAST(round(any_value(target)) AS BIGINT) - sum(whole * size) AS open FROM p GROUP BY source
+), units AS (
+  SELECT source, doc_id, size, CASE WHEN p > 0 THEN odds / (1 + odds) ELSE 1 + u END AS z FROM p WHERE whole < 2 AND size > 0
+  UNION ALL
+  SELECT source, doc_id, size, 2 + u FROM p WHERE whole < 1 AND size > 0
+), ranked AS (
+  SELECT u.*, open, sum(size) OVER (PARTITION BY u.source ORDER BY z, doc_id) AS upto FROM units u JOIN open o ON u.source IS NOT DISTINCT FROM o.source
+), gaps AS (
+  SELECT *, open - coalesce(max(upto) FILTER (upto <= open) OVER (PARTITION BY source), 0) AS gap FROM ranked
+), closer AS (
+  SELECT source, doc_id FROM gaps WHERE upto > open AND abs(size - gap) < gap
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), z, doc_id) = 1
+), copies AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM gaps WHERE upto <= open UNION ALL SELECT doc_id FROM closer) GROUP BY doc_id
+)
+SELECT p.doc_id, size, source_size, target, CAST((whole + coalesce(n, 0)) * size AS BIGINT) AS taken FROM p LEFT JOIN copies USING (doc_id)
+"""
+
 
 def _running(rows: DataFrame, by: list[Column], sums: dict[str, str], scratch: Scratch, name: str) -> DataFrame:
     """rows with, for each name of ``sums``, the sum of that column up to and with the row in the order ``by``.
@@ -91,7 +135,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
     # expected copies; a flat weight gives target / source_size for every document of a source
     expected = F.when(F.col("mass") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("mass") * F.col("own").cast("double"))).otherwise(0.0)
-    u = (F.expr(f"xxhash64(doc_id, {int(seed)}) & 4503599627370495") + 0.5) / float(1 << 52)
+    digits = F.substring(F.md5(F.concat(F.lit(f"{int(seed)}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13)  # 52 bits
+    u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
     placed = with_source(rows, targets, "source_size", "target", "mass").withColumn("e", expected).withColumn("whole", F.floor("e").cast("long")).withColumn("p", F.col("e") - F.col("whole")).withColumn("u", u)
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     first = F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(1 + F.col("u"))

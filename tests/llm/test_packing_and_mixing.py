@@ -1,12 +1,11 @@
+import hashlib
 import random
-import struct
 import zlib
 from collections import defaultdict
 from decimal import Decimal
 
 import numpy as np
 import pytest
-import xxhash
 
 from rasterflow.llm.op2_packing import best_fit, certificate, lower_bound, pack, pack_documents
 from rasterflow.llm.op7_mixing import mix
@@ -141,7 +140,6 @@ def test_weights_shift_inclusion(spark):
 
 def brute_mix(rows, weights=(3, 1, 2), share=1.5, most=2, seed=7):
     """taken by doc_id, from rows (doc_id, size, source, weight): Pareto order sampling, one source after the other."""
-    hashed = lambda x, kind, seed: xxhash.xxh64(struct.pack(kind, x), seed=seed).intdigest()
     sizes = defaultdict(int)
     for _, n, s, _ in rows:
         sizes[s] += n
@@ -150,7 +148,7 @@ def brute_mix(rows, weights=(3, 1, 2), share=1.5, most=2, seed=7):
         mine = [r for r in rows if r[2] == source]
         mass, units, whole, certain = float(sum(n * Decimal(repr(w)) for _, n, _, w in mine)), [], {}, 0
         for d, n, _, w in mine:
-            u = ((hashed(seed, "<i", hashed(d, "<q", 42)) & ((1 << 52) - 1)) + 0.5) / (1 << 52)
+            u = (int(hashlib.md5(f"{seed}:{d}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
             e = min(float(most), target / mass * w) if mass else 0.0
             whole[d], p = int(e), e - int(e)
             certain += whole[d] * n
