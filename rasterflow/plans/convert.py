@@ -18,7 +18,7 @@ from ..functions import formats, scalars
 from ..functions.formats import BY_ID, REGISTRY
 from ..functions.options import CompressOptions, ConvertOptions, EncodeOptions
 from ..operators import raster
-from ..sources import codecs, files
+from ..sources import assets, codecs, files
 from ..sources.shared import written
 from . import naming
 
@@ -76,6 +76,8 @@ def coded(contents: DataFrame, options: ConvertOptions | CompressOptions, enable
                 return path, source, target, width, height, color, semi, size, len(out), int((time.monotonic() - started) * 1000), out, None, None
             except codecs.CodecError as e:
                 kind, message = e.kind, str(e)
+            except Exception as e:  # a file that no check foresaw is its own error, not the task's
+                kind, message = "Corrupt", f"{type(e).__name__}: {e}"
         return path, None, default, 0, 0, None, None, size, 0, int((time.monotonic() - started) * 1000), None, kind, message
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +124,8 @@ def run_job(spark: SparkSession, paths: DataFrame, options: ConvertOptions | Com
 
 
 def write(outcomes: DataFrame) -> DataFrame:
-    """Writes the encoded files of outcomes to their output paths."""
-    return files.write_files(outcomes.where("error_kind is null").select(F.col("output").alias("path"), F.col("encoded").alias("content")))
+    """Writes the encoded files of outcomes to their output paths, all or none; what became of each."""
+    return assets.write(outcomes.where("error_kind is null").select(F.col("output").alias("path"), F.col("encoded").alias("content")))
 
 
 def summaries(outcomes: DataFrame) -> DataFrame:

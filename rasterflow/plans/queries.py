@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats as fm
@@ -592,6 +592,44 @@ def sniffed_formats(spark, sf_dir):
     return p.select("page_id", sniff.detect(c("content"), packed=False).alias("format"), sniff.detect(c("content"), ("svg", "bmp"), packed=False).alias("enabled"))
 
 
+def _page_files(spark: SparkSession, sf_dir: str) -> str:
+    """Every page written as a file, its first bytes taking turns; the folder."""
+    import uuid
+
+    from ..sources import assets
+    from ..sources.shared import shared_folder
+
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    head = F.element_at(F.array(*[F.lit(x) for x in _HEADS]), (c("page_id") % len(_HEADS) + 1).cast("int"))
+    name = F.format_string(f"{folder}/%d/%d.bin", c("page_id") % 7, c("page_id"))
+    failed = assets.write(T.table(spark, sf_dir, "pages").select(name.alias("path"), F.concat(head, c("html")).cast("binary").alias("content"))).where("error_kind IS NOT NULL")
+    if not failed.isEmpty():
+        raise OSError(failed.first()["error_message"])
+    return folder
+
+
+def _page_of() -> Column:
+    return F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long").alias("page_id")
+
+
+@query(f"WITH p AS (SELECT page_id, {list(_HEADS)}[1 + (page_id % {len(_HEADS)})::INT] || html AS html FROM pages) SELECT page_id, strlen(html)::BIGINT AS length, md5(substr(hex(html), 1, 2048)) AS head, md5(html) AS body FROM p")
+def written_files(spark, sf_dir):
+    """Every page written through the data source, all or none, and read again."""
+    from ..sources import assets
+
+    rows = assets.scan(spark, _page_files(spark, sf_dir), "path string, length long, head binary, content binary", partition_bytes=16 << 20)
+    return rows.select(_page_of(), "length", F.md5(F.hex("head")).alias("head"), F.md5("content").alias("body"))
+
+
+@query(f"WITH p AS (SELECT page_id, {list(_HEADS)}[1 + (page_id % {len(_HEADS)})::INT] || html AS html FROM pages) SELECT page_id, strlen(html)::BIGINT AS length, {_MARKS} AS format FROM p WHERE strlen(html) > 3000")
+def ranged_formats(spark, sf_dir):
+    """Detection over files of which the first 1024 bytes alone are read; the condition on length is settled on the listing."""
+    from ..sources import assets
+
+    rows = assets.scan(spark, _page_files(spark, sf_dir)).where("length > 3000")
+    return rows.select(_page_of(), "length", sniff.detect(c("head"), packed=False).alias("format"))
+
+
 @query(f"WITH p AS (SELECT page_id, {list(_HEADS[:4])}[1 + (page_id % 4)::INT] || html AS html FROM pages) SELECT page_id, {_SVG} AS svg FROM p")
 def svg_in_pages(spark, sf_dir):
     head = F.element_at(F.array(*[F.lit(x) for x in _HEADS[:4]]), (c("page_id") % 4 + 1).cast("int"))

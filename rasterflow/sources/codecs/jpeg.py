@@ -182,7 +182,9 @@ def _scan(b: bytes, at: int, body: bytes, parts: list[_Component], frame: tuple,
     n = body[0]
     chosen = []
     for i in range(n):
-        p = next(x for x in parts if x.ident == body[1 + 2 * i])
+        p = next((x for x in parts if x.ident == body[1 + 2 * i]), None)
+        if p is None:
+            raise Corrupt(f"JPEG scan of component {body[1 + 2 * i]}")
         p.dc, p.ac = body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15
         chosen.append(p)
     first, last, approx = body[1 + 2 * n : 4 + 2 * n]

@@ -1,4 +1,4 @@
-"""Files as rows: folder scans, path lists with their missing files, and writing back."""
+"""Files as rows: folder scans and path lists with their missing files. Writing and ranged reads are in ``assets``."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, scalars
+from .assets import opened
 
 CONTENT_SCHEMA = "path string, length long, content binary, error_kind string, error_message string"
 STREAM_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -52,13 +53,9 @@ def read_paths(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInArrow(run, CONTENT_SCHEMA)
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _read(path: str | None) -> tuple:
     try:
-        system, at = _open(path or "")
+        system, at = opened(path or "")
         info = system.get_file_info(at)
         if info.type != fs.FileType.File:
             return path, None, None, "InvalidPath", f"文件不存在:{path}"
@@ -69,31 +66,6 @@ def _read(path: str | None) -> tuple:
         return path, None, None, "Io", str(e)
 
 
-def write_files(files: DataFrame) -> DataFrame:
-    """Writes ``files`` (path, content) with their folders; (path, bytes, error_kind, error_message) of each.
-
-    A task that runs again writes the same bytes to the same path.
-    """
-    schema = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("error_kind", pa.string()), ("error_message", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    system, at = _open(path)
-                    if "/" in at:
-                        system.create_dir(at.rsplit("/", 1)[0] or "/", recursive=True)
-                    with system.open_output_stream(at, compression=None) as f:
-                        f.write(content)
-                    out.append((path, len(content), None, None))
-                except (OSError, pa.ArrowException, ValueError, TypeError) as e:
-                    out.append((path, None, "Io", str(e)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
-
-    return files.select("path", "content").mapInArrow(run, "path string, bytes long, error_kind string, error_message string")
-
-
 def total_length(files: DataFrame) -> DataFrame:
     """One row with the bytes of all files whose size is known."""
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("total_bytes"))

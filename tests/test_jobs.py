@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from rasterflow.functions.formats import BY_ID, REGISTRY
 from rasterflow.functions.options import CompressOptions, ConvertOptions, TransformOptions
 from rasterflow.operators import history, raster, sniff
 from rasterflow.plans import convert, naming
@@ -43,6 +44,29 @@ def test_convert_job_with_errors_as_rows(spark, folder, tmp_path):
     rows.unpersist()
 
 
+def test_a_damaged_file_of_each_format_is_an_error_row(spark, tmp_path):
+    """Bytes behind the first mark are replaced, so that decoders get past their first check; the good file beside it converts."""
+    import random
+
+    rnd = random.Random(3)
+    for name in REGISTRY:
+        good = codecs.encode(raster.gradient(9, 7), name)
+        (tmp_path / f"good.{BY_ID[name].primary}").write_bytes(good)
+        for k in range(4):
+            bad = bytearray(good)
+            for _ in range(6):
+                bad[rnd.randrange(min(8, len(bad) - 1), len(bad))] = rnd.randrange(256)
+            (tmp_path / f"bad{k}.{BY_ID[name].primary}").write_bytes(bytes(bad[: len(bad) - rnd.choice([0, 5])]))
+    scan = codecs.encode(raster.gradient(9, 7), "jpeg")
+    at = scan.index(b"\xff\xda")
+    (tmp_path / "scan.jpg").write_bytes(scan[: at + 5] + b"\x77" + scan[at + 6 :])
+    paths = spark.createDataFrame([(str(p),) for p in sorted(tmp_path.iterdir())], "path string")
+    by = {r["input"].rsplit("/", 1)[1]: r for r in convert.run_job(spark, paths, ConvertOptions("qoi", "/out")).drop("encoded").collect()}
+    assert len(by) == 5 * len(REGISTRY) + 1
+    assert all(r["error_kind"] is None for n, r in by.items() if n.startswith("good"))
+    assert by["scan.jpg"]["error_kind"] == "Corrupt" and "119" in by["scan.jpg"]["error_message"]
+
+
 def test_compression_targets_and_notes(spark, folder, tmp_path):
     paths = spark.createDataFrame([(str(folder / "in4.bmp"),)], "path string")
     row = convert.run_job(spark, paths, CompressOptions(format_strategy="Webp", output_dir=str(tmp_path))).first()
