@@ -12,7 +12,7 @@ from ..functions import scalars as S
 from ..functions.options import PRESET_VALUES, PRESETS, CompressOptions, Config, ConvertOptions, Downscale, EncodeOptions, TransformOptions, default_workers
 from ..operators import history as H
 from ..operators import pixels as P
-from ..operators import sniff
+from ..operators import rawfiles, sniff
 from . import standins as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -495,7 +495,7 @@ def resize_nearest(spark, sf_dir):
     return _flat(P.resize_nearest(T.raster(spark, sf_dir), 11, 5))
 
 
-@query(f"WITH {T.RASTER} SELECT asset_id, ty::INT AS y, tx::INT AS x, c0 FROM (SELECT asset_id, h - 1 - (w - 1 - x) AS ny, h - 1 - y AS nx, c0, w, h FROM px) AS q, range(4) AS a(ty), range(4) AS b(tx) WHERE ny = (ty * 2 + 1) * 8 // 8 AND nx = (tx * 2 + 1) * 8 // 8 AND false UNION ALL SELECT asset_id, ((h - 1 - x) // 2)::INT, ((w - 1 - (h - 1 - y)) // 2)::INT, c0 FROM px WHERE (h - 1 - x) % 2 = 1 AND (w - 1 - (h - 1 - y)) % 2 = 1")
+@query(f"WITH {T.RASTER} SELECT asset_id, ((h - 1 - x) // 2)::INT AS y, ((w - 1 - (h - 1 - y)) // 2)::INT AS x, c0 FROM px WHERE (h - 1 - x) % 2 = 1 AND (w - 1 - (h - 1 - y)) % 2 = 1")
 def transform_order(spark, sf_dir):
     px = P.flip_vertical(P.flip_horizontal(P.rotate(T.raster(spark, sf_dir), "Deg90")))
     return _flat(P.resize_nearest(px, 4, 4))
@@ -539,42 +539,62 @@ def mean_channel_error(spark, sf_dir):
     return P.mean_error(px, P.flip_horizontal(px))
 
 
-def _triangle_sql(name: str, size: int, to: int) -> str:
-    """name(t, s, w): the weight of each source place s in each target place t."""
-    ratio = f"({size}::DOUBLE / {to})"
-    return f"""{name}0 AS (SELECT t, s, (t + 0.5) * {ratio} AS mid, greatest({ratio}, 1) AS wide FROM range({to}) AS a(t), range({size}) AS b(s)),
-{name}1 AS (SELECT *, greatest(0, least({size - 1}, floor(mid - wide))) AS l, least({size}, ceil(mid + wide)) AS r FROM {name}0),
-{name}2 AS (SELECT t, s, CASE WHEN s >= l AND s < greatest(r, l + 1) THEN greatest(0, 1 - abs(s - (mid - 0.5)) / wide) ELSE 0 END AS w FROM {name}1),
-{name} AS (SELECT t, s, w / sum(w) OVER (PARTITION BY t) AS w FROM {name}2)"""
+def _smooth_sql(source: str, channels: str = "c0") -> str:
+    """Smooth resizing in one step over both axes: exact fractions of whole numbers, rounded half up."""
+    weight = lambda at, size, t, to: f"(2 * greatest({size}, {to}) - abs((2 * {at} + 1) * {to} - (2 * {t} + 1) * {size}))"
+    wy, wx = weight("y", "h", "ty", "th"), weight("x", "w", "tx", "tw")
+    values = ", ".join(f"((2 * sum({c} * wy * wx) + sum(wy * wx)) // (2 * sum(wy * wx)))::INT AS {c}" for c in channels.split())
+    return f"""z AS (SELECT *, {wy} AS wy, {wx} AS wx FROM {source}, LATERAL (SELECT unnest(range(th)) AS ty) AS a, LATERAL (SELECT unnest(range(tw)) AS tx) AS b)
+SELECT asset_id, tw::INT AS w, th::INT AS h, ty::INT AS y, tx::INT AS x, {values} FROM z WHERE wy > 0 AND wx > 0 GROUP BY asset_id, tw, th, ty, tx"""
 
 
-def _smooth(spark: SparkSession, sf_dir: str, size: tuple[int, int]) -> DataFrame:
-    """Buffers in, buffers out: each raster to a size in numpy, Arrow batch by batch."""
-    import numpy as np
-    import pandas as pd
+@query(f"WITH {T.RASTER}, t AS (SELECT *, 5 AS tw, 3 AS th FROM px), {_smooth_sql('t')}")
+def resize_bilinear(spark, sf_dir):
+    return P.resize_bilinear(T.raster(spark, sf_dir), 5, 3)
 
-    from ..operators.raster import resize
 
-    def run(batches):
-        for t in batches:
-            out = [resize(np.clip(np.floor((np.asarray(v, float) + 1) * 127.5), 0, 255).astype(np.uint8).reshape(8, 8, 1), size).reshape(-1).tolist() for v in t["embedding"]]
-            yield pd.DataFrame({"asset_id": t["vec_id"], "samples": out})
+@query(f"WITH {T.RASTER}, t AS (SELECT *, 16 AS tw, 32 AS th FROM px), {_smooth_sql('t')}")
+def resize_bilinear_up(spark, sf_dir):
+    return P.resize_bilinear(T.raster(spark, sf_dir), 16, 32)
 
-    return T.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "asset_id long, samples array<int>")
 
+@query(f"""WITH {T.GRADIENT}, t AS (SELECT *, CASE WHEN asset_id % 2 = 0 THEN 0.75::DOUBLE ELSE least(1, 16::DOUBLE / greatest(w, h)::DOUBLE) END AS k FROM g),
+u AS (SELECT *, greatest(round(w::DOUBLE * k), 1)::BIGINT AS tw, greatest(round(h::DOUBLE * k), 1)::BIGINT AS th FROM t), {_smooth_sql('u', 'c0 c1 c2')}""")
+def downscaled_pixels(spark, sf_dir):
+    """Every gradient made smaller: to three quarters, or to a longest side of 16."""
+    return P.downscale(P.gradient(T.sizes(spark, sf_dir)), F.when(c("asset_id") % 2 == 0, "Scale75").otherwise("CustomMax"), F.lit(16))
 
-@query()
-def resize_bilinear(spark, sf_dir):
-    """To 5 x 3. Values of exactly one half are rounded as 32-bit sums give them, so this has no SQL; resize_bilinear_up has."""
-    return _smooth(spark, sf_dir, (5, 3))
 
+# raw files ---------------------------------------------------------------------
 
-@query(f"""WITH {T.RASTER}, {_triangle_sql("h", 8, 16)}, {_triangle_sql("v", 8, 32)},
-z AS (SELECT asset_id, v.t AS ty, h.t AS tx, greatest(0, least(255, floor(sum(c0 * v.w * h.w) + 0.5)))::INT AS c FROM px JOIN v ON v.s = y JOIN h ON h.s = x GROUP BY ALL)
-SELECT asset_id, list(c ORDER BY ty, tx) AS samples FROM z GROUP BY ALL""")
-def resize_bilinear_up(spark, sf_dir):
-    """To 16 x 32, where all weights are sums of powers of two."""
-    return _smooth(spark, sf_dir, (16, 32))
+_RAW_KINDS = ("bmp", "netpbm", "farbfeld")
+
+
+def _raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every gradient as a file, the formats taking turns."""
+    px = P.gradient(T.sizes(spark, sf_dir))
+    made = [rawfiles.encoded(px.where(c("asset_id") % 3 == k), kind).withColumn("kind", F.lit(kind)) for k, kind in enumerate(_RAW_KINDS)]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+_LE = lambda v, n: "".join(f" || printf('%02X', ({v}) // {256**i} % 256)" for i in range(n))[4:]
+_BMP_SIZE = "(w * 3 + (4 - w * 3 % 4) % 4) * h"
+
+
+@query(f"""WITH {T.GRADIENT}, l AS (SELECT asset_id, w, h, y, string_agg(printf('%02X%02X%02X', c2, c1, c0), '' ORDER BY x) || repeat('00', (4 - w * 3 % 4) % 4) AS bmp,
+  string_agg(printf('%02X%02X%02X', c0, c1, c2), '' ORDER BY x) AS netpbm, string_agg(printf('%02X%02X%02X%02X%02X%02XFFFF', c0, c0, c1, c1, c2, c2), '' ORDER BY x) AS farbfeld FROM g GROUP BY asset_id, w, h, y),
+f AS (SELECT asset_id, w, h, string_agg(bmp, '' ORDER BY y DESC) AS bmp, string_agg(netpbm, '' ORDER BY y) AS netpbm, string_agg(farbfeld, '' ORDER BY y) AS farbfeld FROM l GROUP BY asset_id, w, h),
+e AS (SELECT asset_id, CASE asset_id % 3 WHEN 0 THEN '424D' || {_LE(f'{_BMP_SIZE} + 54', 4)} || '000000003600000028000000' || {_LE('w', 4)} || {_LE('h', 4)} || '0100180000000000' || {_LE(_BMP_SIZE, 4)} || '130B0000130B00000000000000000000' || bmp
+  WHEN 1 THEN hex('P6' || chr(10) || w || ' ' || h || chr(10) || '255' || chr(10)) || netpbm ELSE '6661726266656C64' || printf('%08X%08X', w, h) || farbfeld END AS content FROM f)
+SELECT asset_id, (length(content) // 2)::BIGINT AS bytes, md5(content) AS digest FROM e""")
+def raw_files(spark, sf_dir):
+    return _raw_files(spark, sf_dir).select("asset_id", F.length("content").cast("long").alias("bytes"), F.md5(F.hex("content")).alias("digest"))
+
+
+@query(f"WITH {T.GRADIENT} SELECT asset_id, ['bmp', 'netpbm', 'farbfeld'][1 + (asset_id % 3)::INT] AS kind, w, h, y::INT AS y, x::INT AS x, c0, c1, c2, CASE WHEN asset_id % 3 = 2 THEN 255 END AS c3 FROM g")
+def raw_pixels(spark, sf_dir):
+    """Every gradient's file decoded again by byte offsets."""
+    return rawfiles.pixels(_raw_files(spark, sf_dir))
 
 
 # sniffing and codecs -----------------------------------------------------------
