@@ -385,11 +385,18 @@ def write_archives(pages: DataFrame, out: str, least: int = 0, roll: int = ROLL)
     return rows.mapInArrow(run, "path string, records long, bytes long")
 
 
+def whole_number(value: str | None) -> int | None:
+    """A header's value as a 64-bit number; null for what other writers put there."""
+    value = (value or "").strip()
+    return int(value) if re.fullmatch(r"[0-9]{1,18}", value) else None
+
+
 def read_archives(manifest: DataFrame, out: str) -> DataFrame:
     """Records and gaps of the archives named by ``manifest`` (path, below ``out``), salvaged one archive a row.
 
     (path, start, end, kind, page_id, payload_bytes, payload_digest, refers_to, reason); kind is the
-    record's type or ``gap``.
+    record's type or ``gap``. Archives of other writers are read as well: page_id, refers_to and a revisit's payload_bytes
+    are null where their headers aren't numbers.
     """
     schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("reason", pa.string())])
 
@@ -399,9 +406,9 @@ def read_archives(manifest: DataFrame, out: str) -> DataFrame:
                 if isinstance(x, Gap):
                     yield path, x.start, x.end, "gap", None, None, None, None, x.reason
                     continue
-                kind, number = x.headers.get("warc-type", ""), lambda h, x=x: int(v) if (v := x.headers.get(h)) else None
+                kind, number = x.headers.get("warc-type", ""), lambda h, x=x: whole_number(x.headers.get(h))
                 if kind == "revisit":
-                    size, digest = int(x.http("Content-Length") or 0), x.headers.get("warc-payload-digest", "")[5:]
+                    size, digest = whole_number(x.http("Content-Length") or "0"), x.headers.get("warc-payload-digest", "")[5:]
                 else:
                     size, digest = len(x.payload), sha1_base32(x.payload)
                 yield path, x.start, x.end, kind, number("x-page-id"), size, digest, number("x-refers-to-page-id"), None

@@ -103,6 +103,16 @@ def test_pages_through_archives(spark, tmp_path):
     manifest.unpersist()
 
 
+def test_archives_of_other_writers_have_nulls(spark, tmp_path):
+    one = record_bytes("response", "<urn:x:1>", b"p", more={"X-Page-Id": "page-one", "X-Refers-To-Page-Id": "9" * 30})
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: many\r\n\r\n"
+    two = b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:x:2>\r\nX-Page-Id: 7\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+    (tmp_path / "a.warc.gz").write_bytes(gzip_member(one) + gzip_member(two))
+    rows = op4_warc.read_archives(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "path string"), f"file://{tmp_path}").orderBy("start").collect()
+    assert [(r["kind"], r["page_id"], r["refers_to"]) for r in rows] == [("response", None, None), ("revisit", 7, None)]
+    assert rows[0]["payload_bytes"] == 1 and rows[1]["payload_bytes"] is None
+
+
 def test_small_payloads_are_all_responses_below_the_bound(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab", ""), (2, "u", "ab", "")], PAGES)
     out = f"file://{tmp_path}/warc"
