@@ -58,16 +58,15 @@ QUALIFY part = 'pair' OR rank <= 10
 def _counted(batches):
     """Sums of occurrences and documents by language, source and term; a row without a term tells that a group is there."""
     held, size = {}, 0
+    names = ["lang", "source", "term", "occ", "docs"]
 
     def out():
-        rows = [(lang, source, term, n, c[1][term]) for (lang, source), c in held.items() for term, n in c[0].items()]
-        rows += [(lang, source, None, 0, 0) for lang, source in held]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-        made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        made[2] = made[2].cast(pa.string())
-        for at in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays([m.slice(at, 50_000) for m in made], ["lang", "source", "term", "occ", "docs"])
+        for (lang, source), (occ, docs) in held.items():
+            n = len(occ)  # both counters met their terms in the same order
+            columns = [pa.array([*occ, None], pa.binary()).cast(pa.string()), pa.array([*occ.values(), 0], pa.int64()), pa.array([*docs.values(), 0], pa.int64())]
+            whole = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(v, pa.string()), n + 1) for v in (lang, source)] + columns, names)
+            for at in range(0, n + 1, 50_000):
+                yield whole.slice(at, 50_000)
 
     for b in batches:
         for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
