@@ -1,19 +1,21 @@
-"""Batches of files with progress events, cancellation and one summary.
+"""Batches of files as streams: rounds of files, progress events, cancellation and one summary.
 
-Files go in rounds, each one job whose outcomes are written to the shared folder; the cancel flag is looked at
-before each, so a round that runs is finished and later files are not begun. A round's events are
-one small row a file. Rounds grow from a few files for each worker to many, so that
-a cancel early on costs little and a million files need no more than some hundred jobs.
+The list of files is a table in files of one round each, read as a stream with one file a micro-batch. A round is converted and
+its outcomes and events become a part of a table of their own, so nothing grows with the rounds: names given before are
+one table, joined once. The cancel flag is looked at before each round; files of a round that runs are finished,
+later ones are not begun. A batch that was cut off or cancelled goes on from its checkpoint when it is run again in the same
+folder; a round that runs again writes the same parts.
 """
 
 from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +23,20 @@ from ..functions import scalars
 from ..functions.formats import REGISTRY
 from ..functions.options import CompressOptions, ConvertOptions, default_workers
 from ..operators import history
-from ..sources.shared import written
+from ..sources import files
+from ..sources.shared import shared_folder
+from ..streaming.progress import EVENT, ProgressRows, progress
 from . import convert
 
-#: Files of a round at most.
-ROUND = 4096
+#: Files of a round at most, and rounds that a batch is cut in where that makes no round smaller than the workers can share.
+ROUND, ROUNDS = 4096, 32
+
+
+_OUTCOME = f"{convert.CODED.replace(' encoded binary,', '')}, output string, notes array<string>, shown string, place long"
+
+
+class _Cancelled(Exception):
+    """Ends a stream before a round that is not to begin."""
 
 
 @dataclass(frozen=True)
@@ -62,10 +73,10 @@ class Summary:
 
 @dataclass
 class Batch:
-    """A batch over a list of paths: order kept, repeats dropped. One at a time on a session."""
+    """A batch over paths, a list or a table (path): order kept, repeats dropped. ``folder`` holds its tables, by default one in the shared folder."""
 
     spark: SparkSession
-    paths: list[str]
+    paths: list[str] | DataFrame
     options: ConvertOptions | CompressOptions
     workers: int = 0
     enabled: tuple[str, ...] = REGISTRY
@@ -73,56 +84,98 @@ class Batch:
     write: bool = True
     cancel: threading.Event = field(default_factory=threading.Event)
     summary: Summary = field(default_factory=Summary)
-    rounds: list[DataFrame] = field(default_factory=list)
-
-    def run(self, on_event: Callable[[Event], None] = lambda e: None) -> Summary:
-        for e in self.events():
-            on_event(e)
-        return self.summary
-
-    def events(self) -> Iterator[Event]:
-        paths = list(dict.fromkeys(self.paths))
-        began = time.monotonic()
-        self.summary = Summary(total=len(paths))
-        yield Event("started", total=len(paths))
-        step = min(max(1, self.workers or default_workers()), max(1, len(paths))) * 4
-        k = 0
-        while k < len(paths) and not self.cancel.is_set():
-            some = paths[k : k + step]
-            for i, p in enumerate(some, k):
-                yield Event("file_started", i, p)
-            wanted = self.spark.createDataFrame([(p,) for p in some], "path string")
-            job = written(convert.run_job(self.spark, wanted, self.options, self.known(), self.enabled), "outcomes")
-            if self.write:
-                convert.write(job).count()
-            job = job.drop("encoded").withColumn("shown", scalars.error_text(F.col("error_kind"), F.col("error_message")))
-            place = self.spark.createDataFrame([(p, i) for i, p in enumerate(some, k)], "input string, place long")
-            self.rounds.append(job.join(place, "input"))
-            rows = {r["input"]: r for r in job.collect()}  # a round's files, without their bytes
-            for i, p in enumerate(some, k):
-                r = rows[p]
-                if r["error_kind"] is None:
-                    self.summary.succeeded += 1
-                    yield Event("file_done", i, p, r["output"], ";".join(r["notes"]) or history.SUCCESS)
-                else:
-                    self.summary.failed += 1
-                    yield Event("file_failed", i, p, "", r["shown"])
-            k, step = k + step, min(ROUND, 2 * step)
+    folder: str = ""
+
+    def __post_init__(self) -> None:
+        self.name = self.folder.rstrip("/").rpartition("/")[2] or f"batch-{uuid.uuid4().hex}"
+        self.folder = self.folder.rstrip("/") or f"{shared_folder(self.spark)}/{self.name}"
+
+    def _inputs(self) -> int:
+        """Writes the paths with their places, a file for each round, unless an earlier run has; the count of paths."""
+        at = f"{self.folder}/inputs"
+        if not files.there(at):
+            if isinstance(self.paths, DataFrame):
+                rows = history.dedupe_inputs(self.paths.select("path", F.monotonically_increasing_id().alias("pos"))).withColumnRenamed("pos", "place")
+            else:
+                rows = self.spark.createDataFrame([(p, i) for i, p in enumerate(dict.fromkeys(self.paths))], "path string, place long")
+            n = rows.count()
+            least = max(1, self.workers or default_workers()) * 4
+            rounds = max(1, -(-n // min(ROUND, max(least, -(-n // ROUNDS)))))
+            rows.repartitionByRange(rounds, "place").sortWithinPartitions("place").write.parquet(at)
+        return self.spark.read.parquet(at).count()
+
+    def run(self, on_event: Callable[[Event], None] | None = None) -> Summary:
+        """Runs what isn't done yet. ``on_event`` gets the events of each round when it is done, else none is collected."""
+        spark, began = self.spark, time.monotonic()
+        tell = on_event or (lambda e: None)
+        total = self._inputs()
+        self.summary = Summary(total=total)
+        tell(Event("started", total=total))
+        self._events([(self.name, 0, "started", -1, "", "", "", total)], "start")
+        rows = ProgressRows(f"{self.folder}/progress")
+
+        def each(some: DataFrame, number: int) -> None:
+            if self.cancel.is_set():
+                raise _Cancelled
+            some.persist()  # paths alone; read twice, counted once
+            self._round(some, number, on_event)
+            some.unpersist()
+
+        spark.streams.addListener(rows)
+        try:
+            stream = spark.readStream.schema("path string, place long").option("maxFilesPerTrigger", 1).parquet(f"{self.folder}/inputs")
+            query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+        except StreamingQueryException:
+            if not self.cancel.is_set():
+                raise
+        finally:
+            spark.streams.removeListener(rows)
+        done = self.outcomes.agg(F.count_if(F.col("error_kind").isNull()), F.count_if(F.col("error_kind").isNotNull())).first()
         # the flag as it is at the end counts, even behind the last file
-        self.summary.cancelled, self.summary.seconds = self.cancel.is_set(), time.monotonic() - began
-        yield Event("finished", total=len(paths), message=self.summary.text())
+        self.summary = Summary(total, done[0], done[1], self.cancel.is_set(), time.monotonic() - began)
+        self._events([(self.name, 1 << 62, "finished", -1, "", "", self.summary.text(), total)], "finish")
+        tell(Event("finished", total=total, message=self.summary.text()))
+        return self.summary
 
-    def known(self) -> DataFrame | None:
-        """Paths that are there or were given by earlier rounds."""
-        given = [x.where("output <> ''").select(F.col("output").alias("path")) for x in self.rounds]
-        return reduce(DataFrame.unionByName, [*([] if self.existing is None else [self.existing.select("path")]), *given]) if given or self.existing is not None else None
+    def _round(self, some: DataFrame, number: int, on_event: Callable[[Event], None] | None) -> None:
+        given = self.given().where(F.col("round") < number).select("path")
+        known = given if self.existing is None else given.unionByName(self.existing.select("path"))
+        parts = max(1, self.spark.sparkContext.defaultParallelism * 4)
+        places = some.select(F.col("path").alias("input"), "place")
+        rows = convert.planned(convert.coded(files.read_paths(some.select("path").repartition(parts)), self.options, self.enabled), self.options, known, F.current_timestamp())
+        if self.write:
+            convert.write(rows)
+        shown = rows.drop("encoded").withColumn("shown", scalars.error_text(F.col("error_kind"), F.col("error_message"))).join(places, "input")
+        shown.write.mode("overwrite").parquet(f"{self.folder}/outcomes/round={number}")
+        done = self.spark.read.schema(_OUTCOME).parquet(f"{self.folder}/outcomes/round={number}")
+        ok = F.col("error_kind").isNull()
+        told = F.when(ok, F.when(F.size("notes") > 0, F.array_join("notes", ";")).otherwise(history.SUCCESS)).otherwise(F.col("shown"))
+        begun = done.select(F.lit(self.name).alias("batch"), (2 * F.col("place") + 1).alias("seq"), F.lit("file_started").alias("kind"), F.col("place").alias("index"), "input", F.lit("").alias("output"), F.lit("").alias("message"), F.lit(0).cast("long").alias("total"))
+        ended = done.select(F.lit(self.name).alias("batch"), (2 * F.col("place") + 2).alias("seq"), F.when(ok, "file_done").otherwise("file_failed").alias("kind"), F.col("place").alias("index"), "input", "output", told.alias("message"), F.lit(0).cast("long").alias("total"))
+        begun.unionByName(ended).write.mode("overwrite").parquet(f"{self.folder}/events/part={number}")
+        if on_event:  # a round's events, without bytes
+            for r in self.spark.read.schema(EVENT).parquet(f"{self.folder}/events/part={number}").orderBy("seq").collect():
+                on_event(Event(r["kind"], r["index"], r["input"], r["output"], r["message"]))
+
+    def _events(self, rows: list[tuple], part: str) -> None:
+        self.spark.createDataFrame(rows, EVENT).write.mode("overwrite").parquet(f"{self.folder}/events/part={part}")
+
+    def given(self) -> DataFrame:
+        """(path, round) of the names that rounds gave so far."""
+        return self.outcomes.where("output <> ''").select(F.col("output").alias("path"), "round")
 
     @property
     def outcomes(self) -> DataFrame:
-        """Outcomes so far without their bytes, from the tables of the rounds; place is the file's in the list."""
-        if not self.rounds:
-            return self.spark.createDataFrame([], f"{convert.CODED}, output string, notes array<string>, shown string, place long").drop("encoded")
-        return reduce(DataFrame.unionByName, self.rounds)
+        """Outcomes so far without their bytes; place is the file's in the list, round its micro-batch."""
+        at = f"{self.folder}/outcomes"
+        if not files.there(at):
+            return self.spark.createDataFrame([], f"{_OUTCOME}, round long")
+        return self.spark.read.schema(f"{_OUTCOME}, round long").parquet(at)
+
+    def progress(self) -> DataFrame:
+        """A row for each micro-batch that ran."""
+        return progress(self.spark, f"{self.folder}/progress")
 
     def history(self, start: int = 0) -> DataFrame:
         """The batch's files as history rows, in the order in which they were given."""

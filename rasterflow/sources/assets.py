@@ -256,9 +256,12 @@ _registering = threading.Lock()
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known to a session, and to the active one, which Spark asks: in a micro-batch they differ."""
+    active = SparkSession.getActiveSession()
     with _registering:
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-        spark.dataSource.register(AssetSource)
+        for session in [spark] + ([active] if active else []):
+            session.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+            session.dataSource.register(AssetSource)
 
 
 def scan(spark: SparkSession, folder: str, columns: str = "path string, length long, head binary", head: int = HEAD, partition_bytes: int = 128 << 20, recursive: bool = True) -> DataFrame:

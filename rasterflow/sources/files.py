@@ -53,6 +53,12 @@ def read_paths(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInArrow(run, CONTENT_SCHEMA)
 
 
+def there(folder: str) -> bool:
+    """Whether a folder or file is there."""
+    system, at = opened(folder)
+    return system.get_file_info(at).type != fs.FileType.NotFound
+
+
 def _read(path: str | None) -> tuple:
     try:
         system, at = opened(path or "")
