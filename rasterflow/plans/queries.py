@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats as fm
+from ..functions import option_columns as O
 from ..functions import scalars as S
 from ..functions.options import PRESET_VALUES, PRESETS, CompressOptions, Config, ConvertOptions, Downscale, EncodeOptions, TransformOptions, default_workers
 from ..operators import history as H
@@ -227,6 +228,30 @@ def batch_summary_empty(spark, sf_dir):
     return H.batch_summary(T.table(spark, sf_dir, "events").select(F.lit(True).alias("success")).limit(0), F.lit(0.0), F.lit(False))
 
 
+@query("""WITH e AS (SELECT 'b' || user_id % 40 AS batch, event_id + 1 AS seq, CASE event_type WHEN 'signup' THEN 'file_started' WHEN 'error' THEN 'file_failed' ELSE 'file_done' END AS kind, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type || ' ' || event_id END AS message, user_id % 40 AS k FROM events),
+t AS (SELECT batch, k, count(*) FILTER (kind <> 'file_started') AS total, count(*) FILTER (kind = 'file_done') AS succeeded, count(*) FILTER (kind = 'file_failed') AS failed, list(message ORDER BY seq) FILTER (kind <> 'file_started' AND message <> '') AS told FROM e GROUP BY batch, k)
+SELECT batch, total, succeeded, failed, k % 2 = 0 AS finished, CASE WHEN total = 0 THEN 0 ELSE (succeeded + failed)::DOUBLE / total END AS shown_progress, least(2000, len(coalesce(told, [])) + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS lines,
+  list_concat(coalesce(told, []), CASE WHEN k % 2 = 0 THEN ['ended'] ELSE [] END)[-5:] AS log FROM t""")
+def batch_states(spark, sf_dir):
+    """Events of many batches at once, folded to the state of each by a stream with keyed state."""
+    import uuid
+
+    from ..sources.shared import shared_folder
+    from ..streaming import progress
+
+    k = (c("user_id") % 40).cast("string")
+    kind = F.when(c("event_type") == "signup", "file_started").when(c("event_type") == "error", "file_failed").otherwise("file_done")
+    told = F.when(c("event_id") % 3 == 0, "").otherwise(F.concat("event_type", F.lit(" "), c("event_id").cast("string")))
+    e = T.table(spark, sf_dir, "events").select(F.concat(F.lit("b"), k).alias("batch"), (c("event_id") + 1).alias("seq"), kind.alias("kind"), told.alias("message"), (c("user_id") % 2).alias("odd"))
+    blank = lambda rows, total: rows.select("batch", "seq", "kind", F.lit(-1).cast("long").alias("index"), F.lit("").alias("input"), F.lit("").alias("output"), "message", total.cast("long").alias("total"))
+    ends = e.groupBy("batch", "odd").agg(F.count_if(c("kind") != "file_started").alias("n"))
+    started = blank(ends.select("batch", F.lit(0).cast("long").alias("seq"), F.lit("started").alias("kind"), F.lit("").alias("message"), "n"), c("n"))
+    finished = blank(ends.where("odd = 0").select("batch", F.lit(1 << 62).alias("seq"), F.lit("finished").alias("kind"), F.lit("ended").alias("message")), F.lit(0))
+    work = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    blank(e, F.lit(0)).unionByName(started).unionByName(finished).write.parquet(f"{work}/events")
+    return progress.folded(spark, f"{work}/events", f"{work}/fold")
+
+
 # paths -------------------------------------------------------------------------
 
 _NAME = "regexp_extract(path, '[^/]*$')"
@@ -294,121 +319,186 @@ def selected_bytes(spark, sf_dir):
 # formats -----------------------------------------------------------------------
 
 
-@query(f"WITH {FORMATS_SQL} SELECT enum_no, variant, id, name, array_to_string(extensions, ' ') AS extensions, primary_extension, alpha, lossless, implemented, registry_no, description FROM f")
+_FORMAT_IDS = tuple(f.id for f in fm.FORMATS)
+_COLORS = tuple(x[0] for x in fm.COLORS)
+
+
+def _drawn(values: tuple, key: Column) -> Column:
+    """A value for each row, by turns of a key."""
+    return F.element_at(F.array(*[F.lit(x) for x in values]), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
+
+
+def _drawn_sql(values: tuple, key: str = "p_partkey") -> str:
+    return f"{['NULL' if x is None else text(x) for x in values]}[1 + (({key}) % {len(values)})::INT]".replace('"', "").replace("\\t", "\t")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.table(spark, sf_dir, "part").select("p_partkey", c("p_size").cast("int").alias("p_size"), "p_name", F.floor(c("p_partkey") / 12).alias("twelfth"))
+
+
+_K = "k AS (SELECT p_partkey, p_size::INT AS p_size, p_name, p_partkey // 12 AS twelfth FROM part)"
+
+
+@query(f"WITH {FORMATS_SQL}, {_K} SELECT p_partkey, enum_no, variant, id, name, array_to_string(extensions, ' ') AS extensions, primary_extension, alpha, lossless, implemented, registry_no, description FROM k JOIN f ON enum_no = p_partkey % 12")
 def format_attributes(spark, sf_dir):
-    return fm.format_dim(spark).withColumn("extensions", F.array_join("extensions", " "))
+    rows = _parts(spark, sf_dir).select("p_partkey", (c("p_partkey") % 12).cast("int").alias("enum_no"))
+    return rows.join(fm.format_dim(spark), "enum_no").withColumn("extensions", F.array_join("extensions", " "))
 
 
-@query(f"WITH {FORMATS_SQL} SELECT enum_no, name, primary_extension, CASE WHEN implemented THEN '已实现' ELSE '规划中' END AS status, CASE WHEN lossless THEN '是' ELSE '否' END AS lossless, CASE WHEN alpha THEN '是' ELSE '否' END AS alpha, description FROM f")
+@query(f"WITH {FORMATS_SQL}, {_K} SELECT p_partkey, enum_no, name, primary_extension, CASE WHEN implemented THEN '已实现' ELSE '规划中' END AS status, CASE WHEN lossless THEN '是' ELSE '否' END AS lossless, CASE WHEN alpha THEN '是' ELSE '否' END AS alpha, description FROM k JOIN f ON enum_no = p_partkey % 12")
 def capability_matrix(spark, sf_dir):
-    return fm.capability_matrix(spark)
+    return _parts(spark, sf_dir).select("p_partkey", (c("p_partkey") % 12).cast("int").alias("enum_no")).join(fm.capability_matrix(spark), "enum_no")
 
 
-@query(f"WITH {FORMATS_SQL} SELECT registry_no, id, count(*) OVER () AS codec_count FROM f WHERE registry_no IS NOT NULL")
+@query(f"WITH {FORMATS_SQL}, {_K} SELECT p_partkey, registry_no, id, (SELECT count(*) FROM f WHERE registry_no IS NOT NULL) AS codec_count FROM k JOIN f ON registry_no = p_partkey % 11")
 def registry_listing(spark, sf_dir):
-    r = fm.registry(spark)
-    return r.withColumn("codec_count", F.lit(len(fm.REGISTRY)).cast("long"))
+    rows = _parts(spark, sf_dir).select("p_partkey", (c("p_partkey") % 11).cast("int").alias("registry_no"))
+    return rows.join(fm.registry(spark), "registry_no").withColumn("codec_count", F.lit(len(fm.REGISTRY)).cast("long"))
 
 
-@query(f"WITH {FORMATS_SQL} SELECT id, id IN ('bmp', 'png', 'heic') AS supported, CASE WHEN id NOT IN ('bmp', 'png', 'heic') THEN 'UnsupportedFormat' WHEN NOT implemented THEN 'UnsupportedFeature' END AS kind, CASE WHEN id NOT IN ('bmp', 'png', 'heic') THEN '不支持的格式:' || name WHEN NOT implemented THEN '暂不支持的特性:' || name || '的编解码功能尚未实现,请选择其它目标格式' END AS error FROM f")
+@query(f"WITH {FORMATS_SQL}, {_K} SELECT p_partkey, id, id IN ('bmp', 'png', 'heic') AS supported, CASE WHEN id NOT IN ('bmp', 'png', 'heic') THEN 'UnsupportedFormat' WHEN NOT implemented THEN 'UnsupportedFeature' END AS kind, CASE WHEN id NOT IN ('bmp', 'png', 'heic') THEN '不支持的格式:' || name WHEN NOT implemented THEN '暂不支持的特性:' || name || '的编解码功能尚未实现,请选择其它目标格式' END AS error FROM k JOIN f ON enum_no = p_partkey % 12")
 def availability(spark, sf_dir):
+    rows = _parts(spark, sf_dir).select("p_partkey", _drawn(_FORMAT_IDS, c("p_partkey")).alias("id"))
     kind, detail = fm.availability(c("id"), ("bmp", "png", "heic"))
-    return fm.format_dim(spark).select("id", c("id").isin("bmp", "png", "heic").alias("supported"), kind.alias("kind"), S.error_text(kind, detail).alias("error"))
+    return rows.select("p_partkey", "id", c("id").isin("bmp", "png", "heic").alias("supported"), kind.alias("kind"), S.error_text(kind, detail).alias("error"))
 
 
-@query("SELECT * FROM (VALUES ('Gray8', 1, '灰度', false, true), ('GrayAlpha8', 2, '灰度+透明', true, true), ('Rgb8', 3, '真彩色', false, false), ('Rgba8', 4, '真彩色+透明', true, false)) AS v(color, channels, name, has_alpha, is_gray)")
+@query(f"WITH {_K}, v AS (SELECT * FROM (VALUES (0, 'Gray8', 1, '灰度', false, true), (1, 'GrayAlpha8', 2, '灰度+透明', true, true), (2, 'Rgb8', 3, '真彩色', false, false), (3, 'Rgba8', 4, '真彩色+透明', true, false)) AS v(n, color, channels, name, has_alpha, is_gray)) SELECT p_partkey, color, channels, name, has_alpha, is_gray FROM k JOIN v ON n = p_partkey % 4")
 def color_attributes(spark, sf_dir):
-    return fm.color_dim(spark).select("color", fm.channels(c("color")).alias("channels"), fm.color_name(c("color")).alias("name"), fm.has_alpha(c("color")).alias("has_alpha"), fm.is_gray(c("color")).alias("is_gray"))
+    rows = _parts(spark, sf_dir).select("p_partkey", _drawn(_COLORS, c("p_partkey")).alias("color"))
+    return rows.select("p_partkey", "color", fm.channels(c("color")).alias("channels"), fm.color_name(c("color")).alias("name"), fm.has_alpha(c("color")).alias("has_alpha"), fm.is_gray(c("color")).alias("is_gray"))
 
 
-@query(f"WITH {FORMATS_SQL} SELECT list_sort(list_distinct(flatten(list(extensions)))) AS extensions FROM f WHERE registry_no IS NOT NULL")
+@query(f"WITH {T.PATHS}, {FORMATS_SQL}, e AS (SELECT list_sort(list_distinct(flatten(list(extensions)))) AS offered FROM f WHERE registry_no IS NOT NULL) SELECT pos, {_EXT} AS extension, list_contains(offered, {_EXT}) AS offered, len(offered)::INT AS choices FROM p, e")
 def picker_extensions(spark, sf_dir):
-    return fm.picker_extensions(spark)
+    """Whether the picker would show each path, by the one list that it is given."""
+    rows = T.paths(spark, sf_dir).select("pos", S.extension_of(c("path")).alias("extension"))
+    offered = fm.picker_extensions(spark).select(F.explode("extensions").alias("extension"), F.size("extensions").alias("_n"), F.lit(True).alias("_offered"))
+    return rows.join(offered, "extension", "left").select("pos", "extension", F.coalesce("_offered", F.lit(False)).alias("offered"), F.lit(len({e for x in fm.REGISTRY for e in fm.BY_ID[x].extensions})).alias("choices"))
 
 
-@query(f"WITH {FORMATS_SQL}, k AS (SELECT DISTINCT ' ' || upper(id) || chr(9) AS text, id FROM f UNION ALL SELECT 'avif', NULL) SELECT text, id FROM k")
+@query(f"WITH {FORMATS_SQL}, {_K} SELECT p_partkey, CASE WHEN p_partkey % 13 = 12 THEN 'avif' ELSE ' ' || upper(id) || chr(9) END AS text, CASE WHEN p_partkey % 13 <> 12 THEN id END AS id FROM k LEFT JOIN f ON enum_no = p_partkey % 13")
 def format_by_id(spark, sf_dir):
-    ids = fm.format_dim(spark).select(F.concat(F.lit(" "), F.upper("id"), F.lit("\t")).alias("text")).unionByName(spark.createDataFrame([("avif",)], "text string"))
-    return ids.select("text", fm.from_id(c("text")).alias("id"))
+    x = F.when(c("p_partkey") % 13 == 12, "avif").otherwise(F.concat(F.lit(" "), F.upper(_drawn((*_FORMAT_IDS, ""), c("p_partkey"))), F.lit("\t")))
+    return _parts(spark, sf_dir).select("p_partkey", x.alias("text")).withColumn("id", fm.from_id(c("text")))
 
 
-@query("""WITH c AS (SELECT unnest(['Gray8', 'GrayAlpha8', 'Rgb8', 'Rgba8']) AS color), t AS (SELECT unnest(['netpbm', 'ico', 'qoi', 'gif', 'farbfeld', 'jpeg']) AS format)
-SELECT format, color, CASE WHEN format = 'netpbm' THEN CASE color WHEN 'Gray8' THEN 'pgm' WHEN 'Rgb8' THEN 'ppm' ELSE 'pam' END WHEN format = 'farbfeld' THEN 'ff' WHEN format = 'jpeg' THEN 'jpg' ELSE format END AS extension,
-  CASE WHEN format = 'ico' THEN 'Rgba8' WHEN format = 'farbfeld' THEN 'Rgba16' WHEN format IN ('qoi', 'gif') AND color = 'Gray8' THEN 'Rgb8' WHEN format IN ('qoi', 'gif') AND color = 'GrayAlpha8' THEN 'Rgba8' ELSE color END AS prepared FROM c, t""")
+_TARGETS = ("netpbm", "ico", "qoi", "gif", "farbfeld", "jpeg")
+
+
+@query(f"""WITH {_K}, c AS (SELECT p_partkey, {_drawn_sql(_TARGETS)} AS format, {_drawn_sql(_COLORS, 'twelfth')} AS color FROM k)
+SELECT p_partkey, format, color, CASE WHEN format = 'netpbm' THEN CASE color WHEN 'Gray8' THEN 'pgm' WHEN 'Rgb8' THEN 'ppm' ELSE 'pam' END WHEN format = 'farbfeld' THEN 'ff' WHEN format = 'jpeg' THEN 'jpg' ELSE format END AS extension,
+  CASE WHEN format = 'ico' THEN 'Rgba8' WHEN format = 'farbfeld' THEN 'Rgba16' WHEN format IN ('qoi', 'gif') AND color = 'Gray8' THEN 'Rgb8' WHEN format IN ('qoi', 'gif') AND color = 'GrayAlpha8' THEN 'Rgba8' ELSE color END AS prepared FROM c""")
 def encoder_layouts(spark, sf_dir):
-    rows = fm.color_dim(spark).select("color", F.explode(F.array(*[F.lit(x) for x in ("netpbm", "ico", "qoi", "gif", "farbfeld", "jpeg")])).alias("format"))
-    return rows.select("format", "color", fm.output_extension(c("format"), c("color")).alias("extension"), fm.prepared_color(c("format"), c("color")).alias("prepared"))
+    rows = _parts(spark, sf_dir).select("p_partkey", _drawn(_TARGETS, c("p_partkey")).alias("format"), _drawn(_COLORS, c("twelfth")).alias("color"))
+    return rows.select("p_partkey", "format", "color", fm.output_extension(c("format"), c("color")).alias("extension"), fm.prepared_color(c("format"), c("color")).alias("prepared"))
 
 
-@query("""SELECT level::INT AS level, fast, CASE WHEN level = 0 THEN 'Uncompressed' WHEN fast AND level <= 4 OR NOT fast AND level <= 3 THEN 'Fast' WHEN fast OR level <= 7 THEN 'Default' ELSE 'Best' END AS compression,
-  CASE WHEN fast THEN 'Sub' WHEN level = 0 THEN 'NoFilter' WHEN level <= 7 THEN 'Sub' ELSE 'Adaptive' END AS filter FROM range(10) AS r(level), (VALUES (true), (false)) AS b(fast)""")
+@query(f"""WITH {_K}, l AS (SELECT p_partkey, p_size % 10 AS level, p_partkey % 2 = 0 AS fast FROM k)
+SELECT p_partkey, level, fast, CASE WHEN level = 0 THEN 'Uncompressed' WHEN fast AND level <= 4 OR NOT fast AND level <= 3 THEN 'Fast' WHEN fast OR level <= 7 THEN 'Default' ELSE 'Best' END AS compression,
+  CASE WHEN fast THEN 'Sub' WHEN level = 0 THEN 'NoFilter' WHEN level <= 7 THEN 'Sub' ELSE 'Adaptive' END AS filter FROM l""")
 def png_settings(spark, sf_dir):
-    rows = spark.range(10).select(c("id").cast("int").alias("level"), F.explode(F.array(F.lit(True), F.lit(False))).alias("fast"))
-    return rows.withColumn("p", fm.png_settings(c("level"), c("fast"))).select("level", "fast", "p.compression", "p.filter")
+    rows = _parts(spark, sf_dir).select("p_partkey", (c("p_size") % 10).alias("level"), (c("p_partkey") % 2 == 0).alias("fast"))
+    return rows.withColumn("p", fm.png_settings(c("level"), c("fast"))).select("p_partkey", "level", "fast", "p.compression", "p.filter")
+
+
+_PRESETS_SQL = """v AS (SELECT * FROM (VALUES
+  (0, 'FastLossless', '极速无损', '零画质损失，最快速度优先，优化无损编码', 100, 1, True, 'Original'),
+  (1, 'Balanced', '智能均衡', '推荐！画质与体积的最佳平衡，肉眼几乎无法分辨', 82, 3, True, 'Max2560'),
+  (2, 'MaxSaving', '极限压缩', '体积大幅缩小 70%~90%，适合对大小要求严苛的场景', 65, 7, False, 'Max1920'),
+  (3, 'Custom', '自定义', '完全自由配置质量、格式、尺寸与压缩算法', 80, 3, True, 'Original')) AS v(n, preset, name, hint, quality, png_level, fast, downscale))"""
+_PRESET_IDS = ("FastLossless", "Balanced", "MaxSaving", "Custom")
 
 
-@query("""SELECT * FROM (VALUES
-  ('FastLossless', '极速无损', '零画质损失，最快速度优先，优化无损编码', 100, 1, True, 'Original'),
-  ('Balanced', '智能均衡', '推荐！画质与体积的最佳平衡，肉眼几乎无法分辨', 82, 3, True, 'Max2560'),
-  ('MaxSaving', '极限压缩', '体积大幅缩小 70%~90%，适合对大小要求严苛的场景', 65, 7, False, 'Max1920'),
-  ('Custom', '自定义', '完全自由配置质量、格式、尺寸与压缩算法', 80, 3, True, 'Original')) AS v(preset, name, hint, quality, png_level, fast, downscale)""")
+@query(f"WITH {_K}, {_PRESETS_SQL} SELECT p_partkey, preset, name, hint, quality, png_level, fast, downscale FROM k JOIN v ON n = p_partkey % 4")
 def compress_presets(spark, sf_dir):
-    rows = [(k, *PRESETS[k], o.quality, o.png_level, o.png_fast_mode, o.downscale.kind) for k in PRESETS for o in [CompressOptions.from_preset(k)]]
-    return spark.createDataFrame(rows, "preset string, name string, hint string, quality int, png_level int, fast boolean, downscale string")
+    preset = c("preset")
+    (name, hint), values = O.preset_texts(preset), O.preset_values(preset)
+    return _parts(spark, sf_dir).select("p_partkey", _drawn(_PRESET_IDS, c("p_partkey")).alias("preset")).select("p_partkey", "preset", name.alias("name"), hint.alias("hint"), *[v.alias(n) for v, n in zip(values, ("quality", "png_level", "fast", "downscale"), strict=True)])
 
 
-@query("SELECT * FROM (VALUES ('FastLossless', 100, 1, 'Webp', 'x'), ('Balanced', 82, 3, 'Webp', 'x'), ('MaxSaving', 65, 7, 'Webp', 'x'), ('Custom', 11, 9, 'Webp', 'x')) AS v(preset, quality, png_level, strategy, folder)")
+@query(f"WITH {_K}, {_PRESETS_SQL} SELECT p_partkey, preset, CASE preset WHEN 'Custom' THEN p_size * 2 ELSE quality END AS quality, CASE preset WHEN 'Custom' THEN p_size % 10 ELSE png_level END AS png_level, CASE preset WHEN 'Custom' THEN p_size % 2 = 1 ELSE fast END AS fast, CASE preset WHEN 'Custom' THEN 'Scale50' ELSE downscale END AS downscale FROM k JOIN v ON n = p_partkey % 4")
 def applied_presets(spark, sf_dir):
-    start = CompressOptions(quality=11, png_level=9, format_strategy="Webp", output_dir="x")
-    rows = [(o.preset, o.quality, o.png_level, o.format_strategy, o.output_dir) for o in (start.apply_preset(k) for k in PRESETS)]
-    return spark.createDataFrame(rows, "preset string, quality int, png_level int, strategy string, folder string")
+    rows = _parts(spark, sf_dir).select("p_partkey", "p_size", _drawn(_PRESET_IDS, c("p_partkey")).alias("preset"))
+    values = O.apply_preset(c("preset"), c("p_size") * 2, c("p_size") % 10, c("p_size") % 2 == 1, F.lit("Scale50"))
+    return rows.select("p_partkey", "preset", *[v.alias(n) for v, n in zip(values, ("quality", "png_level", "fast", "downscale"), strict=True)])
 
 
-@query("SELECT 90 AS quality, 1 AS png_level, true AS fast, 'Bilinear' AS resize_mode, 'qoi' AS target, 'KeepOriginal' AS naming, false AS overwrite, 'Balanced' AS preset, true AS keep_history, true AS round_trip, true AS identity")
+@query(f"WITH {_K} SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE p_size END AS quality, CASE WHEN p_partkey % 5 = 4 THEN NULL WHEN p_partkey % 5 >= 2 THEN p_size % 10 ELSE 1 END AS png_level, CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE p_partkey % 5 <> 3 END AS fast FROM k")
 def option_defaults(spark, sf_dir):
-    config, encode = Config(), EncodeOptions()
-    same = config.adopt(config.convert_options()) == config and Config.from_json(config.to_json()) == config
-    o = ConvertOptions(config.target_format)
-    return spark.createDataFrame([(encode.quality, encode.png_compression_level, encode.png_fast_mode, o.transform.resize_mode, o.target, o.naming, o.overwrite, config.compress.preset, config.keep_history, same, o.transform.is_identity)], "quality int, png_level int, fast boolean, resize_mode string, target string, naming string, overwrite boolean, preset string, keep_history boolean, round_trip boolean, identity boolean")
+    """Stored encoding options of several ages: what they leave out has its default, what isn't JSON has none."""
+    n, size = c("p_partkey") % 5, c("p_size").cast("string")
+    level = F.concat(F.lit(', "png_compression_level": '), (c("p_size") % 10).cast("string"))
+    body = F.concat(F.lit('{"quality": '), size, F.when(n >= 2, level).otherwise(""), F.when(n == 3, ', "png_fast_mode": false').otherwise(""), F.when(n == 4, "").otherwise("}"))
+    rows = _parts(spark, sf_dir).select("p_partkey", F.when(n == 4, "{").otherwise(body).alias("text")).withColumn("o", O.encode_options(c("text")))
+    return rows.select("p_partkey", c("o.quality").alias("quality"), c("o.png_compression_level").alias("png_level"), c("o.png_fast_mode").alias("fast"))
 
 
-@query("SELECT cpus::INT AS cpus, least(greatest(cpus, 1), 8)::INT AS workers FROM range(0, 20) AS r(cpus)")
+@query(f"WITH {_K} SELECT p_partkey, p_size - 20 AS cpus, least(greatest(p_size - 20, 1), 8)::INT AS workers FROM k")
 def worker_defaults(spark, sf_dir):
-    return spark.createDataFrame([(n, default_workers(n)) for n in range(20)], "cpus int, workers int")
+    return _parts(spark, sf_dir).select("p_partkey", (c("p_size") - 20).alias("cpus")).withColumn("workers", O.default_workers(c("cpus")))
 
 
-@query(f"WITH {FORMATS_SQL}, s AS (SELECT unnest(['KeepOriginal', 'Webp', 'Jpeg']) AS strategy) SELECT id, strategy, CASE strategy WHEN 'Webp' THEN 'webp' WHEN 'Jpeg' THEN 'jpeg' ELSE CASE WHEN registry_no IS NOT NULL AND id <> 'svg' THEN id ELSE 'png' END END AS target FROM f, s")
+_STRATEGIES = ("KeepOriginal", "Webp", "Jpeg")
+
+
+@query(f"WITH {FORMATS_SQL}, {_K} SELECT p_partkey, id, {_drawn_sql(_STRATEGIES, 'twelfth')} AS strategy, CASE {_drawn_sql(_STRATEGIES, 'twelfth')} WHEN 'Webp' THEN 'webp' WHEN 'Jpeg' THEN 'jpeg' ELSE CASE WHEN registry_no IS NOT NULL AND id <> 'svg' THEN id ELSE 'png' END END AS target FROM k JOIN f ON enum_no = p_partkey % 12")
 def compress_targets(spark, sf_dir):
-    rows = fm.format_dim(spark).select("id", F.explode(F.array(F.lit("KeepOriginal"), F.lit("Webp"), F.lit("Jpeg"))).alias("strategy"))
+    rows = _parts(spark, sf_dir).select("p_partkey", _drawn(_FORMAT_IDS, c("p_partkey")).alias("id"), _drawn(_STRATEGIES, c("twelfth")).alias("strategy"))
     return rows.withColumn("target", S.compress_target(c("strategy"), c("id"), fm.REGISTRY))
 
 
-@query(f"WITH {FORMATS_SQL} SELECT id, CASE WHEN id IN ('png', 'qoi') THEN id ELSE 'png' END AS target FROM f")
+@query(f"WITH {FORMATS_SQL}, {_K} SELECT p_partkey, id, CASE WHEN id IN ('png', 'qoi') THEN id ELSE 'png' END AS target FROM k JOIN f ON enum_no = p_partkey % 12")
 def effective_targets(spark, sf_dir):
-    return fm.format_dim(spark).select("id", fm.effective_target(c("id"), ("png", "qoi")).alias("target"))
+    return _parts(spark, sf_dir).select("p_partkey", _drawn(_FORMAT_IDS, c("p_partkey")).alias("id")).withColumn("target", fm.effective_target(c("id"), ("png", "qoi")))
 
 
 @query("SELECT p_partkey, least(greatest(p_size * 3 - 20, 1), 64)::INT AS workers, least(greatest(p_size * 4 - 30, 1), 100)::INT AS quality, least(p_size, 9)::INT AS level, CASE WHEN p_size % 5 = 0 THEN NULL ELSE least(p_size * 997, 20000) || 'x' || least(p_size * 13, 20000) END AS resize FROM part")
 def config_ranges(spark, sf_dir):
-    limits = {x: Config(max_workers=x * 3 - 20, encode=EncodeOptions(x * 4 - 30, x), transform=TransformOptions(resize=(x * 997, 0 if x % 5 == 0 else x * 13))).normalised() for x in range(1, 51)}
-    row = lambda f: fm.lookup(c("p_size"), {x: f(k) for x, k in limits.items() if f(k) is not None})
-    return T.table(spark, sf_dir, "part").select("p_partkey", row(lambda k: k.max_workers).alias("workers"), row(lambda k: k.encode.clamped_quality).alias("quality"), row(lambda k: k.encode.png_compression_level).alias("level"), row(lambda k: k.transform.resize and "x".join(map(str, k.transform.resize))).alias("resize"))
+    size = O.resize(c("p_size") * 997, F.when(c("p_size") % 5 == 0, 0).otherwise(c("p_size") * 13))
+    rows = _parts(spark, sf_dir).withColumn("size", size)
+    return rows.select("p_partkey", O.workers(c("p_size") * 3 - 20).alias("workers"), O.quality(c("p_size") * 4 - 30).alias("quality"), O.png_level(c("p_size")).alias("level"), F.concat(c("size.width").cast("string"), F.lit("x"), c("size.height").cast("string")).alias("resize"))
+
+
+_LEVELS = ("OFF", "Error", "warn", "INFO", "debug", "Trace", "loud", "")
 
 
-@query("SELECT word, CASE WHEN lower(word) IN ('off', 'error', 'warn', 'info', 'debug', 'trace') THEN lower(word) ELSE 'warn' END AS level FROM (SELECT unnest(['OFF', 'Error', 'warn', 'INFO', 'debug', 'Trace', 'loud', '']) AS word)")
+@query(f"WITH {_K}, w AS (SELECT p_partkey, {_drawn_sql(_LEVELS)} AS word FROM k) SELECT p_partkey, word, CASE WHEN lower(word) IN ('off', 'error', 'warn', 'info', 'debug', 'trace') THEN lower(word) ELSE 'warn' END AS level FROM w")
 def log_levels(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in ("OFF", "Error", "warn", "INFO", "debug", "Trace", "loud", "")], "word string").select("word", S.log_level(c("word")).alias("level"))
+    return _parts(spark, sf_dir).select("p_partkey", _drawn(_LEVELS, c("p_partkey")).alias("word")).withColumn("level", S.log_level(c("word")))
 
 
-@query("SELECT * FROM (VALUES (' Batch ', 'batch'), ('HISTORY', 'history'), ('压缩', 'compress'), ('设 置', NULL), ('', NULL)) AS v(word, view)")
+@query(f"WITH {_K}, v AS (SELECT * FROM (VALUES (0, ' Batch ', 'batch'), (1, 'HISTORY', 'history'), (2, '压缩', 'compress'), (3, '设 置', NULL), (4, '', NULL)) AS v(n, word, view)) SELECT p_partkey, word, view FROM k JOIN v ON n = p_partkey % 5")
 def view_lookup(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in (" Batch ", "HISTORY", "压缩", "设 置", "")], "word string").select("word", S.view_of(c("word")).alias("view"))
+    return _parts(spark, sf_dir).select("p_partkey", _drawn((" Batch ", "HISTORY", "压缩", "设 置", ""), c("p_partkey")).alias("word")).withColumn("view", S.view_of(c("word")))
 
 
-@query("SELECT * FROM (VALUES ('none', true, '无变换'), ('mode', true, '无变换'), ('all', false, '缩放至 4×2(最近邻)、灰度、水平镜像、垂直镜像、顺时针 90°、颜色模式 真彩色')) AS v(kind, identity, summary)")
+@query(f"""WITH {_K}, o AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size END AS w, p_size + 1 AS h, p_partkey % 2 = 0 AS nearest, p_size % 5 = 0 AS gray, p_size % 7 = 0 AS hor, p_partkey % 11 = 0 AS ver, p_partkey % 4 AS r, twelfth % 5 AS col FROM k)
+SELECT p_partkey, w IS NULL AND NOT gray AND NOT hor AND NOT ver AND r = 0 AND col = 4 AS identity, CASE WHEN w IS NULL AND NOT gray AND NOT hor AND NOT ver AND r = 0 AND col = 4 THEN '无变换' ELSE array_to_string(list_filter([
+  CASE WHEN w IS NOT NULL THEN '缩放至 ' || w || '×' || h || '(' || CASE WHEN nearest THEN '最近邻' ELSE '双线性' END || ')' END, CASE WHEN gray THEN '灰度' END, CASE WHEN hor THEN '水平镜像' END, CASE WHEN ver THEN '垂直镜像' END,
+  CASE r WHEN 1 THEN '顺时针 90°' WHEN 2 THEN '顺时针 180°' WHEN 3 THEN '顺时针 270°' END, '颜色模式 ' || CASE col WHEN 0 THEN '灰度' WHEN 1 THEN '灰度+透明' WHEN 2 THEN '真彩色' WHEN 3 THEN '真彩色+透明' END], lambda x: x IS NOT NULL), '、') END AS summary FROM o""")
 def transform_summaries(spark, sf_dir):
-    rows = {"none": TransformOptions(), "mode": TransformOptions(resize_mode="Nearest"), "all": TransformOptions((4, 2), "Nearest", True, True, True, "Deg90", "Rgb8")}
-    return spark.createDataFrame([(k, o.is_identity, o.summary()) for k, o in rows.items()], "kind string, identity boolean, summary string")
+    k, size = c("p_partkey"), c("p_size")
+    to = F.when(size % 3 == 0, F.struct(size.alias("width"), (size + 1).alias("height")))
+    steps = (size % 5 == 0, size % 7 == 0, k % 11 == 0, _drawn(("None", "Deg90", "Deg180", "Deg270"), k), F.when(c("twelfth") % 5 != 4, _drawn((*_COLORS, ""), c("twelfth"))))
+    return _parts(spark, sf_dir).select("p_partkey", O.is_identity(to, *steps).alias("identity"), O.transform_summary(to, F.when(k % 2 == 0, "Nearest").otherwise("Bilinear"), *steps).alias("summary"))
+
+
+_TEXTS_SQL = """v AS (SELECT * FROM (VALUES
+  (0, 'UnknownFormat', '无法识别的文件格式', false),
+  (1, 'UnsupportedFormat', '不支持的格式:', true),
+  (2, 'Corrupt', '数据损坏:', true),
+  (3, 'UnsupportedFeature', '暂不支持的特性:', true),
+  (4, 'InvalidPath', '路径无效:', true),
+  (5, 'Io', '文件读写失败:', true),
+  (6, 'Config', '配置错误:', true),
+  (7, 'Serialize', '数据序列化失败:', true)) AS v(n, kind, head, told))"""
+
+
+@query(f"WITH {_K}, {_TEXTS_SQL} SELECT p_partkey, kind, head || CASE WHEN told THEN p_name ELSE '' END AS message FROM k JOIN v ON n = p_partkey % 8")
+def error_texts(spark, sf_dir):
+    rows = _parts(spark, sf_dir).select("p_partkey", "p_name", _drawn(("UnknownFormat", "UnsupportedFormat", "Corrupt", "UnsupportedFeature", "InvalidPath", "Io", "Config", "Serialize"), c("p_partkey")).alias("kind"))
+    return rows.select("p_partkey", "kind", S.error_text(c("kind"), c("p_name")).alias("message"))
 
 
 _LIMITS = ("Original", "Max1920", "Max2560", "Scale75", "Scale50", "CustomMax")
@@ -441,19 +531,6 @@ def preflight_checks(spark, sf_dir):
     return rows.select("id", "w", "h", S.error_text(kind, detail).alias("error"))
 
 
-@query("""SELECT * FROM (VALUES
-  ('UnknownFormat', '无法识别的文件格式'),
-  ('UnsupportedFormat', '不支持的格式:x'),
-  ('Corrupt', '数据损坏:x'),
-  ('UnsupportedFeature', '暂不支持的特性:x'),
-  ('InvalidPath', '路径无效:x'),
-  ('Io', '文件读写失败:x'),
-  ('Config', '配置错误:x'),
-  ('Serialize', '数据序列化失败:x')) AS v(kind, message)""")
-def error_texts(spark, sf_dir):
-    return spark.createDataFrame([(k,) for k in S.ERRORS], "kind string").select("kind", S.error_text(c("kind"), F.lit("x")).alias("message"))
-
-
 # pixels ------------------------------------------------------------------------
 
 
