@@ -1,13 +1,16 @@
 """Best-fit packing with lower-bound certificates.
 
 Documents are tokenised once; what leaves that scan is a row of numbers for each piece.
-Full pieces are sequences of their own. The others go to groups of bounded size by a
-hash of the row, and each group is packed by best-fit decreasing. A lower bound from dual
-feasible functions certifies the group's count of sequences. Groups with a gap, and
-all sparsely filled sequences, give their documents to the next round, where documents of
-different groups meet and are packed again; a round is kept only where it saves
-sequences. Rounds end when the released documents meet their bound in one group or no
-sequence is saved.
+Full pieces are sequences of their own. The others go to partitions of bounded size by a
+hash of the row, and each is packed by best-fit decreasing. A lower bound from dual
+feasible functions certifies the partition's count of sequences. Partitions with a gap release all their
+sequences but the full ones, the others their sparse ones; what is released meets in one exchange and is packed by
+best-fit decreasing again. If a gap to the bound of all documents stays, all of them meet once
+more. A result is kept only where it saves sequences.
+
+Best-fit decreasing needs no more than how many documents there are of each length, fewer than ``most`` numbers. So an
+exchange collects these counts alone and packs them as patterns with multiplicities; documents find their
+places in the patterns by their ranks among those of their length, in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -15,18 +18,17 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, documents
 from .shingles import word_hashes, words
 
-#: Documents in a group that one task packs in the first round, and words remembered by a tokenising worker.
-GROUP, WORDS = 8192, 1 << 21
+#: Documents of a partition in the first round, documents ranked together, and words remembered by a tokenising worker.
+GROUP, RANKED, WORDS = 8192, 1 << 16, 1 << 21
 
 
 class _Tokens:
@@ -153,66 +155,146 @@ def best_fit(sizes: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def best_fit_counts(counts: dict[int, int], most: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """Best-fit decreasing over counts of sizes: (how many sequences, [(size, copies, offset)]) of each pattern.
+
+    Documents of one size fill the tightest sequences one after the other, each as far as it goes, so sequences that look
+    alike are handled at once; a size splits at most two patterns.
+    """
+    open_: dict[int, list[tuple[int, list]]] = {}
+    rooms, done = 0, []
+
+    def put(room: int, n: int, items: list) -> None:
+        nonlocal rooms
+        if not n:
+            return
+        if room:
+            open_.setdefault(room, []).append((n, items))
+            rooms |= 1 << room
+        else:
+            done.append((n, items))
+
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            fits = rooms >> size
+            if fits:
+                room = size + (fits & -fits).bit_length() - 1
+                there, items = open_[room].pop()
+                if not open_[room]:
+                    rooms &= ~(1 << room)
+            else:
+                room, there, items = most, left, []
+            each = room // size
+            used = min(there, left // each)
+            put(room - each * size, used, [*items, (size, each, most - room)])
+            left -= used * each
+            there -= used
+            if there and left and left < each:
+                put(room - left * size, 1, [*items, (size, left, most - room)])
+                left, there = 0, there - 1
+            if items:
+                put(room, there, items)
+    return done + [p for patterns in open_.values() for p in patterns]
+
+
+def _placed(rows: DataFrame, counts: dict[int, int], patterns: list[tuple[int, list[tuple[int, int, int]]]], turn: int) -> DataFrame:
+    """(_row, length, sequence_id, offset, loose): rows (_row, length) at their places in the patterns, by rank within their length."""
+    segments: dict[int, list[tuple[int, int, int, int]]] = {}
+    upto, sequence = dict.fromkeys(counts, 0), 0
+    for n, items in patterns:
+        for size, copies, offset in items:
+            segments.setdefault(size, []).append((upto[size], sequence, copies, offset))
+            upto[size] += n * copies
+        sequence += n
+    tables = {size: np.array(x, np.int64).T for size, x in segments.items()}
+    salts = max(1, -(-sum(counts.values()) // RANKED))
+    salted = rows.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(salts)).alias("s"))
+    within = F.row_number().over(Window.partitionBy("length", "s").orderBy("_row")) - 1
+    before = salted.groupBy("length", "s").agg(F.count("*").alias("n"))
+    before = before.select("length", "s", (F.sum("n").over(Window.partitionBy("length").orderBy("s")) - F.col("n")).alias("before"))
+    ranked = salted.withColumn("within", within).join(before, ["length", "s"]).select("_row", "length", (F.col("within") + F.col("before")).alias("rank"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, rank = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            ids, offsets = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+            for x in np.unique(size):
+                at = np.flatnonzero(size == x)
+                first, base, copies, offset = tables[int(x)]
+                k = np.searchsorted(first, rank[at], side="right") - 1
+                ahead = rank[at] - first[k]
+                ids[at], offsets[at] = base[k] + ahead // copies[k], offset[k] + ahead % copies[k] * x
+            columns = [batch.column(0), batch.column(1), (np.int64(turn) << np.int64(56)) + ids, offsets, np.ones(len(size), bool)]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["_row", "length", "sequence_id", "offset", "loose"])
+
+    return ranked.mapInArrow(run, "_row long, length long, sequence_id long, offset long, loose boolean")
+
+
+def _counts(rows: DataFrame) -> dict[int, int]:
+    """How many rows there are of each length: as many numbers as there are lengths."""
+    return {int(r["length"]): int(r["n"]) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
+
+
+def _bound(counts: dict[int, int], most: int) -> int:
+    values = np.array(sorted(counts), np.int64)
+    return lower_bound(values, most, np.array([counts[v] for v in values.tolist()], np.int64)) if counts else 0
+
+
 def pack(rows: DataFrame, most: int = 4096, group: int = GROUP) -> DataFrame:
     """``rows`` (any columns, one of them length of 1 to ``most``) with sequence_id and offset.
 
-    Rows of a sequence lie gapless from 0. Ties and repeated rows are packed each. An
-    empty table gives none.
+    Rows of a sequence lie gapless from 0. Ties and repeated rows are packed each, rows of any width; columns of
+    ``rows`` named sequence_id or offset are replaced, all others stay as they are. An empty table gives none.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark)
-    rows = rows.drop("_row").withColumn("_row", F.monotonically_increasing_id())
+    named = [c for c in rows.columns if c.lower() not in ("sequence_id", "offset")]
+    # the columns travel as one struct, so that no name of theirs meets one of this function's
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in named]).alias("its"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("_row"))
     rows = scratch.cut(rows, "pieces")
-    full = rows.where(F.col("length") == most).select("*", (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    settled = []
-    open_ = rows.where(F.col("length") < most).select("_row", "length").withColumn("old", F.lit(None).cast("long"))
-    last = None
-    for turn in count():  # each round is run before the next begins
-        n = open_.count() if turn else rows.where(F.col("length") < most).count()
-        if not n:
-            break
-        groups = max(1, -(-n // (group << turn)))  # fewer documents are left, so more of them can meet
-        # sequences that came together stay together, so that an old one can stand
-        key = F.coalesce(F.col("old"), F.col("_row"))
-        dealt = open_.withColumn("g", F.pmod(F.xxhash64(key, F.lit(turn)), F.lit(groups)))
-
-        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            size = table["length"].to_numpy()
-            bins = best_fit(size, most)
-            count, bound = int(bins.max()) + 1, lower_bound(size, most)
-            old = table["old"].to_numpy(zero_copy_only=False)
-            if turn and count >= len(np.unique(old)):
-                bins = np.unique(old, return_inverse=True)[1]
-                count = int(bins.max()) + 1
-            fill = np.bincount(bins, weights=size, minlength=count).astype(np.int64)
-            # what a gap is closed with: the sparsest sequences, and all that are sparse anyway
-            loose = fill < most * 49 // 50
-            if count > bound:
-                loose[np.argsort(fill, kind="stable")[: 64 * (count - bound)]] = True
-            order = np.argsort(bins, kind="stable")
-            upto = np.cumsum(size[order]) - size[order]
-            offset = np.empty(len(size), np.int64)
-            offset[order] = upto - (np.cumsum(fill) - fill)[bins[order]]
-            ids = (np.int64(turn) << np.int64(56)) + (np.int64(key[0].as_py()) << np.int64(24)) + bins
-            return pa.table({"_row": table["_row"], "length": table["length"], "sequence_id": ids, "offset": offset, "loose": loose[bins], "gap": np.full(len(size), count - bound)})
-
-        done = dealt.groupBy("g").applyInArrow(run, "_row long, length long, sequence_id long, offset long, loose boolean, gap long")
-        done = scratch.cut(done, f"round-{turn}")
-        loose = done.where("loose")
-        spare, bins = loose.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
-        # done when the released documents can't need fewer, or all of them met and nothing was saved
-        if not bins or -(-spare // most) >= bins or bins == last and groups == 1:
-            settled.append(done)
+    result = lambda df: df.select("its.*", "sequence_id", "offset")
+    full = rows.where(F.col("length") == most).select("its", (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    open_ = rows.where(F.col("length") < most).select("_row", "length")
+    counts = _counts(open_)
+    if not counts:
+        return result(full)
+    groups = max(1, -(-sum(counts.values()) // group))
+    dealt = open_.withColumn("g", F.pmod(F.xxhash64("_row"), F.lit(groups)))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        size = table["length"].to_numpy()
+        bins = best_fit(size, most)
+        count, bound = int(bins.max()) + 1, lower_bound(size, most)
+        fill = np.bincount(bins, weights=size, minlength=count).astype(np.int64)
+        loose = fill < (most if count > bound else most * 49 // 50)
+        order = np.argsort(bins, kind="stable")
+        upto = np.cumsum(size[order]) - size[order]
+        offset = np.empty(len(size), np.int64)
+        offset[order] = upto - (np.cumsum(fill) - fill)[bins[order]]
+        ids = (np.int64(key[0].as_py()) << np.int64(24)) + bins
+        return pa.table({"_row": table["_row"], "length": table["length"], "sequence_id": ids, "offset": offset, "loose": loose[bins]})
+
+    places = dealt.groupBy("g").applyInArrow(run, "_row long, length long, sequence_id long, offset long, loose boolean")
+    places = scratch.cut(places, "round0")
+    bound = _bound(counts, most)
+    n = places.select("sequence_id").distinct().count()
+    for turn, released in ((1, F.col("loose")), (2, F.lit(True))):
+        if n <= bound:
             break
-        settled.append(done.where("not loose"))
-        open_, last = loose.select("_row", "length", F.col("sequence_id").alias("old")), bins
-    if not settled:
-        return full.drop("_row")
-    places = settled[0]
-    for x in settled[1:]:
-        places = places.unionByName(x)
-    packed = rows.where(F.col("length") < most).join(places.select("_row", "sequence_id", "offset"), "_row")
-    return full.unionByName(packed.select(full.columns)).drop("_row")
+        pool = places.where(released).select("_row", "length", "sequence_id")
+        sizes, had = _counts(pool), pool.select("sequence_id").distinct().count()
+        if not sizes:
+            continue
+        patterns = best_fit_counts(sizes, most)
+        saved = had - sum(k for k, _ in patterns)
+        if saved <= 0:
+            continue
+        places = scratch.cut(places.where(~released).unionByName(_placed(pool, sizes, patterns, turn)), f"round{turn}")
+        scratch.drop(f"round{turn - 1}")
+        n -= saved
+    packed = rows.join(places.select("_row", "sequence_id", "offset"), "_row").select("its", "sequence_id", "offset")
+    return result(full.unionByName(packed))
 
 
 def certificate(packed: DataFrame, most: int = 4096) -> tuple[int, int]:

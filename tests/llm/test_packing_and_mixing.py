@@ -7,7 +7,8 @@ from decimal import Decimal
 import numpy as np
 import pytest
 
-from rasterflow.llm.op2_packing import best_fit, certificate, lower_bound, pack, pack_documents
+from rasterflow.llm import op2_packing
+from rasterflow.llm.op2_packing import best_fit, best_fit_counts, certificate, lower_bound, pack, pack_documents
 from rasterflow.llm.op7_mixing import mix
 
 DOCS = "doc_id long, text string, source string, sequence_id string"
@@ -74,6 +75,49 @@ def test_rounds_go_on_until_all_loose_documents_met(spark):
     assert len(got) <= lower_bound(sizes, 4096) * 1.01
 
 
+def test_best_fit_over_counts_equals_best_fit_over_sizes():
+    rnd = np.random.default_rng(6)
+    for most in (7, 100, 4096):
+        for _ in range(60):
+            sizes = rnd.integers(1, rnd.integers(2, most), rnd.integers(1, 400))
+            values, n = np.unique(sizes, return_counts=True)
+            patterns = best_fit_counts(dict(zip(values.tolist(), n.tolist(), strict=True)), most)
+            assert sum(k for k, _ in patterns) == int(best_fit(sizes, most).max()) + 1
+            got = {}
+            for k, items in patterns:
+                at = 0
+                for size, copies, offset in items:
+                    assert offset == at
+                    at += size * copies
+                    got[size] = got.get(size, 0) + k * copies
+                assert at <= most
+            assert got == dict(zip(values.tolist(), n.tolist(), strict=True))
+    assert len(best_fit_counts({i: 10**9 + i for i in range(1, 4096)}, 4096)) < 3 * 4096
+
+
+def test_exchange_closes_gaps_and_keeps_any_column(spark, monkeypatch):
+    """Many small partitions, each with a gap; ranks are dealt in parts of a few rows."""
+    monkeypatch.setattr(op2_packing, "RANKED", 16)
+    rnd = np.random.default_rng(3)
+    sizes = rnd.integers(1, 4097, 3000).tolist() + [4096] * 3 + [1365] * 900
+    rows = spark.createDataFrame([(i, x, -1, "o", "r", x) for i, x in enumerate(sizes)], "doc_id long, length long, sequence_id long, offset string, _row string, its long")
+    packed = pack(rows, group=40)
+    assert packed.columns == ["doc_id", "length", "_row", "its", "sequence_id", "offset"]
+    got = {}
+    for r in packed.collect():
+        got.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert sizes[r["doc_id"]] == r["length"] == r["its"] and r["_row"] == "r"
+    assert sum(map(len, got.values())) == len(sizes)
+    for parts in got.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    whole = np.array(sizes)
+    assert certificate(packed)[1] <= len(got) <= int(best_fit(whole[whole < 4096], 4096).max()) + 1 + int((whole == 4096).sum())
+
+
 def test_certificate_of_all_rows(spark):
     rnd = random.Random(9)
     sizes = [rnd.randint(1, 4096) for _ in range(800)]
