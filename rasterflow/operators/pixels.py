@@ -23,6 +23,30 @@ def rotate(px: DataFrame, angle: str) -> DataFrame:
     return px.withColumns(dict(zip(("x", "y", "w", "h"), new, strict=True)))
 
 
+def placed(px: DataFrame, angle: str = "None", horizontal: bool = False, vertical: bool = False, width: int | None = None, height: int | None = None) -> DataFrame:
+    """Rotation, both flips and nearest resizing in one projection, in the fixed order of a transform.
+
+    The first three are one map of whole numbers, x' = a x + b y + c, y' = d x + e y + f, whose offsets are sides less one. With a
+    size, each source place is copied to the run of target places that read it; no size or a zero side keeps the image's.
+    """
+    # rows of (x, y, width - 1, height - 1) that make up x and y; a flip subtracts from the side that holds then
+    x, y, sides = {"None": ((1, 0, 0, 0), (0, 1, 0, 0), "wh"), "Deg90": ((0, -1, 0, 1), (1, 0, 0, 0), "hw"), "Deg180": ((-1, 0, 1, 0), (0, -1, 0, 1), "wh"), "Deg270": ((0, 1, 0, 0), (-1, 0, 1, 0), "hw")}[angle]
+    flipped = lambda row, side: tuple((side == s) - v for v, s in zip(row, ("x", "y", "w", "h"), strict=True))
+    x = flipped(x, sides[0]) if horizontal else x
+    y = flipped(y, sides[1]) if vertical else y
+    terms = (C("x"), C("y"), C("w") - 1, C("h") - 1)
+    moved = lambda row: sum((t if v > 0 else -t for v, t in zip(row, terms, strict=True) if v), F.lit(0))
+    new = {"x": moved(x), "y": moved(y), "w": C(sides[0]), "h": C(sides[1])}
+    if not width or not height:
+        return px.withColumns(new)
+    # target places t of a source place s have s * to <= (t + 1/2) * side < (s + 1) * to
+    first = lambda at, side, to: F.ceil((at * (2 * to) - side) / (side * 2))
+    run = lambda at, side, to: F.sequence(F.greatest(first(at, side, to), F.lit(0)), F.least(first(at + 1, side, to), F.lit(to)))
+    across, down = run(new["x"], new["w"], width), run(new["y"], new["h"], height)
+    out = px.withColumn("_y", F.explode(F.slice(down, 1, F.size(down) - 1))).withColumn("_x", F.explode(F.slice(across, 1, F.size(across) - 1)))
+    return out.withColumns({"x": C("_x").cast("int"), "y": C("_y").cast("int"), "w": F.lit(width), "h": F.lit(height)}).drop("_x", "_y")
+
+
 def flip_horizontal(px: DataFrame) -> DataFrame:
     return px.withColumn("x", C("w") - 1 - C("x"))
 

@@ -126,6 +126,24 @@ def history_append(spark, sf_dir):
     return H.append(h.select("seq", "input"), new)
 
 
+@query(f"""WITH {T.HISTORY}, g AS (SELECT *, CASE WHEN seq < n / 3 THEN 2 WHEN seq < 2 * n / 3 THEN 0 ELSE 1 END AS turn FROM h, (SELECT count(*) AS n FROM h)),
+r AS (SELECT row_number() OVER (ORDER BY turn, seq) - 1 AS seq, input, output, output_bytes::BIGINT AS output_bytes, success FROM g) SELECT * FROM r ORDER BY seq DESC LIMIT {H.KEPT}""")
+def history_kept(spark, sf_dir):
+    """The history appended in three parts to a table with snapshots, compacted and read again."""
+    import uuid
+
+    from ..sources.history_table import HistoryTable
+    from ..sources.shared import shared_folder
+
+    h = T.history(spark, sf_dir).withColumn("timestamp_raw", c("timestamp").cast("string"))
+    n = h.count()
+    table = HistoryTable(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}")
+    for low, high in ((n / 3, 2 * n / 3), (2 * n / 3, n + 1), (-1, n / 3)):
+        table.append(h.where((c("seq") >= low) & (c("seq") < high)))
+    table.compact()
+    return table.read().select("seq", "input", "output", "output_bytes", "success")
+
+
 @query(f"WITH {T.HISTORY} SELECT {_TOTALS} FROM h WHERE false")
 def history_clear(spark, sf_dir):
     return H.totals(H.clear(T.history(spark, sf_dir)))
@@ -578,6 +596,12 @@ def transform_order(spark, sf_dir):
     return _flat(P.resize_nearest(px, 4, 4))
 
 
+@query(f"WITH {T.RASTER}, m AS (SELECT asset_id, w - 1 - x AS x, h - 1 - (w - 1 - y) AS y, c0 FROM (SELECT asset_id, y AS x, w - 1 - x AS y, w, h, c0 FROM px)) SELECT asset_id, ty::INT AS y, tx::INT AS x, c0 FROM m, range(5) AS a(ty), range(11) AS b(tx) WHERE y = (ty * 2 + 1) * 8 // 10 AND x = (tx * 2 + 1) * 8 // 22")
+def fused_transform(spark, sf_dir):
+    """Rotation by 270 degrees, both flips and resizing as one projection."""
+    return _flat(P.placed(T.raster(spark, sf_dir), "Deg270", True, True, 11, 5))
+
+
 @query(f"WITH {T.GRADIENT} SELECT asset_id, w, h, y::INT AS y, x::INT AS x, c0, c1, c2 FROM g")
 def gradient_pixels(spark, sf_dir):
     return P.gradient(T.sizes(spark, sf_dir))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import threading
 import uuid
 from collections.abc import Iterable, Iterator
@@ -29,9 +30,11 @@ from pyspark.sql.types import StructType
 from .shared import shared_folder
 
 SCHEMA = "path string, length long, head binary, content binary, error_kind string, error_message string"
-WRITTEN = "path string, bytes long, error_kind string, error_message string"
+WRITTEN = "path string, bytes long, error_kind string, error_message string, wanted string"
 #: Bytes of a head; bytes that opening a file counts for; bytes of a batch; renames at a time.
 HEAD, OPENING, BATCH, RENAMES = 1024, 1 << 16, 16 << 20, 32
+#: Fixed value: the last number tried for a name.
+MOST = 9999
 _KINDS = {"path": pa.string(), "length": pa.int64(), "head": pa.binary(), "content": pa.binary(), "error_kind": pa.string(), "error_message": pa.string()}
 _ERRORS = (OSError, pa.ArrowException, ValueError, TypeError)
 
@@ -130,6 +133,7 @@ class AssetWriter(DataSourceArrowWriter):
 
     staging: str
     columns: list[str] = field(default_factory=list)
+    exclusive: bool = False
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Manifest:
         system, root = opened(self.staging)
@@ -155,7 +159,7 @@ class AssetWriter(DataSourceArrowWriter):
         system, root = opened(self.staging)
         system.create_dir(root, recursive=True)
         with system.open_output_stream(f"{root}/commit.part", compression=None) as f:
-            f.write(json.dumps([m.path for m in messages if m]).encode())
+            f.write(json.dumps({"exclusive": self.exclusive, "manifests": [m.path for m in messages if m]}).encode())
         system.move(f"{root}/commit.part", f"{root}/commit.json")
         publish(self.staging)
 
@@ -175,27 +179,62 @@ def _check(path: str | None) -> None:
     system.create_dir(at.rpartition("/")[0] or "/", recursive=True)
 
 
-def _place(staging: str, row: dict) -> dict:
-    """Moves one attempt file to its place; done already if it is gone."""
+def numbered(path: str, n: int) -> str:
+    """A path with (n) behind its stem; itself for 0."""
+    folder, slash, name = path.rpartition("/")
+    stem, dot, ext = name.rpartition(".")
+    stem, ext = (stem, dot + ext) if stem and dot else (name, "")
+    return f"{folder}{slash}{stem}({n}){ext}" if n else path
+
+
+def _free(source: str, at: str) -> str:
+    """Links a file to the first of its numbered names that nobody has, in one step for each; at once its place if it got one before."""
+    for n in range(MOST + 1):
+        name = numbered(at, n)
+        try:
+            os.link(source, name)
+            return name
+        except FileExistsError:
+            if os.path.samefile(source, name):
+                return name
+    raise FileExistsError(at)
+
+
+def _place(staging: str, row: dict, exclusive: bool = False) -> dict:
+    """Moves one attempt file to its place; done already if it is gone. ``exclusive`` takes no name that is there."""
+    row = row | {"wanted": row["path"]}
     if row["error_kind"]:
         return row
     try:
         system, root = opened(staging)
         target, at = opened(row["path"])
-        source = f"{root}/{row['attempt']}"
+        source, scheme = f"{root}/{row['attempt']}", row["path"][: len(row["path"]) - len(at)]
         if system.get_file_info(source).type != fs.FileType.File:
             return row
+        beside = f"{at.rpartition('/')[0]}/.{uuid.uuid4().hex}.part"
+        if exclusive and target.type_name == "local":
+            try:
+                at = _free(source, at)
+            except OSError as e:
+                if isinstance(e, FileExistsError):
+                    raise
+                fs.copy_files(source, beside, source_filesystem=system, destination_filesystem=target)  # another device
+                at = _free(beside, at)
+                target.delete_file(beside)
+            system.delete_file(source)
+            return row | {"path": scheme + at}
+        if exclusive:  # stores without links: looked up first, so two jobs at the same moment can still meet
+            at = next((x for n in range(MOST + 1) if target.get_file_info(x := numbered(at, n)).type == fs.FileType.NotFound), at)
         if target.type_name == system.type_name:
             try:
                 target.move(source, at)
-                return row
+                return row | {"path": scheme + at}
             except OSError:  # another device: copied beside its place first
                 pass
-        beside = f"{at.rpartition('/')[0]}/.{uuid.uuid4().hex}.part"
         fs.copy_files(source, beside, source_filesystem=system, destination_filesystem=target)
         target.move(beside, at)
         system.delete_file(source)
-        return row
+        return row | {"path": scheme + at}
     except _ERRORS as e:
         return row | {"bytes": None, "error_kind": "Io", "error_message": str(e)}
 
@@ -204,13 +243,13 @@ def publish(staging: str) -> None:
     """Moves the files of a committed write to their places and stores what became of each; may run again."""
     system, root = opened(staging)
     with system.open_input_stream(f"{root}/commit.json", compression=None) as f:
-        manifests = json.loads(f.read())
+        commit = json.loads(f.read())
     with ThreadPoolExecutor(RENAMES) as pool:
-        for name in manifests:
+        for name in commit["manifests"]:
             with system.open_input_stream(f"{root}/{name}", compression=None) as f, system.open_output_stream(f"{root}/{name}.part", compression=None) as out:
                 lines = iter(f.read().splitlines())
                 while some := [json.loads(line) for _, line in zip(range(1000), lines)]:
-                    for row in pool.map(lambda r: _place(staging, r), some):
+                    for row in pool.map(lambda r: _place(staging, r, commit["exclusive"]), some):
                         out.write(json.dumps({k: v for k, v in row.items() if k != "attempt"}).encode() + b"\n")
             system.create_dir(f"{root}/written", recursive=True)
             system.move(f"{root}/{name}.part", f"{root}/written/{name}")
@@ -236,7 +275,7 @@ def recover(folder: str) -> dict[str, bool]:
 
 
 class AssetSource(DataSource):
-    """Options of reading: path, recursive, head (bytes), partitionBytes. Of writing: staging."""
+    """Options of reading: path, recursive, head (bytes), partitionBytes. Of writing: staging, exclusive."""
 
     @classmethod
     def name(cls) -> str:
@@ -249,7 +288,7 @@ class AssetSource(DataSource):
         return AssetReader(schema, {k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema: StructType, overwrite: bool) -> AssetWriter:
-        return AssetWriter(self.options["staging"], schema.names)
+        return AssetWriter(self.options["staging"], schema.names, self.options.get("exclusive") == "true")
 
 
 _registering = threading.Lock()
@@ -271,8 +310,11 @@ def scan(spark: SparkSession, folder: str, columns: str = "path string, length l
     return spark.read.format("assets").schema(columns).options(**options).load(folder)
 
 
-def write(files: DataFrame, staging: str | None = None) -> DataFrame:
-    """Writes ``files`` (path, content) now, all or none; (path, bytes, error_kind, error_message) of each.
+def write(files: DataFrame, staging: str | None = None, exclusive: bool = False) -> DataFrame:
+    """Writes ``files`` (path, content) now, all or none; (path, bytes, error_kind, error_message, wanted) of each.
+
+    With ``exclusive`` a file never takes a name that is there, whoever put it there meanwhile: it gets the lowest free number behind its
+    stem, and ``path`` is where it stands. Names are taken by creating them, so jobs that run at once share none.
 
     A path that is null, names a folder or can't be written is an error row and doesn't hold up the others. Of rows with one
     path the last to be moved stays. ``staging`` is a folder of the store that the files go to, by default one in the shared folder.
@@ -280,7 +322,7 @@ def write(files: DataFrame, staging: str | None = None) -> DataFrame:
     spark = files.sparkSession
     register(spark)
     staging = f"{staging or shared_folder(spark)}/staging-{uuid.uuid4().hex}"
-    files.select("path", "content").write.format("assets").option("staging", staging).mode("append").save()
+    files.select("path", "content").write.format("assets").options(staging=staging, exclusive=str(exclusive).lower()).mode("append").save()
     system, root = opened(staging)
     system.create_dir(f"{root}/written", recursive=True)  # there is none where there was nothing to write
     return spark.read.schema(WRITTEN).json(f"{staging}/written")

@@ -96,6 +96,31 @@ def test_write_and_read_again(spark, tmp_path):
     assert assets.write(spark.createDataFrame([], "path string, content binary")).count() == 0
 
 
+def test_jobs_at_once_share_no_name(spark, tmp_path):
+    """Four jobs write the same names; a file that is there before keeps its own."""
+    import threading
+
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "3.bin").write_bytes(b"before")
+    results, errors = {}, []
+
+    def job(k):
+        try:
+            rows = spark.createDataFrame([(str(tmp_path / "out" / f"{i}.bin"), b"%d-%d" % (k, i)) for i in range(12)] + [(str(tmp_path / "out" / "same"), b"%d-a" % k), (str(tmp_path / "out" / "same"), b"%d-b" % k)], "path string, content binary")
+            results[k] = {(r["wanted"], r["path"]) for r in assets.write(rows.repartition(3), exclusive=True).collect()}
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=job, args=(k,)) for k in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    given = [p for r in results.values() for _, p in r]
+    assert not errors and len(given) == len(set(given)) == 4 * 14
+    assert (tmp_path / "out" / "3.bin").read_bytes() == b"before"
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"3.bin", *(f"{i}{n}.bin" for i in range(12) for n in ("", "(1)", "(2)", "(3)")), "3(4).bin", "same", *(f"same({n})" for n in range(1, 8))}
+    assert {p.read_bytes() for p in (tmp_path / "out").iterdir()} == {b"before", *(b"%d-%d" % (k, i) for k in range(4) for i in range(12)), *(b"%d-%s" % (k, x) for k in range(4) for x in (b"a", b"b"))}
+
+
 def test_a_failed_job_leaves_nothing(spark, tmp_path):
     def fail(batches):
         for i, b in enumerate(batches):
@@ -141,17 +166,18 @@ def test_a_killed_write_leaves_no_file(spark, tmp_path):
     assert not list(tmp_path.glob("staging-*")) and not list((tmp_path / "out").glob("*"))
 
 
-def test_a_write_killed_behind_its_commit_is_completed(tmp_path, monkeypatch):
+@pytest.mark.parametrize("exclusive", [False, True])
+def test_a_write_killed_behind_its_commit_is_completed(tmp_path, monkeypatch, exclusive):
     import pyarrow as pa
 
     staging = str(tmp_path / "staging-x")
     rows = pa.RecordBatch.from_arrays([pa.array([str(tmp_path / "out" / f"{i}") for i in range(9)]), pa.array([b"abc"] * 9, pa.binary())], ["path", "content"])
-    writer, place = assets.AssetWriter(staging, ["path", "content"]), assets._place
+    writer, place = assets.AssetWriter(staging, ["path", "content"], exclusive), assets._place
 
-    def dies(at, row):
+    def dies(at, row, exclusive):
         if int(row["path"][-1]) >= 4:
             raise KeyboardInterrupt
-        return place(at, row)
+        return place(at, row, exclusive)
 
     monkeypatch.setattr(assets, "_place", dies)
     with pytest.raises(KeyboardInterrupt):

@@ -120,3 +120,27 @@ def test_each_image_has_its_own_size(spark):
     small = by_key(pixels.downscale(px, F.lit("Scale50"), F.lit(1)).collect(), "asset_id")
     assert (small[4][0]["w"], small[4][0]["h"]) == (4, 1) and (small[2][0]["w"], small[2][0]["h"]) == (3, 3)
     assert pixels.resize_bilinear(px.limit(0), 3, 3).count() == 0
+
+
+def test_one_projection_equals_the_steps_and_the_buffers(spark):
+    """All rotations and flips, with and without a size, larger and smaller."""
+    from rasterflow.functions.options import TransformOptions
+
+    w, h = 5, 3
+    image = np.arange(w * h, dtype=np.uint8).reshape(h, w, 1)
+    px = spark.createDataFrame([(1, w, h, y, x, int(image[y, x, 0])) for y in range(h) for x in range(w)], "asset_id int, w int, h int, y int, x int, c0 int")
+    made, wants = None, {}
+    for angle in ("None", "Deg90", "Deg180", "Deg270"):
+        for horizontal in (False, True):
+            for vertical in (False, True):
+                for size in (None, (2, 7), (9, 2), (5, 5)):
+                    name = f"{angle} {horizontal} {vertical} {size}"
+                    wants[name] = raster.transform(image, TransformOptions(size, "Nearest", False, horizontal, vertical, angle)).astype(int)
+                    out = pixels.placed(px, angle, horizontal, vertical, *(size or (None, None))).select(F.lit(name).alias("name"), "w", "h", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "c0")
+                    made = out if made is None else made.unionByName(out)
+    found = by_key(made.collect())
+    assert len(found) == 64
+    for name, want in wants.items():
+        assert len(found[name]) == want.size and (buffer(found[name], 1) == want).all(), name
+    plan = pixels.placed(px, "Deg90", True, False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project") == 1
