@@ -596,7 +596,7 @@ def transform_order(spark, sf_dir):
     return _flat(P.resize_nearest(px, 4, 4))
 
 
-@query(f"WITH {T.RASTER}, m AS (SELECT asset_id, w - 1 - x AS x, h - 1 - (w - 1 - y) AS y, c0 FROM (SELECT asset_id, y AS x, w - 1 - x AS y, w, h, c0 FROM px)) SELECT asset_id, ty::INT AS y, tx::INT AS x, c0 FROM m, range(5) AS a(ty), range(11) AS b(tx) WHERE y = (ty * 2 + 1) * 8 // 10 AND x = (tx * 2 + 1) * 8 // 22")
+@query(f"WITH {T.RASTER}, m AS (SELECT asset_id, w - 1 - x AS x, h - 1 - y AS y, c0 FROM (SELECT asset_id, y AS x, w - 1 - x AS y, w, h, c0 FROM px)) SELECT asset_id, ty::INT AS y, tx::INT AS x, c0 FROM m, range(5) AS a(ty), range(11) AS b(tx) WHERE y = (ty * 2 + 1) * 8 // 10 AND x = (tx * 2 + 1) * 8 // 22")
 def fused_transform(spark, sf_dir):
     """Rotation by 270 degrees, both flips and resizing as one projection."""
     return _flat(P.placed(T.raster(spark, sf_dir), "Deg270", True, True, 11, 5))
