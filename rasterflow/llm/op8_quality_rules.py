@@ -205,8 +205,9 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[t
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
     # what the base rejects needs no rule
     rows = measured(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).where(~base_failed())
-    rows = rows.select("row.doc_id", "row.quality", *[F.expr(_in("stats", v)).cast("double").alias(k) for k, v in RATIOS.items()])
-    found = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["n_words"]))  # at most ``sample`` rows of numbers
+    rows = rows.select("row.doc_id", F.xxhash64("row.doc_id").alias("_order"), "row.quality", *[F.expr(_in("stats", v)).cast("double").alias(k) for k, v in RATIOS.items()])
+    # in order of a hash: ids often go round in turns, and rows for growing and pruning are dealt out in turns as well
+    found = sorted(rows.collect(), key=lambda r: (r["_order"], r["doc_id"], r["n_words"]))  # at most ``sample`` rows of numbers
     return [({k: r[k] for k in RATIOS}, r["quality"] == 0) for r in found]
 
 

@@ -85,3 +85,23 @@ def test_rules_go_on_behind_an_imprecise_one():
     assert all(hit(x) for x, _ in rows if x["upper"] and x["marks"])
     assert sum(hit(x) for x, bad in rows if not bad) <= 0.02 * len(rows)
     assert any(len(rule) > 1 for rule in rules)
+
+
+def test_a_conjunction_on_texts_holds_on_held_out_rows(spark):
+    """Bad texts are short and full of capitals; short ones alone and capitals alone are good, so no single condition tells them."""
+    rnd = random.Random(6)
+    words = "lorem ipsum dolor sit amet consectetur elit sed eiusmod tempor".split()
+
+    def text(i):
+        short, loud = i % 4 in (0, 1), i % 4 in (0, 2)
+        w = [rnd.choice(words) + str(rnd.randrange(9)) for _ in range(rnd.randint(25, 45) if short else rnd.randint(200, 300))]
+        return " ".join(x.upper() if loud and rnd.random() < 0.6 else x for x in w)
+
+    docs = spark.createDataFrame([(i, text(i), "") for i in range(800)], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    rules = learn(labelled(docs, labels))
+    assert any(len(rule) > 1 for rule in rules)
+    judged = {r["doc_id"]: r["kept"] for r in quality(docs, rules).collect() if r["doc_id"] >= 400}
+    dropped = [d for d, kept in judged.items() if not kept]
+    precision, recall = sum(d % 4 == 0 for d in dropped) / len(dropped), sum(d % 4 == 0 for d in dropped) / 100
+    assert precision > 0.95 and recall > 0.95
