@@ -42,11 +42,14 @@ def remove_at(rows: DataFrame, position: int, order: str = "pos") -> DataFrame:
     return rows.where(F.col(order) != position)
 
 
+def searched() -> Column:
+    """What a keyword is looked for in: input, output and message, joined by single blanks and lowered."""
+    return F.lower(F.concat(F.coalesce("input", F.lit("")), F.lit(" "), F.coalesce("output", F.lit("")), F.lit(" "), F.coalesce("message", F.lit(""))))
+
+
 def matches(keyword: str) -> Column:
-    """Rows whose input, output and message, joined by single blanks, hold the keyword in any case."""
-    text = F.lower(F.concat(F.coalesce("input", F.lit("")), F.lit(" "), F.coalesce("output", F.lit("")), F.lit(" "), F.coalesce("message", F.lit(""))))
-    word = F.lower(trim(F.lit(keyword)))
-    return F.contains(text, word)
+    """Rows whose searched text holds the keyword in any case."""
+    return F.contains(searched(), F.lower(trim(F.lit(keyword))))
 
 
 def search(rows: DataFrame, keyword: str) -> DataFrame:

@@ -97,6 +97,22 @@ def history_search(spark, sf_dir):
     return H.displayed(H.search(T.history(spark, sf_dir), "click_1"))
 
 
+_PICKED = "contains(lower(input || ' ' || output || ' ' || message), 'chase_99')"
+
+
+@query(f"WITH {T.HISTORY} {_SHOWN} WHERE {_PICKED}")
+def history_indexed_search(spark, sf_dir):
+    """A keyword search that reads the postings of its trigrams and verifies the rows that have all."""
+    import uuid
+
+    from ..operators import trigrams
+    from ..sources.shared import shared_folder
+
+    h, at = T.history(spark, sf_dir), f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}"
+    trigrams.build(h, at, 8)
+    return H.displayed(trigrams.search(h, at, " CHASE_99"))
+
+
 @query(f"WITH {T.HISTORY} {_SHOWN}")
 def history_display(spark, sf_dir):
     return H.displayed(T.history(spark, sf_dir))
