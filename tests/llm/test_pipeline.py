@@ -163,7 +163,7 @@ def test_clean_labelled_documents_stay(spark):
 def test_queries_equal_their_sql(spark, name):
     got = registry.queries()[name](spark, SMALL)
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels", "conversations", "benchmark"):
+    for table in ("documents", "pages", "labels", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     cur = con.execute(registry.oracle_sql()[name])
     names = [d[0] for d in cur.description]
@@ -175,5 +175,5 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_every_query_is_registered():
     found = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in found if k.startswith("op") and k[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in found if k.startswith("op") and k[2].isdigit()}
     assert "pipeline" in found and len(corpus_pipeline.STAGES) == 5
