@@ -145,7 +145,7 @@ class Batch:
         places = some.select(F.col("path").alias("input"), "place")
         rows = convert.planned(convert.coded(files.read_paths(some.select("path").repartition(parts)), self.options, self.enabled), self.options, known, F.current_timestamp())
         if self.write:
-            put = convert.write(rows, self.options.overwrite).select(F.col("wanted").alias("output"), F.col("path").alias("_path"), F.col("error_kind").alias("_kind"), F.col("error_message").alias("_message")).dropDuplicates(["output"])
+            put = convert.write(rows, self.options.overwrite, f"{self.folder}/writes", f"round-{number}").select(F.col("wanted").alias("output"), F.col("path").alias("_path"), F.col("error_kind").alias("_kind"), F.col("error_message").alias("_message")).dropDuplicates(["output"])
             rows = rows.join(put, "output", "left").withColumns({"output": F.when(F.col("_kind").isNull(), F.coalesce("_path", "output")).otherwise(""), "error_kind": F.coalesce("error_kind", "_kind"), "error_message": F.coalesce("error_message", "_message")}).drop("_path", "_kind", "_message")
         shown = rows.drop("encoded").withColumn("shown", scalars.error_text(F.col("error_kind"), F.col("error_message"))).join(places, "input")
         shown.write.mode("overwrite").parquet(f"{self.folder}/outcomes/round={number}")

@@ -123,12 +123,13 @@ def run_job(spark: SparkSession, paths: DataFrame, options: ConvertOptions | Com
     return planned(coded(contents, options, enabled), options, none if existing is None else existing, stamp if stamp is not None else F.current_timestamp())
 
 
-def write(outcomes: DataFrame, overwrite: bool = True) -> DataFrame:
+def write(outcomes: DataFrame, overwrite: bool = True, staging: str | None = None, job: str | None = None) -> DataFrame:
     """Writes the encoded files of outcomes to their output paths, all or none; what became of each.
 
     Without ``overwrite`` a name that another job took since it was planned is left to it; ``wanted`` has the planned path, ``path`` the one given.
+    A named ``job`` is written once, however often it is called.
     """
-    return assets.write(outcomes.where("error_kind is null").select(F.col("output").alias("path"), F.col("encoded").alias("content")), exclusive=not overwrite)
+    return assets.write(outcomes.where("error_kind is null").select(F.col("output").alias("path"), F.col("encoded").alias("content")), staging=staging, exclusive=not overwrite, job=job)
 
 
 def summaries(outcomes: DataFrame) -> DataFrame:

@@ -221,7 +221,7 @@ def _place(staging: str, row: dict, exclusive: bool = False) -> dict:
                 fs.copy_files(source, beside, source_filesystem=system, destination_filesystem=target)  # another device
                 at = _free(beside, at)
                 target.delete_file(beside)
-            system.delete_file(source)
+            # the attempt file stays until its manifest is stored: a link to it tells later where it went
             return row | {"path": scheme + at}
         if exclusive:  # stores without links: looked up first, so two jobs at the same moment can still meet
             at = next((x for n in range(MOST + 1) if target.get_file_info(x := numbered(at, n)).type == fs.FileType.NotFound), at)
@@ -246,6 +246,8 @@ def publish(staging: str) -> None:
         commit = json.loads(f.read())
     with ThreadPoolExecutor(RENAMES) as pool:
         for name in commit["manifests"]:
+            if system.get_file_info(f"{root}/written/{name}").type == fs.FileType.File:
+                continue  # done by an earlier call
             with system.open_input_stream(f"{root}/{name}", compression=None) as f, system.open_output_stream(f"{root}/{name}.part", compression=None) as out:
                 lines = iter(f.read().splitlines())
                 while some := [json.loads(line) for _, line in zip(range(1000), lines)]:
@@ -310,7 +312,7 @@ def scan(spark: SparkSession, folder: str, columns: str = "path string, length l
     return spark.read.format("assets").schema(columns).options(**options).load(folder)
 
 
-def write(files: DataFrame, staging: str | None = None, exclusive: bool = False) -> DataFrame:
+def write(files: DataFrame, staging: str | None = None, exclusive: bool = False, job: str | None = None) -> DataFrame:
     """Writes ``files`` (path, content) now, all or none; (path, bytes, error_kind, error_message, wanted) of each.
 
     With ``exclusive`` a file never takes a name that is there, whoever put it there meanwhile: it gets the lowest free number behind its
@@ -318,11 +320,17 @@ def write(files: DataFrame, staging: str | None = None, exclusive: bool = False)
 
     A path that is null, names a folder or can't be written is an error row and doesn't hold up the others. Of rows with one
     path the last to be moved stays. ``staging`` is a folder of the store that the files go to, by default one in the shared folder.
+    A ``job`` with a name of its own there is written once: called again, it completes what was committed and returns that.
     """
     spark = files.sparkSession
     register(spark)
-    staging = f"{staging or shared_folder(spark)}/staging-{uuid.uuid4().hex}"
-    files.select("path", "content").write.format("assets").options(staging=staging, exclusive=str(exclusive).lower()).mode("append").save()
+    staging = f"{staging or shared_folder(spark)}/staging-{job or uuid.uuid4().hex}"
     system, root = opened(staging)
+    if job and system.get_file_info(f"{root}/commit.json").type == fs.FileType.File:
+        publish(staging)
+        return spark.read.schema(WRITTEN).json(f"{staging}/written")
+    if job and system.get_file_info(root).type == fs.FileType.Directory:
+        system.delete_dir(root)  # attempts of a call that ended before its commit
+    files.select("path", "content").write.format("assets").options(staging=staging, exclusive=str(exclusive).lower()).mode("append").save()
     system.create_dir(f"{root}/written", recursive=True)  # there is none where there was nothing to write
     return spark.read.schema(WRITTEN).json(f"{staging}/written")
