@@ -14,6 +14,18 @@ from ..functions.scalars import target_size
 from .raster import LUMA
 
 C = F.col
+#: Pixels of a part of images that are dealt out together: some 100 MB of sums while they are resized.
+PART = 1 << 19
+
+
+def by_image(images: DataFrame, pixels: Column) -> DataFrame:
+    """``images`` (asset_id, ...), a row each, dealt out by asset_id to parts of about ``PART`` pixels; ``pixels`` counts those of a row.
+
+    What explodes them to pixels then has tasks that grow in number with the pixels, not with the bytes of a small table, and each
+    image's pixels in one of them: groups by asset_id and more need no further exchange.
+    """
+    n = images.agg(F.sum(pixels.cast("double"))).first()[0] or 0
+    return images.repartition(int(n // PART) + 1, "asset_id")
 
 
 def rotate(px: DataFrame, angle: str) -> DataFrame:
@@ -92,7 +104,7 @@ def resize_bilinear(px: DataFrame, width: Column | int, height: Column | int) ->
     ``width`` and ``height`` may be columns, as each image has a target of its own; null or zero keeps the image's side. A weight of
     the triangle kernel is a whole number of 1 / (2 * the larger side), so the value is an exact fraction, rounded half up at the end. With
     sides up to 16384, sums stay within 64 bits. A source pixel is copied to the few targets that it reaches and
-    summed before the shuffle. Channels c0 to c3 are resized, as far as they are there; other columns but asset_id, w and h go.
+    summed before the shuffle, or without one where images are dealt out ``by_image``. Channels c0 to c3 are resized, as far as they are there; other columns but asset_id, w and h go.
     """
     own = lambda to, side: F.coalesce(F.nullif((to if isinstance(to, Column) else F.lit(to)).cast("long"), F.lit(0).cast("long")), C(side).cast("long"))
     channels = [c for c in ("c0", "c1", "c2", "c3") if c in px.columns]
@@ -164,6 +176,6 @@ def mean_error(a: DataFrame, b: DataFrame, channels: tuple[str, ...] = ("c0",))
 
 def gradient(sizes: DataFrame) -> DataFrame:
     """Pixels of the test image for each (asset_id, w, h)."""
-    px = sizes.withColumn("y", F.explode(F.sequence(F.lit(0), C("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), C("w") - 1)))
+    px = by_image(sizes, C("w").cast("double") * C("h")).withColumn("y", F.explode(F.sequence(F.lit(0), C("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), C("w") - 1)))
     part = lambda v, size: F.floor(v * 255 / F.greatest(size, F.lit(1))).cast("int")
     return px.withColumns({"c0": part(C("x"), C("w")), "c1": part(C("y"), C("h")), "c2": part(C("x") + C("y"), C("w") + C("h"))})
