@@ -2,10 +2,15 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from rasterflow.operators import pixels
+from rasterflow.plans import queries as Q
 
+SMALL = "/root/testdata/sf0.001"
+#: Queries whose pixels come of a table of few bytes.
+IN_PARTS = ["gradient_pixels"]
 BIG = [(i, 300 + i % 5, 200 + i % 3) for i in range(25)]
 
 
@@ -32,3 +37,10 @@ def test_resizing_shuffles_no_pixels(spark, monkeypatch):
     px = pixels.gradient(sizes(spark, [(i, 9 + i % 4, 7 + i % 3) for i in range(40)]))
     small = pixels.downscale(px, F.when(F.col("asset_id") % 2 == 0, "Scale75").otherwise("CustomMax"), F.lit(5))
     assert exchanges(small) == ["hashpartitioning(asset_id"]
+
+
+@pytest.mark.parametrize("name", IN_PARTS)
+def test_pixels_are_made_in_many_tasks(spark, monkeypatch, name):
+    monkeypatch.setattr(pixels, "PART", 5000)
+    px = Q.QUERIES[name](spark, SMALL)
+    assert px.rdd.getNumPartitions() == px.count() // 5000 + 1 > 10
