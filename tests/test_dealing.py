@@ -10,7 +10,7 @@ from rasterflow.plans import queries as Q
 
 SMALL = "/root/testdata/sf0.001"
 #: Queries whose pixels come of a table of few bytes.
-IN_PARTS = ["gradient_pixels", "color_layouts"]
+IN_PARTS = ["gradient_pixels", "color_layouts", "grayscale_pixels"]
 BIG = [(i, 300 + i % 5, 200 + i % 3) for i in range(25)]
 
 
