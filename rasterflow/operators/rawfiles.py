@@ -141,24 +141,25 @@ def _little_hex(v: Column | int, n: int) -> Column:
     return F.concat(*[_hex(F.shiftright(v.cast("long"), 8 * i).bitwiseAND(F.lit(255)), 1) for i in range(n)])
 
 
-def encoded(px: DataFrame, kind: str, key: str = "asset_id") -> DataFrame:
+def encoded(px: DataFrame, kind: str | Column, key: str = "asset_id") -> DataFrame:
     """(key, content): the files of pixel tables (key, w, h, y, x, c0, c1, c2) as 24-bit ``bmp``, ``netpbm`` (P6) or ``farbfeld``.
 
-    Rows of an image are put together apart, so no more than one image's text of one task is held at once.
+    ``kind`` may be a column that is the same in all of an image. A pixel is collected as one whole number, its place above its colour, and becomes text
+    with its line. Rows of an image are put together apart, so no more than one image's text of one task is held at once.
     """
-    w, h = C("w"), C("h")
-    names = ("c2", "c1", "c0") if kind == "bmp" else ("c0", "c1", "c2")
-    one = F.concat(*[F.concat(_hex(C(c), 1), *([_hex(C(c), 1)] if kind == "farbfeld" else [])) for c in names], *([F.lit("FFFF")] if kind == "farbfeld" else []))
-    pad = F.pmod(-(w * 3), F.lit(4)) if kind == "bmp" else F.lit(0)
-    in_order = lambda at, v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at), F.col(v)))), lambda s: s[v]), "")
-    lines = px.withColumn("_p", one).groupBy(key, "w", "h", "y").agg(in_order("x", "_p").alias("_line")).withColumn("_line", F.concat("_line", F.repeat(F.lit("00"), pad.cast("int"))))
-    lines = lines.withColumn("_at", -C("y") if kind == "bmp" else C("y"))
-    head = {
-        "netpbm": F.hex(F.concat(F.lit("P6\n"), w.cast("string"), F.lit(" "), h.cast("string"), F.lit("\n255\n"))),
-        "farbfeld": F.concat(F.hex(F.lit("farbfeld")), _hex(w, 4), _hex(h, 4)),
-        "bmp": F.concat(
+    w, h, bmp, farbfeld = C("w"), C("h"), C("_kind") == "bmp", C("_kind") == "farbfeld"
+    colour = lambda *names: sum((F.shiftleft(C(c).cast("long"), 8 * (2 - i)) for i, c in enumerate(names)), F.lit(0).cast("long"))
+    one = F.shiftleft(C("x").cast("long"), 32) + (1 << 24) + F.when(bmp, colour("c2", "c1", "c0")).otherwise(colour("c0", "c1", "c2"))
+    pad = F.when(bmp, F.pmod(-(w * 3), F.lit(4))).otherwise(0)
+    lines = px.withColumn("_kind", kind if isinstance(kind, Column) else F.lit(kind)).withColumn("_p", one).groupBy(key, "w", "h", "y", "_kind").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
+    line = F.array_join(F.transform("_p", lambda p: F.substring(F.hex(p), -6, 6)), "")
+    line = F.when(farbfeld, F.regexp_replace(line, "(..)(..)(..)", "$1$1$2$2$3$3FFFF")).otherwise(F.concat(line, F.repeat(F.lit("00"), pad.cast("int"))))
+    lines = lines.select(key, "w", "h", "_kind", F.struct(F.when(bmp, -C("y")).otherwise(C("y")).alias("at"), line.alias("line")).alias("_line"))
+    head = F.when(
+        bmp, F.concat(
             F.hex(F.lit("BM")), _little_hex((w * 3 + pad) * h + 54, 4), _little_hex(0, 4), _little_hex(54, 4), _little_hex(40, 4), _little_hex(w, 4), _little_hex(h, 4), _little_hex(1, 2), _little_hex(24, 2),
             _little_hex(0, 4), _little_hex((w * 3 + pad) * h, 4), _little_hex(2835, 4), _little_hex(2835, 4), _little_hex(0, 8),
         ),
-    }[kind]
-    return lines.groupBy(key, "w", "h").agg(in_order("_at", "_line").alias("_body")).select(key, F.unhex(F.concat(head, "_body")).alias("content"))
+    ).when(farbfeld, F.concat(F.hex(F.lit("farbfeld")), _hex(w, 4), _hex(h, 4))).otherwise(F.hex(F.concat(F.lit("P6\n"), w.cast("string"), F.lit(" "), h.cast("string"), F.lit("\n255\n"))))
+    body = F.array_join(C("_lines")["line"], "")
+    return lines.groupBy(key, "w", "h", "_kind").agg(F.sort_array(F.collect_list("_line")).alias("_lines")).select(key, F.unhex(F.concat(head, body)).alias("content"))

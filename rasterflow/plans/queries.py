@@ -689,9 +689,8 @@ _RAW_KINDS = ("bmp", "netpbm", "farbfeld")
 
 def _raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every gradient as a file, the formats taking turns."""
-    px = P.gradient(T.sizes(spark, sf_dir))
-    made = [rawfiles.encoded(px.where(c("asset_id") % 3 == k), kind).withColumn("kind", F.lit(kind)) for k, kind in enumerate(_RAW_KINDS)]
-    return made[0].unionByName(made[1]).unionByName(made[2])
+    kind = F.element_at(F.array(*[F.lit(k) for k in _RAW_KINDS]), (c("asset_id") % 3 + 1).cast("int"))
+    return rawfiles.encoded(P.gradient(T.sizes(spark, sf_dir)), kind).withColumn("kind", kind)
 
 
 _LE = lambda v, n: "".join(f" || printf('%02X', ({v}) // {256**i} % 256)" for i in range(n))[4:]

@@ -44,3 +44,11 @@ def test_pixels_are_made_in_many_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(pixels, "PART", 5000)
     px = Q.QUERIES[name](spark, SMALL)
     assert px.rdd.getNumPartitions() == px.count() // 5000 + 1 > 10
+
+
+@pytest.mark.parametrize("name", ["raw_files"])
+def test_files_are_put_together_where_their_pixels_are(spark, monkeypatch, name):
+    monkeypatch.setattr(pixels, "PART", 5000)
+    made = Q.QUERIES[name](spark, SMALL)
+    assert exchanges(made) == ["hashpartitioning(asset_id"]
+    assert "kind" not in made.columns or {r[0] for r in made.select("kind").distinct().collect()} == {"bmp", "netpbm", "farbfeld"}
