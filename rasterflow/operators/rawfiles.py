@@ -23,8 +23,8 @@ _PAM = r"(?s)^P7\n.*?ENDHDR\n"
 
 
 def _number(b: Column) -> Column:
-    """Up to 7 bytes, the most significant first, as a long."""
-    return F.conv(F.hex(b), 16, 10).cast("long")
+    """Up to 8 bytes, the most significant first, as a long; the first of 8 holds the sign."""
+    return F.conv(F.hex(b), 16, -10).cast("long")
 
 
 def _big(content: Column, at: Column | int, n: int) -> Column:
@@ -111,24 +111,25 @@ def pixels(files: DataFrame) -> DataFrame:
     """
     out, head, content = headers(files), C("head"), C("content")
     keep = [c for c in files.columns if c not in ("content", "head", "w", "h", "y", "x", "c0", "c1", "c2", "c3")]
-    out = out.where(head["error"].isNull()).withColumn("y", F.explode(F.sequence(F.lit(0), (head["h"] - 1).cast("int")))).withColumn("x", F.explode(F.sequence(F.lit(0), (head["w"] - 1).cast("int"))))
-    row = F.when(head["up"], head["h"] - 1 - C("y")).otherwise(C("y"))
-    at = (head["offset"] + row * head["stride"] + C("x") * head["step"]).cast("int")
-    own = F.substring(content, at + 1, head["step"])
+    bits = F.when(head["wide"], 16).otherwise(8)
+    last = F.when(head["palette"].isNotNull(), 2).otherwise(head["channels"] - 1)
+    place = lambda k: F.when((head["bgr"] | head["palette"].isNotNull()) & F.lit(k < 3), 2 - k).otherwise(k)
+    # all that is a file's is settled once, so that the code of a pixel stays small enough to be compiled
+    file = {
+        "_w": head["w"].cast("int"), "_h": head["h"].cast("int"), "_step": head["step"], "_palette": head["palette"], "_wide": head["wide"], "_top": head["top"].cast("long"), "_mask": F.when(head["wide"], 65535).otherwise(255).cast("long"),
+        "_at": head["offset"] + F.when(head["up"], (head["h"] - 1) * head["stride"]).otherwise(0), "_stride": F.when(head["up"], -head["stride"]).otherwise(head["stride"]),
+        **{f"_s{k}": F.when(F.lit(k) < head["channels"], (last - place(k)) * bits) for k in range(4)},
+    }
+    out = out.where(head["error"].isNull()).select(*keep, "content", *[v.alias(n) for n, v in file.items()])
+    out = out.withColumn("y", F.explode(F.sequence(F.lit(0), C("_h") - 1))).withColumn("_line", C("_at") + C("y") * C("_stride") + 1).withColumn("x", F.explode(F.sequence(F.lit(0), C("_w") - 1)))
+    own = F.substring(content, (C("_line") + C("x") * C("_step")).cast("int"), C("_step"))
     # a palette index is followed to its entry, which stands as blue, green, red, zero
-    entry = F.substring(content, (head["palette"] + _number(own) * 4).cast("int") + 1, F.lit(3))
-    out = out.withColumn("_px", F.when(head["palette"].isNotNull(), entry).otherwise(own)).withColumn("_v", F.when(head["wide"], F.lit(0).cast("long")).otherwise(_number(C("_px"))))
-    bgr, size = head["bgr"] | head["palette"].isNotNull(), F.length("_px")
-
-    def channel(k: int) -> Column:
-        place = F.when(bgr & F.lit(k < 3), 2 - k).otherwise(k)
-        narrow = F.call_function("shiftright", C("_v"), ((size - 1 - place) * 8).cast("int")).bitwiseAND(F.lit(255))
-        sample = F.when(head["wide"], _number(F.substring(C("_px"), F.lit(2 * k + 1), F.lit(2)))).otherwise(narrow)
-        sample = F.least(sample, head["top"].cast("long"))
-        full = F.when(head["wide"], F.floor((F.floor(sample * 65535 / head["top"]) + 128) / 257)).otherwise(F.floor(sample * 255 / head["top"]))
-        return F.when(F.lit(k) < head["channels"], full).cast("int").alias(f"c{k}")
-
-    return out.select(*keep, head["w"].cast("int").alias("w"), head["h"].cast("int").alias("h"), "y", "x", *[channel(k) for k in range(4)])
+    entry = F.substring(content, (C("_palette") + _number(own) * 4).cast("int") + 1, F.lit(3))
+    out = out.withColumn("_v", _number(F.when(C("_palette").isNotNull(), entry).otherwise(own)))
+    sample = lambda k: F.when(C(f"_s{k}").isNotNull(), F.least(F.call_function("shiftright", C("_v"), C(f"_s{k}")).bitwiseAND(C("_mask")), C("_top")))
+    out = out.withColumns({f"c{k}": sample(k) for k in range(4)})
+    full = lambda k: F.expr(f"CASE WHEN _wide THEN (c{k} * 65535 div _top + 128) div 257 WHEN _top = 255 THEN c{k} ELSE c{k} * 255 div _top END").cast("int").alias(f"c{k}")
+    return out.select(*keep, C("_w").alias("w"), C("_h").alias("h"), "y", "x", *[full(k) for k in range(4)])
 
 
 def _hex(v: Column, n: int) -> Column:

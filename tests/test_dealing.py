@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rasterflow.operators import pixels
+from rasterflow.operators import pixels, rawfiles
 from rasterflow.plans import queries as Q
 
 SMALL = "/root/testdata/sf0.001"
@@ -46,9 +46,17 @@ def test_pixels_are_made_in_many_tasks(spark, monkeypatch, name):
     assert px.rdd.getNumPartitions() == px.count() // 5000 + 1 > 10
 
 
-@pytest.mark.parametrize("name", ["raw_files"])
+@pytest.mark.parametrize("name", ["raw_files", "raw_pixels"])
 def test_files_are_put_together_where_their_pixels_are(spark, monkeypatch, name):
     monkeypatch.setattr(pixels, "PART", 5000)
     made = Q.QUERIES[name](spark, SMALL)
     assert exchanges(made) == ["hashpartitioning(asset_id"]
     assert "kind" not in made.columns or {r[0] for r in made.select("kind").distinct().collect()} == {"bmp", "netpbm", "farbfeld"}
+
+
+def test_code_of_a_pixel_is_compiled(spark):
+    """The JVM leaves methods beyond 8000 bytes to its interpreter."""
+    rows = spark.createDataFrame([(bytearray(b"P6 1 1 255 abc"), 7)], "content binary, id int")
+    plan = rawfiles.pixels(rows)._jdf.queryExecution().executedPlan()
+    found = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenStringSeq(plan)
+    assert 0 < max(found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())) < 8000
