@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.formats import trim
 from . import history
 
+#: Postings of a part of the index: some 60 MB on the way there.
+PART = 1 << 22
+
 
 def grams(text: Column) -> Column:
     """The different trigrams of a text; none of a null or shorter one."""
@@ -30,7 +33,10 @@ def build(rows: DataFrame, path: str, parts: int = 32, key: str = "seq", mode: s
     """Writes the postings, each file in order of gram; ``mode`` append adds those of new rows as further files.
 
     Postings are dealt out by gram and key, so one that stands in every row fills no file alone, and nothing is sampled first.
+    ``parts`` is the least number of files; there are more where the texts' characters, no fewer than their postings, ask for them.
     """
+    n = rows.agg(F.sum(F.length(history.searched()).cast("long"))).first()[0] or 0
+    parts = max(parts, n // PART + 1)
     postings(rows, key).repartition(parts, "gram", "key").sortWithinPartitions("gram", "key").write.mode(mode).parquet(path)
 
 

@@ -40,3 +40,15 @@ def test_appended_rows_are_found_and_only_own_grams_read(spark, tmp_path):
     assert "In(gram, [iew,vie])" in plan or "In(gram, [vie,iew])" in plan
     assert index.groupBy("gram", "key").count().where(F.col("count") > 1).count() == 0
     assert trigrams.postings(old.limit(0)).count() == 0 and trigrams.keyword_grams(spark, " ab ") == []
+
+
+def test_parts_grow_with_the_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trigrams, "PART", 500)
+    rows = table(spark, random.Random(4), 300)
+    at = str(tmp_path / "index")
+    trigrams.build(rows, at, 2)
+    index = spark.read.parquet(at)
+    each = [r["count"] for r in index.select(F.input_file_name().alias("file")).groupBy("file").count().collect()]
+    assert len(each) > 4 and max(each) < 1000 and sum(each) == trigrams.postings(rows).count()
+    trigrams.build(rows.limit(0), at, 2)
+    assert spark.read.schema("gram string, key long").parquet(at).count() == 0
